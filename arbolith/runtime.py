@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors once, so that their Python finds it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_arbolith_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="arbolith-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "arbolith_src.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as made:
+        for source in sorted(root.rglob("*.py")):
+            made.write(source, Path(root.name, source.relative_to(root)))
+    context.addPyFile(str(archive))
+    context._arbolith_shipped = True
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
