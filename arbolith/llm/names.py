@@ -31,10 +31,11 @@ EDITS_BOTH = 3
 UNMATCHED = -1
 
 # What typists write besides the name.
-_LATO = re.compile(r"\bsensu\s+(?:lato|stricto|auct\w*)\b\.?|(?<!\w)s\.\s*(?:l|lat|s|str|strict)\.?(?!\w)")
+_LATO = re.compile(r"\bsensu\s+(?:lato|stricto|auct\w*)\b\.?|(?<!\w)s\.\s*(?:l|lat|s|str|strict)\.?(?!\w)", re.IGNORECASE)
 _BRACKETS = re.compile(r"\[[^\]]*\]?|\([^)]*\)?")
 _QUOTES = re.compile(r"[\"“”„«»‘’‚`´']")
 _NUMBER, _YEAR = re.compile(r"#\s*\d*"), re.compile(r"\b(?:1[5-9]|20)\d\d\b[a-z]?")
+_LATO_WORDS = ("lato", "stricto")
 _SEPARATORS = re.compile(r"[,;:!?&+/\\|=~*<>_\-‐-―]")
 _QUALIFIERS = {"cf", "aff", "nr", "agg", "x", "×", "ssp", "subsp", "var", "auct", "gen", "nov", "et", "al", "ex", "in", "sic"}
 _UNNAMED = {"sp", "spp", "species", "indet"}
@@ -50,6 +51,7 @@ class Typed:
     dotted: list[bool] = field(default_factory=list)
     capital: list[bool] = field(default_factory=list)
     unnamed: bool = False
+    dated: bool = False
 
 
 def plain(text: str) -> str:
@@ -64,7 +66,7 @@ def parse(raw: str) -> Typed:
     """The words of a typed name, without authors' years, remarks, marks of doubt and hybrid signs."""
     text = _LATO.sub(" ", _QUOTES.sub(" ", _BRACKETS.sub(" ", plain(raw).replace("_", " "))))
     text = _SEPARATORS.sub(" ", _YEAR.sub(" ", _NUMBER.sub(" ", text)))
-    typed = Typed()
+    typed = Typed(dated=_YEAR.search(plain(raw)) is not None)
     for token in text.split():
         core = token.strip(".")
         dotted = token.endswith(".") and bool(core)
@@ -74,9 +76,14 @@ def parse(raw: str) -> Typed:
             break
         if not lower or lower in _QUALIFIERS and not (lower == "x" and (dotted or not typed.words)) or not any(c.isalpha() for c in lower):
             continue
-        typed.words.append("".join(c for c in lower.translate(_DIGITS) if c.isalpha()))
+        word = "".join(c for c in lower.translate(_DIGITS) if c.isalpha())
+        if word in _LATO_WORDS and len(typed.words) > 1 and edits(typed.words[-1], "sensu", 2) <= 2:
+            for held in (typed.words, typed.dotted, typed.capital):
+                held.pop()
+            continue
+        typed.words.append(word)
         typed.dotted.append(dotted)
-        typed.capital.append(core[:1].isupper())
+        typed.capital.append(core[:1].isupper() or core[1:].isupper() and len(core) > 2)
     return typed
 
 
@@ -261,7 +268,7 @@ class Matcher:
         if not words:
             return None
         if typed.unnamed:
-            return self._single(words[0], dotted[0]) if len(words) == 1 else None
+            return self._single(words[0], dotted[0]) if len(words) == 1 or self._author(typed) else None
         if len(words) == 1:
             return self._single(words[0], dotted[0])
         ranked = []
@@ -273,10 +280,14 @@ class Matcher:
             ranked.append((turned[0] + 0.3, 1, turned[1]))
         if ranked:
             return min(ranked)[2]
-        # A genus with its author: a word with a capital that neither is nor ends like a listed species word.
-        if typed.capital[1] and words[1][-2:] not in self.endings and not self.rests.candidates(words[1]):
-            return self._single(words[0], dotted[0])
-        return None
+        return self._single(words[0], dotted[0]) if self._author(typed) else None
+
+    def _author(self, typed: Typed) -> bool:
+        """Whether the second word is an author's: it neither is nor ends like a listed species word, and
+        it has a capital or a year, or the name is written without capitals."""
+        word = typed.words[1]
+        marked = typed.capital[1] or typed.dated or not typed.capital[0]
+        return marked and word[-2:] not in self.endings and not self.rests.candidates(word)
 
 
 def request_elements(requests: DataFrame) -> DataFrame:
