@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from arbolith.llm import lookalikes
 from arbolith.runtime import materialize
 
+#: Buckets of words; bounds what is broadcast to some megabytes, whatever the corpus.
+BUCKETS = 1 << 20
+
 _FORM = "id long, raw binary, form string, key binary, words array<string>"
 
 
@@ -65,6 +68,10 @@ def word_repairs(df: DataFrame, text: str, forms: DataFrame) -> DataFrame:
     read = materialize(words.select("word", F.posexplode(ways("word")).alias("place", "repaired")))
     wanted = read.select(F.col("repaired").alias("seen")).distinct()
     corpus = df.select(F.explode(F.split(F.col(text), r"[^\p{L}\p{M}]+")).alias("seen"))
+    # Before words are moved: those in no bucket of a reading go. At most BUCKETS numbers are broadcast.
+    bucket = F.pmod(F.xxhash64("seen"), F.lit(BUCKETS)).cast("int")
+    buckets = wanted.select(bucket.alias("bucket")).distinct()
+    corpus = corpus.withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").select("seen").distinct()
     known = corpus.join(wanted, "seen", "left_semi").distinct()
     hits = read.join(known, read["repaired"] == known["seen"], "left_semi")
     return hits.groupBy("word").agg(F.min_by("repaired", "place").alias("repaired"))
