@@ -13,7 +13,7 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from arbolith import runtime
 
-    made = runtime.session("tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    made = runtime.session("tests", **{"spark.master": "local[4]", "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
     made.sparkContext.setLogLevel("ERROR")
     yield made
     runtime.release()
