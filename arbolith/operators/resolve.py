@@ -88,39 +88,45 @@ def deprecated(queries: DataFrame, retired: DataFrame) -> DataFrame:
     return _matches(hits, "deprecated", False, 1.0, deprecated=True)
 
 
-def _segments(text: Column, parts: int) -> list[Column]:
-    """``parts`` segments of a text, as even as can be: (start, piece) each."""
-    size = F.length(text)
-    starts = [F.floor(size * k / parts).cast("int") for k in range(parts + 1)]
-    return [F.struct(starts[k].alias("start"), F.substring(text, starts[k] + 1, starts[k + 1] - starts[k]).alias("piece")) for k in range(parts)]
+def _key_segments(keys: DataFrame) -> DataFrame:
+    """(key_lc, m, size, part, piece): for each number of edits m the m + 1 even segments of every key."""
+    size = F.length("key_lc")
 
+    def piece(m: int, k: int) -> Column:
+        start, end = F.floor(size * k / (m + 1)).cast("int"), F.floor(size * (k + 1) / (m + 1)).cast("int")
+        return F.struct(F.lit(m).alias("m"), size.alias("size"), F.lit(k).alias("part"), F.substring("key_lc", start + 1, end - start).alias("piece"))
 
-def similar(queries: DataFrame, keys: DataFrame, max_length: int = 400) -> DataFrame:
+    return keys.select("key_lc", F.inline(F.array(*[piece(m, k) for m in (1, 2, 3, 4) for k in range(m + 1)])))
+
+
+def _query_segments(queries: DataFrame) -> DataFrame:
+    """(q, m, size, part, piece): where the segments of a key of each possible size can stand in the query.
+
+    With k edits before a segment and m - k behind it at most, it stands at most k places off its
+    own from the left and m - k from the right; that leaves few places for each.
+    """
+    sized = queries.select("q", F.length("q").alias("n"), taxon.max_edits(F.length("q")).alias("m"))
+    sized = sized.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("m")), F.col("n") + F.col("m"))))
+    parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m"))))
+    start = F.floor(F.col("size") * F.col("part") / (F.col("m") + 1)).cast("int")
+    end = F.floor(F.col("size") * (F.col("part") + 1) / (F.col("m") + 1)).cast("int")
+    parts = parts.withColumn("p", start).withColumn("l", end - start).withColumn("right", F.col("p") - F.col("size") + F.col("n")).withColumn("after", F.col("m") - F.col("part"))
+    lo = F.greatest(F.lit(0), F.col("p") - F.col("part"), F.col("right") - F.col("after"))
+    hi = F.least(F.col("n") - F.col("l"), F.col("p") + F.col("part"), F.col("right") + F.col("after"))
+    ranged = parts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    return ranged.withColumn("at", F.explode(F.sequence("lo", "hi"))).select("q", "m", "size", "part", F.substring("q", F.col("at") + 1, F.col("l")).alias("piece"))
+
+
+def similar(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """(q, key_lc, distance) of all pairs of distinct texts that are similar enough by ``taxon.fuzzy_accepts``.
 
-    Of k + 1 segments of the query one stands unchanged in any text within k edits, moved by k
-    places at most; so pairs are joined on segment text and place, and only those are compared.
-    k is the largest edit count that a key of any length allows for this query; longer texts than
-    ``max_length`` are compared like others, the bound only keeps absurd keys from being cut up.
+    Of the m + 1 segments of a key one stands unchanged in any text within m edits, so pairs are
+    joined on segments, by size, number and text, and only those are compared. A key gives 14 rows,
+    a query some dozens, whatever the other side holds. Empty texts match nothing.
     """
     q = queries.select("q").distinct().where(F.length("q") > 1)
-    k = keys.select("key_lc").distinct().where("key_lc is not null")
-    # d * len(q) < (m + 1) * least(len(q), len(t)) gives d <= m.
-    edits = taxon.max_edits(F.length("q"))
-    cut = reduce(
-        lambda acc, m: acc.when(edits == m, F.array(*[F.struct(F.lit(i).alias("part"), s.alias("seg")) for i, s in enumerate(_segments(F.col("q"), m + 1))])),
-        (2, 3, 4),
-        F.when(edits == 1, F.array(*[F.struct(F.lit(i).alias("part"), s.alias("seg")) for i, s in enumerate(_segments(F.col("q"), 2))])),
-    )
-    left = q.select("q", edits.alias("m"), F.inline(cut)).select("q", "m", F.length("q").alias("n"), F.col("seg.start").alias("start"), F.col("seg.piece").alias("piece"))
-    # The segment may have moved: the query side lists the places, the key side its substrings of the lengths asked for.
-    moved = left.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("start") - F.col("m")), F.col("start") + F.col("m"))))
-    lengths = materialize(moved.select(F.length("piece").alias("size")).distinct())  # a handful of numbers
-    grams = k.join(F.broadcast(lengths), F.length("key_lc") >= F.col("size")).select(
-        "key_lc", F.explode(F.transform(F.sequence(F.lit(0), F.length("key_lc") - F.col("size")), lambda i: F.struct(i.alias("place"), F.substring("key_lc", i + 1, F.col("size")).alias("piece")))).alias("g")
-    )
-    grams = grams.select("key_lc", F.col("g.place").alias("place"), F.col("g.piece").alias("piece"))
-    near = moved.join(grams, ["place", "piece"]).where(F.abs(F.length("key_lc") - F.col("n")) <= F.col("m")).select("q", "key_lc", "m").distinct()
+    k = keys.select("key_lc").distinct().where("key_lc <> ''")
+    near = _query_segments(q).join(_key_segments(k), ["m", "size", "part", "piece"]).select("q", "key_lc").distinct()
     measured = near.withColumn("distance", F.levenshtein("q", "key_lc", 4)).where("distance >= 0")
     return measured.where(taxon.fuzzy_accepts(F.col("distance"), F.col("q"), F.col("key_lc"))).select("q", "key_lc", "distance")
 
