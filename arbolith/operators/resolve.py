@@ -126,9 +126,13 @@ def similar(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """
     q = queries.select("q").distinct().where(F.length("q") > 1)
     k = keys.select("key_lc").distinct().where("key_lc <> ''")
-    near = _query_segments(q).join(_key_segments(k), ["m", "size", "part", "piece"]).select("q", "key_lc").distinct()
-    measured = near.withColumn("distance", F.levenshtein("q", "key_lc", 4)).where("distance >= 0")
-    return measured.where(taxon.fuzzy_accepts(F.col("distance"), F.col("q"), F.col("key_lc"))).select("q", "key_lc", "distance")
+    # Segments outgrow the planner's estimate of either side, so neither may be broadcast by it; and the
+    # shuffle spreads the pairs over tasks where few queries would sit in one.
+    near = _query_segments(q).join(_key_segments(k).hint("merge"), ["m", "size", "part", "piece"])
+    # Measured where they meet: a pair that meets twice is cheaper measured twice than moved once.
+    # The generator keeps the distance from being worked out once for each use.
+    measured = near.select("q", "key_lc", F.explode(F.array(F.levenshtein("q", "key_lc", 4))).alias("distance")).where("distance >= 0")
+    return measured.where(taxon.fuzzy_accepts(F.col("distance"), F.col("q"), F.col("key_lc"))).select("q", "key_lc", "distance").distinct()
 
 
 def fuzzy(queries: DataFrame, index: DataFrame) -> DataFrame:
