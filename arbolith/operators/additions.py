@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from arbolith.operators import nested
 from arbolith.runtime import materialize
@@ -39,8 +38,11 @@ def judged(rows: DataFrame, known: DataFrame) -> DataFrame:
     by an earlier taxon of these documents), else ``new``.
     """
     seen = rows.join(known.withColumn("there", F.lit(True)), "ott_id", "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    first = F.row_number().over(Window.partitionBy("ott_id").orderBy("doc_order", "doc_key", "taxon_pos"))
-    seen = materialize(seen.withColumn("turn", F.when(F.col("ott_id").isNotNull(), first)))
+    # No window: one id may hold a third of all rows.
+    place = F.struct("doc_order", "doc_key", "taxon_pos")
+    first = rows.where("ott_id is not null").groupBy("ott_id").agg(F.min(place).alias("first_place"))
+    turn = F.when(place == F.col("first_place"), 1).when(F.col("ott_id").isNotNull(), 2)
+    seen = materialize(seen.join(first, "ott_id", "left").withColumn("turn", turn).drop("first_place"))
     tags = seen.where("tag is not null and ott_id is not null and not there").groupBy("doc_key", F.col("tag").alias("parent_tag")).agg(F.min(F.struct("taxon_pos", "ott_id")).alias("t"))
     linked = seen.join(tags, ["doc_key", "parent_tag"], "left").withColumn("by_tag", F.when(F.col("t.taxon_pos") < F.col("taxon_pos"), F.col("t.ott_id")))
     linked = linked.withColumn("parent_ott_id", F.coalesce("parent", "by_tag"))

@@ -100,12 +100,49 @@ placed as (
   from walk w join ends e on e.id = w.id join rings r on r.id = w.node where e.steps = 400 group by w.id)
 """
 
+_P6 = r"""
+with last as (select doc_key, body from addition_docs qualify row_number() over (partition by doc_key order by loaded_at desc, body desc) = 1),
+outer_doc as (select doc_key, case when json_valid(body) then cast(body as json) end as j from last),
+docs as (
+  select doc_key, case when j is null then null when json_type(j, '$.addition_document') = 'VARCHAR' then cast(json_extract_string(j, '$.addition_document') as json) else j end as j from outer_doc),
+lost as (select doc_key, cast(-1 as bigint) as taxon_pos, 'unreadable' as child_table, cast(-1 as bigint) as child_pos, '' as child_value from docs where j is null),
+listed as (
+  select doc_key, case json_type(j, '$.taxa') when 'ARRAY' then json_extract(j, '$.taxa[*]') when 'OBJECT' then [json_extract(j, '$.taxa')] else [] end as entries
+  from docs where j is not null),
+taxon as (
+  select doc_key, k - 1 as taxon_pos, entries[k] as t from (select doc_key, entries, unnest(range(1, len(entries) + 1)) as k from listed) where json_type(entries[k]) = 'OBJECT'),
+own as (
+  select doc_key, taxon_pos, 'taxon' as child_table, cast(-1 as bigint) as child_pos, coalesce(regexp_replace(json_extract_string(t, '$.ott_id'), '\s', '', 'g'), '') as child_value from taxon),
+kids as (
+  select doc_key, taxon_pos, 'sources' as name, json_type(t, '$.sources') as kind, json_extract(t, '$.sources') as one, json_extract(t, '$.sources[*]') as many from taxon
+  union all select doc_key, taxon_pos, 'flags', json_type(t, '$.flags'), json_extract(t, '$.flags'), json_extract(t, '$.flags[*]') from taxon),
+listed_kids as (select doc_key, taxon_pos, name, case when kind = 'ARRAY' then many when coalesce(kind, 'NULL') = 'NULL' then [] else [one] end as entries from kids),
+kid as (select doc_key, taxon_pos, name, k - 1 as child_pos, entries[k] as e from (select *, unnest(range(1, len(entries) + 1)) as k from listed_kids)),
+src as (
+  select doc_key, taxon_pos, 'source' as child_table, child_pos,
+    case when json_type(e) = 'OBJECT' then json_extract_string(e, '$.source') when json_type(e) = 'VARCHAR' then json_extract_string(e, '$') end as child_value
+  from kid where name = 'sources'),
+flg as (select doc_key, taxon_pos, 'flag' as child_table, child_pos, case when json_type(e) <> 'NULL' then json_extract_string(e, '$') end as child_value from kid where name = 'flags')
+"""
+
 ORACLE = {
     "p1_found": _P1 + "select * from found",
     "p1_report": _P1 + "select table_name, ref_field, period_ym, reason, count(*) as n_refs from found group by all",
     "p2_found": _P2 + "select id as ott_id, root as end_ott_id, cast(depth as bigint) as steps from placed where to_ring or depth > 8",
     "p2_descendants": _P2
     + "select w.node as ancestor, w.id as descendant, cast(w.steps as bigint) as distance from walk w join placed p on p.id = w.id where w.steps between 1 and p.depth",
+    "p2_paths": _P2
+    + """, below as (select w.node as id, count(*) as n from walk w join placed p on p.id = w.id where w.steps between 1 and p.depth group by w.node),
+comps as (select root, count(*) as n from placed where to_ring group by root),
+ways as (select p.id, string_agg(cast(w.node as varchar), '/' order by w.steps desc) as path from placed p join walk w on w.id = p.id and w.steps <= p.depth group by p.id)
+select p.id as ott_id, p.root, cast(p.depth as bigint) as depth, y.path, case when p.to_ring and p.depth = 0 then c.n - 1 else coalesce(b.n, 0) end as n_below, p.to_ring
+from placed p join ways y on y.id = p.id left join below b on b.id = p.id left join comps c on c.root = p.root and p.to_ring""",
+    "p6_found": _P6
+    + "select doc_key, taxon_pos, child_table, child_pos, child_value from (select * from lost union all select * from own union all select * from src where child_value <> '' union all select * from flg) where child_value is not null",
+    "p6_taxa": _P6
+    + "select o.doc_key, o.taxon_pos, o.child_value as ott_id, "
+    + ", ".join(f"json_extract_string(t.t, '$.{f}') as {f}" for f in ("name", "rank", "parent", "parent_tag", "tag"))
+    + " from own o join taxon t on t.doc_key = o.doc_key and t.taxon_pos = o.taxon_pos",
     "p4_found": r"""
 with norm as (
   select snap_no, ott_id, trim(regexp_replace(name, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as name, parent, loaded_at

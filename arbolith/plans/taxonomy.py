@@ -16,6 +16,7 @@ from arbolith import schema
 from arbolith.functions import taxon
 from arbolith.operators import additions, exports, resolve
 from arbolith.operators import tree as trees
+from arbolith.plans.records import _P6
 from arbolith.store import Store
 
 _stores: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -582,7 +583,25 @@ def contexts_by_group(spark, sf):
     return services.v3_contexts(store(spark, sf)).select("grp", _listed("contexts").alias("contexts"))
 
 
-@_query()
+@_query(
+    "," + _P6.strip().removeprefix("with")
+    + """, known as (select ott_id from tx union select alias_id from ali union select ott_id from dep),
+ordered as (select doc_key, min(submitted_at) as doc_order from addition_docs group by doc_key),
+given as (
+  select t.doc_key, t.taxon_pos, try_cast(nullif(o.child_value, '') as bigint) as ott_id, json_extract_string(t.t, '$.name') as name,
+    try_cast(trim(json_extract_string(t.t, '$.parent')) as bigint) as parent, json_extract_string(t.t, '$.parent_tag') as parent_tag, json_extract_string(t.t, '$.tag') as tag,
+    row_number() over (order by d.doc_order, t.doc_key, t.taxon_pos) as place
+  from taxon t join own o on o.doc_key = t.doc_key and o.taxon_pos = t.taxon_pos join ordered d on d.doc_key = t.doc_key),
+firsts as (select ott_id, min(place) as place from given where ott_id is not null group by ott_id),
+tagged as (select doc_key, tag, min(taxon_pos) as pos, arg_min(ott_id, taxon_pos) as by_tag from given where tag is not null and ott_id is not null and ott_id not in (select ott_id from known) group by doc_key, tag),
+linked as (
+  select g.*, coalesce(g.parent, case when t.pos < g.taxon_pos then t.by_tag end) as parent_ott_id, g.ott_id in (select ott_id from known) as there, f.place as first_place
+  from given g left join tagged t on t.doc_key = g.doc_key and t.tag = g.parent_tag left join firsts f on f.ott_id = g.ott_id)
+select l.doc_key, l.taxon_pos, l.ott_id, l.parent_ott_id, l.name, case
+  when l.ott_id is null then 'no_id' when l.there then 'known' when l.place <> l.first_place then 'repeated' when coalesce(l.name, '') = '' then 'no_name' when l.parent_ott_id is null then 'no_parent'
+  when l.parent_ott_id not in (select ott_id from known) and not coalesce(a.place < l.place, false) then 'bad_parent' else 'new' end as status
+from linked l left join firsts a on a.ott_id = l.parent_ott_id and a.ott_id not in (select ott_id from known)"""
+)
 def additions_apply(spark, sf):
     docs = _table(spark, sf, "addition_docs")
     _, checked = additions.apply(store(spark, sf), docs, "submitted_at")
