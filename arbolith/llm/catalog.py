@@ -75,5 +75,14 @@ counts as (select field_name, term, count(*) as occurrences, count(distinct add_
 ORACLE = {
     "p5_found": _P5
     + """select field_name, term, case when records <= 3 then 'rare' else 'common' end as mark
-from counts where records <= 3 or records > 0.2 * (select count(*) from rec)"""
+from counts where records <= 3 or records > 0.2 * (select count(*) from rec)""",
+    "p5_runs": _P5
+    + r""", norm as (
+  select add_key, 'flags' as field_name, flatten(list_transform(list_filter(flags, lambda f: f is not null), lambda f: string_split(f, ','))) as parts from rec
+  union all select add_key, 'rank', [rank] from rec where rank is not null),
+clean as (
+  select add_key, field_name, list_filter(list_transform(parts, lambda p: regexp_replace(regexp_replace(lower(p), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}_-]+', '_', 'g'), '^_+|_+$', '', 'g')), lambda t: t <> '') as l
+  from norm),
+spots as (select add_key, field_name, l, n, unnest(range(1, len(l) - n + 2)) as k from clean, (values (1), (2), (3)) v(n) where len(l) >= n)
+select field_name, n, array_to_string(l[k:k + n - 1], chr(31)) as term, count(*) as occurrences, count(distinct add_key) as records from spots group by all""",
 }
