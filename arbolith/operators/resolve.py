@@ -251,6 +251,13 @@ def describe(matches: DataFrame, taxa: DataFrame) -> DataFrame:
     return matches.join(known, "ott_id", "left").select("query_id", "ott_id", text.alias("description"))
 
 
+def find_taxa(store, names: DataFrame, context: str | None = None, include_suppressed: bool = True, synonyms: bool = False) -> DataFrame:
+    """(query_id, ott_id, name) of taxa that bear a name, as their own or, if asked for, as a synonym."""
+    index = index_of(store, find_context(store, context), include_suppressed, None if synonyms else "taxon")
+    queries = prepared(names)
+    return queries.join(index, queries["q"] == index["key_lc"]).select("query_id", "ott_id", "name").distinct()
+
+
 # --- completion
 
 

@@ -18,6 +18,10 @@ from arbolith.operators.hierarchy import hierarchy
 from arbolith.runtime import materialize
 
 
+#: Tables of a store, loaded and derived ones.
+TABLES = ("taxa", "synonyms", "aliases", "deprecated", "metadata", "contexts", "tree", "pref_tree", "name_index", "source_index", "context_members", "least_contexts")
+
+
 class Store:
     """Tables of one taxonomy. Loaded tables are DataFrames of the schemas in ``arbolith.schema``.
 
@@ -129,9 +133,19 @@ class Store:
         nearest = self.context_paths.groupBy("ott_id").agg(F.min_by("context", F.struct(-F.col("root_depth"), "context")).alias("least_context"))
         return nearest
 
+    def with_metadata(self, **entries: str) -> Store:
+        """The same store with entries of its description set (source, author, weburl)."""
+        rows = self.metadata if self.metadata.limit(1).count() else self.spark.createDataFrame([(None, None, None)], schema.METADATA)
+        return Store(self._taxa, self._synonyms, self._aliases, self._deprecated, rows.withColumns({k: F.lit(v) for k, v in entries.items()}), self._roots)
+
+    def register(self, prefix: str = "") -> None:
+        """The tables as temporary views, for questions in SQL."""
+        for name in TABLES:
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+
     def save(self, path: str) -> None:
         """All tables as parquet below ``path``; fails if something is there. Each table is written in one job commit."""
-        for name in ("taxa", "synonyms", "aliases", "deprecated", "metadata", "contexts", "tree", "pref_tree", "name_index", "source_index", "context_members", "least_contexts"):
+        for name in TABLES:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
@@ -139,6 +153,6 @@ def open_store(spark: SparkSession, path: str) -> Store:
     """A saved store, its derived tables read instead of made."""
     table = lambda name: spark.read.parquet(f"{path}/{name}")
     store = Store(table("taxa"), table("synonyms"), table("aliases"), table("deprecated"), table("metadata"))
-    for name in ("taxa", "synonyms", "deprecated", "contexts", "tree", "pref_tree", "name_index", "source_index", "context_members", "least_contexts"):
+    for name in TABLES:
         setattr(store, name, table(name))
     return store

@@ -348,3 +348,42 @@ def test_empty_store(spark):
     empty = Store(*[spark.createDataFrame([], s) for s in (schema.TAXA_RAW, schema.SYNONYMS_RAW, schema.ALIASES_RAW, schema.DEPRECATED_RAW)])
     assert empty.tree.count() == 0 and resolve.match_names(empty, names(spark, "Aster"), approximate=True).count() == 0
     assert resolve.autocomplete(empty, names(spark, "Aster")).count() == 0 and resolve.infer_context(empty, names(spark, "Aster")).first()["context_name"] == "All life"
+
+
+def test_views_metadata_and_plain_lookups(spark, store):
+    store.register("t_")
+    assert spark.sql("select count(*) as n from t_tree where array_contains(path, 10L)").first()["n"] == 6
+    assert store.with_metadata(author="you").metadata.first()["author"] == "you"
+    q = names(spark, "aster viridis", "Sternpilz")
+    assert rows(resolve.find_taxa(store, q), "ott_id") == [(23,)] and rows(resolve.find_taxa(store, q, include_suppressed=False, synonyms=True), "ott_id") == [(10,)]
+
+
+def test_commands(spark, folder, tmp_path, capsys):
+    from arbolith import cli
+
+    run = lambda *a: (cli.main([str(x) for x in a], spark), capsys.readouterr().out.splitlines())
+    assert cli.main(["nonsense"], spark) == 2
+    capsys.readouterr()
+    assert run("buildott", folder, tmp_path / "db") == (0, [])
+    assert run("getsubtree", tmp_path / "db", 20, 21) == (0, ["(Aster_albus_ott20,Aster_alpinus_ott21)Aster_ott10;"])
+    assert run("makecontexts", tmp_path / "db")[1] == ["All life\t9"]
+    assert run("makegenusindexes", tmp_path / "db")[1] == ["10\t3", "11\t1"]
+    assert run("tnrsbasic", tmp_path / "db", "Aster albus, zzzz")[1] == ["Aster albus\tExact match from search string 'aster albus' to unique taxon name 'Aster albus'", "zzzz\t"]
+    run("adddeprecated", tmp_path / "db", folder / "deprecated.tsv", tmp_path / "db2")
+    run("recalculatemrcas", tmp_path / "db2", tmp_path / "sets")
+    assert spark.read.parquet(str(tmp_path / "sets")).count() == 13 and spark.read.parquet(str(tmp_path / "db2/deprecated")).count() == 2
+    run("loadtaxsyn", "abc1.0", folder / "taxonomy.tsv", folder / "synonyms.tsv", folder / "forwards.tsv", tmp_path / "db3")
+    assert spark.read.parquet(str(tmp_path / "db3/metadata")).first()["source"] == "abc1.0"
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls anywhere, repeated rows and columns named like inner ones don't disturb a store."""
+    extra = "key_lc string, path string, kind string, q string, dubious string, root string"
+    taxa = [(1, None, "Root", None, None, None, None), (2, 1, None, None, None, None, [None, "hidden"]), (2, 1, None, None, None, None, [None, "hidden"]), (3, 1, "x" * 5000, "species", "", "", []), (None, 1, "lost", "genus", "", "", [])]
+    raw = spark.createDataFrame([(*r, *["z"] * 6) for r in taxa], f"{schema.TAXA_RAW}, {extra}")
+    synonyms = spark.createDataFrame([(3, "syn", None, "z"), (3, "syn", None, "z"), (None, "q", None, "z"), (3, None, None, "z")], schema.SYNONYMS_RAW + ", key_lc string")
+    odd = Store(raw.select(*[c.split()[0] for c in schema.TAXA_RAW.split(", ")]), synonyms.select("ott_id", "name", "source"), spark.createDataFrame([(None, 3), (9, None), (8, 3)], schema.ALIASES_RAW), spark.createDataFrame([(None, None, None, None)], schema.DEPRECATED_RAW))
+    assert rows(odd.tree, "ott_id", "depth") == [(1, 0), (2, 1), (3, 1)] and rows(odd.pref_tree, "ott_id", "depth") == [(1, 0), (2, 0), (3, 1)]
+    q = spark.createDataFrame([(0, "SYN", 1), (1, "", 1), (2, "x" * 5000, 1), (3, "x" * 4999, 1), (4, None, 1)], "query_id long, qname string, ott_id int")
+    found = resolve.match_names(odd, q, approximate=True)
+    assert rows(found, "query_id", "ott_id", "stage") == [(0, 3, "synonym"), (2, 3, "exact"), (3, 3, "fuzzy")]
