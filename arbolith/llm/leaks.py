@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -164,48 +165,63 @@ def _stretch(item: list[int], text: list, i: int, d: int, step: int) -> tuple[in
     return best
 
 
-def align(item: list[int], text: list, seeds: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int] | None:
-    """The best chain of seeds (item start, text start, length): (item from, to, text from, to, edits)."""
-    seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
-    best: list[tuple[float, int, int]] = []  # score, edits, first seed
+def chains(item: list[int], text: list, seeds: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """(score, edits, first, last) of the best chain that ends with each seed (item start, text start, length).
+
+    ``seeds`` are sorted by their place in the text; a chain's seeds are at most 12 words apart.
+    """
+    best: list[tuple[float, int, int, int]] = []
     for k, (i, d, n) in enumerate(seeds):
-        mine = (float(n), 0, k)
+        mine = (float(n), 0, k, k)
         for j in range(max(0, k - 60), k):
             pi, pd_, pn = seeds[j]
             gap_i, gap_d = i - pi - pn, d - pd_ - pn
-            over = max(0, -gap_i, -gap_d)  # the seeds may share words
+            over = max(0, -gap_i, -gap_d)  # runs that share words can't both be counted: the later one is cut
             if over >= n or gap_i + over > 12 or gap_d + over > 12:
                 continue
-            # Runs that share words can't both be counted: cut the later one.
             cost = _edits(item[pi + pn : i + over], text[pd_ + pn : d + over])
-            score = best[j][0] + n - over + (max(gap_i + over, gap_d + over) - cost if gap_i + over == gap_d + over else 0) - 3 * cost
+            held = max(gap_i + over, gap_d + over) - cost if gap_i == gap_d else 0
+            score = best[j][0] + n - over + held - 3 * cost
             if score > mine[0]:
-                mine = (score, best[j][1] + cost, best[j][2])
+                mine = (score, best[j][1] + cost, best[j][2], k)
         best.append(mine)
-    if not best:
-        return None
-    k = max(range(len(best)), key=lambda x: best[x][0])
-    _, edits, first = best[k]
-    i0, d0, _ = seeds[first]
-    i1, d1 = seeds[k][0] + seeds[k][2], seeds[k][1] + seeds[k][2]
-    more, extra = _stretch(item, text, i1, d1, 1)
-    less, other = _stretch(item, text, i0 - 1, d0 - 1, -1)
-    return i0 - less, i1 + more, d0 - less, d1 + more, edits + extra + other
+    return best
 
 
 def leaked(item: list[int], text: list, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """All leaks of one item in one text: the best chain, then the best of the seeds outside it."""
-    out = []
-    while seeds and sum(s[2] for s in seeds) >= LEAST_WORDS - LEAST_WORDS // ONE_IN - 4:
-        found = align(item, text, seeds)
-        if found is None:
-            break
-        if found[1] - found[0] >= LEAST_WORDS and found[4] * ONE_IN <= found[1] - found[0]:
-            out.append(found)
-        kept = [s for s in seeds if s[1] + s[2] <= found[2] or s[1] >= found[3]]
-        if len(kept) == len(seeds):
+    """(item from, to, text from, to, edits) of all leaks of one item in one text, none over another.
+
+    The best chains are taken first; seeds that lie in what was taken are used up, the others are
+    chained again until nothing more is found.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
+    while seeds and sum(s[2] for s in seeds) >= LEAST_WORDS // 2:
+        taken: list[tuple[int, int]] = []  # text spans in order
+        starts = [s[1] for s in seeds]
+        longest = max(s[2] for s in seeds)
+        used = [False] * len(seeds)
+        found = False
+        for _, edits, first, last in sorted(chains(item, text, seeds), key=lambda c: -c[0]):
+            if used[first] or used[last]:
+                continue
+            i0, d0, _ = seeds[first]
+            i1, d1 = seeds[last][0] + seeds[last][2], seeds[last][1] + seeds[last][2]
+            more, extra = _stretch(item, text, i1, d1, 1)
+            less, other = _stretch(item, text, i0 - 1, d0 - 1, -1)
+            held, edits = i1 + more - i0 + less, edits + extra + other
+            d0, d1 = d0 - less, d1 + more
+            k = bisect_left(taken, (d1, 0))
+            if held < LEAST_WORDS or edits * ONE_IN > held or k and taken[k - 1][1] > d0:
+                continue
+            out.append((i0 - less, i1 + more, d0, d1, edits))
+            taken.insert(k, (d0, d1))
+            found = True
+            for x in range(bisect_left(starts, d0 - longest), bisect_left(starts, d1)):
+                used[x] = used[x] or seeds[x][1] + seeds[x][2] > d0
+        if not found:
             break
-        seeds = kept
+        seeds = [s for s, gone in zip(seeds, used, strict=True) if not gone]
     return out
 
 
@@ -305,4 +321,4 @@ def without_leaks(documents: DataFrame, spans: DataFrame, least_held: int = LEAS
             out.append(" ".join(w for k, w in enumerate(kept) if k not in gone))
         return pd.Series(out, dtype=object)
 
-    return documents.join(cut, "doc_id", "left").select("doc_id", rest("text", "cuts").alias("text"))
+    return documents.select("doc_id", "text").join(cut, "doc_id", "left").select("doc_id", rest("text", "cuts").alias("text"))

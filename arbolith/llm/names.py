@@ -150,6 +150,7 @@ class Words:
 
     def __init__(self, words: set[str]) -> None:
         self.words = words
+        self.longest = max(map(len, words), default=0)
         self.by_delete: dict[str, list[str]] = defaultdict(list)
         self.by_fold: dict[str, list[str]] = defaultdict(list)
         for w in sorted(words):
@@ -157,12 +158,15 @@ class Words:
                 self.by_delete[d].append(w)
             for d in deletes(fold(w), 1):
                 self.by_fold[d].append(w)
+        self.candidates = lru_cache(maxsize=50_000)(self._candidates)
 
-    def candidates(self, typed: str) -> dict[str, tuple[int, float]]:
+    def _candidates(self, typed: str) -> dict[str, tuple[int, float]]:
         """Listed words within the bound: (edits, weight)."""
         if typed in self.words:
             return {typed: (0, 0.0)}
         most, out = bound(typed), {}
+        if len(typed) > 2 * self.longest + 2:  # farther from every word than any bound, folded or not
+            return out
         for d in deletes(typed, most):
             for w in self.by_delete.get(d, ()):
                 if w not in out and (n := edits(typed, w, most)) <= most:
