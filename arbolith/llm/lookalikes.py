@@ -52,7 +52,7 @@ _TO_LATIN = {v: k for table in (CYRILLIC, GREEK) for k, v in table.items()}
 _TO_LATIN_TABLE = str.maketrans(_TO_LATIN)
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 WORD = re.compile(r"[^\W\d_]+")
-WORD_WITH_FOREIGN = re.compile(r"[^\W\d_]*[Ͱ-ϿЀ-ԯ][^\W\d_]*")
+WORD_WITH_FOREIGN = re.compile(r"(?<![^\W\d_])[^\W\d_Ͱ-ԯ]*+[Ͱ-ԯ][^\W\d_]*")
 
 
 def uniform(text: str) -> str:
@@ -137,6 +137,12 @@ def sight_key(word: str) -> str:
     return ways[0] if ways else word
 
 
-def keyed(text: str) -> str:
-    """The text with each word that holds foreign letters spelled as ``sight_key`` does."""
-    return WORD_WITH_FOREIGN.sub(lambda m: sight_key(m[0]), text) if has_foreign(text) else text
+def foreign_words(text: str) -> set[str]:
+    """The distinct words of a text that hold letters of other alphabets."""
+    return set(WORD_WITH_FOREIGN.findall(text)) if has_foreign(text) else set()
+
+
+def keyed(text: str, foreign: set[str] | None = None) -> str:
+    """The text with each word that holds foreign letters (``foreign``, if known) spelled as ``sight_key`` does."""
+    changed = {w: k for w in (foreign_words(text) if foreign is None else foreign) if (k := sight_key(w)) != w}
+    return WORD_WITH_FOREIGN.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text

@@ -24,15 +24,12 @@ BUCKETS = 1 << 20
 _FORM = "id long, raw binary, form string, key binary, words array<string>"
 
 
-def _mixed_words(form: str) -> list[str]:
-    if not lookalikes.has_foreign(form):
-        return []
-    found = {w for w in lookalikes.WORD_WITH_FOREIGN.findall(form)}
-    return sorted(w for w in found if (r := lookalikes.readings(w))[0] and r[1])
+def _mixed_words(foreign: set[str]) -> list[str]:
+    return sorted(w for w in foreign if (r := lookalikes.readings(w))[0] and r[1])
 
 
-def _key(form: str) -> bytes | None:
-    return xxhash.xxh3_128_digest(lookalikes.keyed(form).encode("utf-8", "surrogatepass")) if form.strip() else None
+def _key(form: str, foreign: set[str] | None = None) -> bytes | None:
+    return xxhash.xxh3_128_digest(lookalikes.keyed(form, foreign).encode("utf-8", "surrogatepass")) if form.strip() else None
 
 
 def _forms(keep_all: bool):
@@ -42,8 +39,9 @@ def _forms(keep_all: bool):
             for number, text in zip(pdf["id"], pdf["text"], strict=True):
                 raw = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
                 form = lookalikes.uniform(text)
-                words = _mixed_words(form)
-                out.append((number, raw, form if words or keep_all else None, None if words else _key(form), words or None))
+                foreign = lookalikes.foreign_words(form)
+                words = _mixed_words(foreign)
+                out.append((number, raw, form if words or keep_all else None, None if words else _key(form, foreign), words or None))
             yield pd.DataFrame(out, columns=["id", "raw", "form", "key", "words"])
 
     return run
