@@ -16,13 +16,19 @@ from pyspark.sql import functions as F
 
 from arbolith.runtime import materialize
 
-#: Nodes that one task may peel to the end.
-FINISH_ROWS = 150_000
+#: Nodes that one task may peel to the end; and that it may if rounds take off less than a
+#: twentieth each, as where long chains are left.
+FINISH_ROWS, CHAIN_ROWS = 150_000, 2_000_000
 
 _TOP = "id long, parent long, n_below long, root long, depth int, path array<long>, on_ring boolean, to_ring boolean"
 
 
-def _peel_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _peeler(paths: bool):
+    """Peels all nodes it gets, in one task; without ``paths`` these are null."""
+    return lambda batches: _peel_rest(batches, paths)
+
+
+def _peel_rest(batches: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
     held = list(batches)
     if not sum(map(len, held)):
         return
@@ -61,11 +67,11 @@ def _peel_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen[members[-1]] = True
             root[members] = ids[members].min()
             size[members] = size[members].sum()
-    for i in np.flatnonzero(ring):
+    for i in np.flatnonzero(ring) if paths else ():
         path[i] = [ids[i]]
     hung = ring.copy()
     for layer in reversed(rounds):
-        for i in layer:
+        for i in layer if paths else ():
             j = up[i]
             path[i] = [ids[i]] if j < 0 else [*path[j], ids[i]]
         linked = layer[up[layer] >= 0]
@@ -96,7 +102,7 @@ def _rings(rest: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS, chain_rows: int = CHAIN_ROWS, paths: bool = True) -> DataFrame:
     """Path, depth, root and number of descendants of each node of (id, parent).
 
     A parent that is null or no id ends the way up: the node is a root of depth 0. Nodes on a ring
@@ -104,13 +110,15 @@ def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
     ring (to_ring) count depth and path from it and have its smallest id as root. A node can be
     its own parent, which is a ring of one. Several rows of one id count as the one with the
     smallest parent, rows with a null id not at all; n_below counts the nodes below (on a ring,
-    all others of its component). An empty table gives an empty result.
+    all others of its component). An empty table gives an empty result. ``paths`` = False leaves
+    the paths null, which are as long as the trees are deep.
     """
     rest = nodes.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent")).withColumn("size", F.lit(1).cast("long"))
     rest = materialize(rest)
     layers: list[DataFrame] = []
     rings_only = False
-    while rest.count() > finish_rows:
+    left, before = rest.count(), None
+    while left > finish_rows and not (before and left > 0.95 * before and left <= chain_rows):
         # Pre-aggregated: a parent of a third of all rows is one row of this side.
         parents = rest.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("inner"))
         marked = materialize(rest.join(parents, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
@@ -122,11 +130,12 @@ def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
         sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("sent"))
         rest = materialize(inner.join(sent, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size")))
         layers.append(leaves)
+        left, before = rest.count(), left
     if rings_only:
         top = _rings(rest)
     else:
         plain = rest.select("id", F.coalesce("parent", F.lit(0)).alias("parent"), F.col("parent").isNotNull().alias("linked"), "size")
-        top = plain.coalesce(1).mapInPandas(_peel_rest, _TOP)
+        top = plain.coalesce(1).mapInPandas(_peeler(paths), _TOP)
     done = materialize(top)
     for leaves in reversed(layers):
         above = done.select(F.col("id").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "path", "to_ring")])
@@ -136,7 +145,7 @@ def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
             (F.col("size") - 1).alias("n_below"),
             F.coalesce("up_root", "id").alias("root"),
             F.coalesce(F.col("up_depth") + 1, F.lit(0)).alias("depth"),
-            F.concat(F.coalesce("up_path", F.array().cast("array<long>")), F.array("id")).alias("path"),
+            F.concat(F.coalesce("up_path", F.array().cast("array<long>")), F.array("id")).alias("path") if paths else F.lit(None).cast("array<long>").alias("path"),
             F.lit(False).alias("on_ring"),
             F.coalesce("up_to_ring", F.lit(False)).alias("to_ring"),
         )

@@ -22,12 +22,12 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return references.orphan_report(p1_found(spark, sf))
 
 
-def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.hierarchy(hierarchy.addition_parents(_table(spark, sf, "additions")))
+def _tree(spark: SparkSession, sf: str, paths: bool = True) -> DataFrame:
+    return hierarchy.hierarchy(hierarchy.addition_parents(_table(spark, sf, "additions")), paths=paths)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.walk_cases(_tree(spark, sf))
+    return hierarchy.walk_cases(_tree(spark, sf, paths=False))
 
 
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:

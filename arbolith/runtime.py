@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is missing (single-machine tests) a temporary folder is made and
     set as the checkpoint folder; on a cluster the setting must be given.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -89,6 +89,18 @@ def test_hierarchy_in_one_task_and_in_rounds(spark):
             assert rows(tree.select("id", "root", "depth", "to_ring")) == brute_tree(pairs), (seed, finish)
 
 
+def test_long_chains_end_in_one_task(spark):
+    n = 30_000
+    chain = spark.range(n).selectExpr("id", "case when id = 0 then null else id - 1 end as parent")
+    leaves = spark.range(n, n + 3000).selectExpr("id", "id % 50 as parent")
+    tree = hierarchy.hierarchy(chain.union(leaves), finish_rows=1000, paths=False)
+    last = tree.where(f"id = {n - 1}").first()
+    assert (last["root"], last["depth"], last["path"]) == (0, n - 1, None) and tree.where("id = 0").first()["n_below"] == n + 2999
+    assert tree.count() == n + 3000 and tree.where("path is not null").count() == 0
+    ring = spark.range(n).selectExpr("id", f"(id + 1) % {n} as parent")
+    assert hierarchy.hierarchy(ring, finish_rows=1000, paths=False).where("on_ring and root = 0 and depth = 0").count() == n
+
+
 def test_paths_and_descendants(spark):
     big = (1 << 60) + 1
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (big, 3), (9, 8), (8, 9), (10, 9)], "id long, parent long")
