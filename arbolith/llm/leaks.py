@@ -1,9 +1,10 @@
 """Passages of held-out items in a corpus, by a suffix automaton over words.
 
 All items form one generalised suffix automaton, whose size is bounded before it is sent to the
-executors (more items are taken in several blocks). Every text is streamed through it once: the
-longest match that ends at each word is followed, maximal matches become seeds, seeds of one item
-are chained, and a chain that is long enough and close enough to the item's words is a leak.
+executors (more items are taken in several blocks). Every text is streamed through it: the longest
+match that ends at each word is followed, and where it is long enough, the maximal matches of each
+item, within longer ones of other items too, become seeds. Seeds of one item are chained, and a
+chain that is long enough and close enough to the item's words is a leak.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[list[tuple[int, int]]] = [[]]
-        self._all: dict[int, list[tuple[int, int]]] = {}
-        self._below: list[list[int]] | None = None
+        self.items: dict[int, list[int]] = {}
+        self._places: list[tuple[int, int, int | None]] | None = None
+        self._spans: list[tuple[int, int]] = []
 
     def _state(self, length: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
@@ -80,6 +82,7 @@ class Automaton:
 
     def add(self, item: int, sequence: list[int]) -> None:
         last = 0
+        self.items[item] = sequence
         for place, word in enumerate(sequence):
             if word in self.next[last]:
                 last = self._split(last, word, self.next[last][word])
@@ -94,24 +97,37 @@ class Automaton:
                 last = made
             self.ends[last].append((item, place + 1))
 
-    def occurrences(self, state: int) -> list[tuple[int, int]]:
-        """(item, end) of all places where the state's words stand."""
-        if state not in self._all:
-            if self._below is None:
-                self._below = [[] for _ in self.link]
-                for child, parent in enumerate(self.link):
-                    if parent >= 0:
-                        self._below[parent].append(child)
-            found, todo = [], [state]
+    def _ordered(self) -> list[tuple[int, int, int | None]]:
+        """(item, end, next word) of all places, those of a state and of the states below it side by side."""
+        if self._places is None:
+            below: list[list[int]] = [[] for _ in self.link]
+            for child, parent in enumerate(self.link):
+                if parent >= 0:
+                    below[parent].append(child)
+            self._places, starts = [], [0] * len(self.link)
+            self._spans = [(0, 0)] * len(self.link)
+            todo = [0]
             while todo:
                 at = todo.pop()
-                found += self.ends[at]
-                todo += self._below[at]
-            self._all[state] = found
-        return self._all[state]
+                if at < 0:
+                    self._spans[~at] = (starts[~at], len(self._places))
+                    continue
+                starts[at] = len(self._places)
+                for item, end in self.ends[at]:
+                    sequence = self.items[item]
+                    self._places.append((item, end, sequence[end] if end < len(sequence) else None))
+                todo.append(~at)
+                todo += below[at]
+        return self._places
+
+    def occurrences(self, state: int) -> list[tuple[int, int]]:
+        """(item, end) of all places where the state's words stand."""
+        places = self._ordered()
+        lo, hi = self._spans[state]
+        return [(item, end) for item, end, _ in places[lo:hi]]
 
     def matches(self, numbers: list[int | None]) -> list[tuple[int, int, int]]:
-        """(end, length, state) of every match of at least SEED words that can't go on."""
+        """(end, length, state) of the longest matches over all items, of at least SEED words, that can't go on."""
         out, moves, length_of, link = [], self.next, self.length, self.link
         state = length = 0
         for place, word in enumerate(numbers):
@@ -136,6 +152,44 @@ class Automaton:
             out.append((len(numbers), length, state))
         return out
 
+    def runs(self, numbers: list[int | None], least: int = SEED) -> list[tuple[int, int, int, int]]:
+        """(item, item end, end, length) of every run of at least ``least`` words of each item that can't be carried on.
+
+        The longest match at a word is that of its state; the places of the states it links to have
+        shorter ones of their own, each as long as the first of these states that holds the place.
+        """
+        out, moves, length_of, link = [], self.next, self.length, self.link
+        places, spans = self._ordered(), self._spans
+        state = length = 0
+        last = len(numbers) - 1
+        for at, word in enumerate(numbers):
+            if word is None:
+                state = length = 0
+                continue
+            to = moves[state].get(word)
+            while to is None and state:
+                state = link[state]
+                length = length_of[state]
+                to = moves[state].get(word)
+            if to is None:
+                continue
+            state = to
+            length += 1
+            after = numbers[at + 1] if at < last else None
+            holds, n, lo, hi = state, length, 0, 0
+            while n >= least:
+                first, end = spans[holds]
+                if lo == hi:
+                    lo = hi = first
+                for part in (places[first:lo], places[hi:end]):
+                    for item, item_end, goes_on in part:
+                        if goes_on is None or goes_on != after:
+                            out.append((item, item_end, at + 1, n))
+                lo, hi = first, end
+                holds = link[holds]
+                n = length_of[holds]
+        return out
+
 
 def _edits(a: list, b: list) -> int:
     """Words altered, left out or put in between two short runs."""
@@ -237,15 +291,13 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple]:
         numbers = list(map(self.number.get, words(text)))
-        matches = self.automaton.matches(numbers)
-        if not any(n >= LONG_SEED for _, n, _ in matches):
+        if not any(n >= LONG_SEED for _, n, _ in self.automaton.matches(numbers)):
             return []
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         total: dict[int, int] = defaultdict(int)
-        for end, n, state in matches:
-            for item, item_end in self.automaton.occurrences(state):
-                by_item[item].append((item_end - n, end - n, n))
-                total[item] += n
+        for item, item_end, end, n in self.automaton.runs(numbers):
+            by_item[item].append((item_end - n, end - n, n))
+            total[item] += n
         out = []
         for item, seeds in by_item.items():
             # A leak keeps most of its words in runs; common phrases alone don't come near.

@@ -75,3 +75,36 @@ def test_leaks_and_near_misses(spark):
     assert cleaned.count() == len(docs)
     assert leaks.leak_spans(cleaned, tests).count() == 0
     assert leaks.leak_spans(table, tests.limit(0)).count() == 0 and leaks.leak_spans(table.limit(0), tests).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=9), min_size=1, max_size=4), st.lists(st.integers(0, 3), max_size=25))
+def test_runs_are_the_maximal_matches_of_each_item(items, text):
+    made = leaks.Automaton()
+    for k, x in enumerate(items):
+        made.add(k, x)
+    text = [None if x == 3 else x for x in text]
+    want = set()
+    for k, x in enumerate(items):
+        for i in range(len(x)):
+            for d in range(len(text)):
+                n = 0
+                while i + n < len(x) and d + n < len(text) and x[i + n] == text[d + n]:
+                    n += 1
+                if n >= leaks.SEED and not (i and d and x[i - 1] == text[d - 1]):
+                    want.add((k, i + n, d + n, n))
+    got = made.runs(text)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_items_that_share_a_passage():
+    rng = random.Random(7)
+    fresh = iter(rng.sample(range(100_000), 400))
+    new = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared = new(30)
+    a, b = new(10) + shared + new(10), new(10) + shared + new(10)
+    part = b[15:38]
+    near = [w if k % 10 != 4 else x for k, (w, x) in enumerate(zip(b, new(50), strict=True))]
+    scanner = leaks.Scanner([(1, a), (2, b), (3, part), (4, near)])
+    text = " ".join(new(20) + b + new(20))
+    assert {s[0] for s in scanner.scan(text)} == {1, 2, 3, 4}
