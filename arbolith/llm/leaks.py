@@ -3,8 +3,8 @@
 All items form one generalised suffix automaton, whose size is bounded before it is sent to the
 executors (more items are taken in several blocks). Every text is streamed through it: the longest
 match that ends at each word is followed, and where it is long enough, the maximal matches of each
-item, within longer ones of other items too, become seeds. Seeds of one item are chained, and a
-chain that is long enough and close enough to the item's words is a leak.
+item, within longer ones of other items too, become seeds. From each seed item and text are aligned
+in both directions; where that is long enough and close enough to the item's words there is a leak.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,9 +26,17 @@ from arbolith.llm.lookalikes import latinized
 BLOCK_WORDS = 500_000
 #: A leak holds at least so many words of the item, one in so many of them not as they are.
 LEAST_WORDS, ONE_IN = 20, 7
-#: Words in a row that start an alignment. A passage of LEAST_WORDS with one in eight altered
-#: keeps a run of six, so nothing is lost by asking for one.
+#: Words in a row that a match has at least, and that start an alignment. A leak of k edits holds 7 k
+#: words (20 at least), thus 6 k unaltered ones in k + 1 runs, one of which has five words or more.
 SEED, LONG_SEED = 3, 5
+#: A leak of 60 words or more has a shorter one in it: of its first 30 words and the rest, one has
+#: its edits in the allowed share, and keeps 25 words without edits at its ends. So a run that
+#: belongs to a leak has one with less than 60 words, 54 on one side of the run, and 8 edits.
+MOST_EDITS, MOST_REACH = 8, 54
+#: A leak has so many unaltered words at least.
+LEAST_KEPT = LEAST_WORDS - LEAST_WORDS // ONE_IN
+#: Of the leaks over one run that one is reported which has most words, an edit taking off so many.
+EDIT_COST = 4
 
 SPANS = "doc_id long, item_id long, first_word int, last_word int, item_words int, held_words int, edits int"
 
@@ -191,91 +200,100 @@ class Automaton:
         return out
 
 
-def _edits(a: list, b: list) -> int:
-    """Words altered, left out or put in between two short runs."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def _stretch(item: list[int], text: list, i: int, d: int, step: int) -> tuple[int, int]:
-    """(words, edits) by which a chain's end can be carried on word by word at a gain."""
-    best, score, held, edits = (0, 0), 0, 0, 0
-    top = 0
-    while 0 <= i < len(item) and 0 <= d < len(text) and score > top - 6:
-        held += 1
-        if item[i] == text[d]:
-            score += 1
-        else:
-            score -= 3
-            edits += 1
-        if score > top:
-            top, best = score, (held, edits)
-        i += step
-        d += step
+def _reach(item: list[int], text: list, i: int, d: int, step: int, words_left: int) -> list[tuple[int, int]]:
+    """For 0 to MOST_EDITS edits the most (item words, text words) from i and d on that end with a word of both."""
+    best = [(0, 0)] * (MOST_EDITS + 1)
+    none = MOST_EDITS + 1
+    # last[k] is the least number of edits for r item words and r + k - MOST_EDITS text words.
+    last = [none] * MOST_EDITS + [*range(min(MOST_EDITS, words_left) + 1)]
+    last += [none] * (2 * MOST_EDITS + 2 - len(last))
+    for r in range(1, min(MOST_REACH, len(item) - i if step > 0 else i + 1) + 1):
+        word = item[i + step * (r - 1)]
+        row = [none] * (2 * MOST_EDITS + 2)
+        for k in range(max(0, MOST_EDITS - r), min(2 * MOST_EDITS, words_left - r + MOST_EDITS) + 1):
+            c = r + k - MOST_EDITS
+            cost = min(last[k + 1], row[k - 1] if k else none) + 1
+            if c:
+                if text[d + step * (c - 1)] == word:
+                    cost = last[k]
+                    if cost < none and best[cost][0] < r:
+                        best[cost] = (r, c)
+                elif last[k] + 1 < cost:
+                    cost = last[k] + 1
+            row[k] = min(cost, none)
+        if min(row) == none:
+            break
+        last = row
+    for e in range(1, MOST_EDITS + 1):
+        best[e] = max(best[e], best[e - 1], key=lambda x: x[0])
     return best
 
 
-def chains(item: list[int], text: list, seeds: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int]]:
-    """(score, edits, first, last) of the best chain that ends with each seed (item start, text start, length).
+def _near(text: list, d: int, n: int, lo: int, hi: int) -> set:
+    """The words that a leak over the run of n words at d can hold."""
+    wide = MOST_REACH + MOST_EDITS
+    return set(text[max(lo, d - wide) : min(hi, d + n + wide)])
+
 
-    ``seeds`` are sorted by their place in the text; a chain's seeds are at most 12 words apart.
+def aligned(item: list[int], text: list, i: int, d: int, n: int, lo: int, hi: int) -> tuple[int, int, int, int, int] | None:
+    """(item from, to, text from, to, edits) of the best leak over the run of n words at i and d within text[lo:hi].
+
+    Every passage over the run that is long enough counts; of these the one with most words, an
+    edit weighing as EDIT_COST words, is taken and carried on while that gains.
     """
-    best: list[tuple[float, int, int, int]] = []
-    for k, (i, d, n) in enumerate(seeds):
-        mine = (float(n), 0, k, k)
-        for j in range(max(0, k - 60), k):
-            pi, pd_, pn = seeds[j]
-            gap_i, gap_d = i - pi - pn, d - pd_ - pn
-            over = max(0, -gap_i, -gap_d)  # runs that share words can't both be counted: the later one is cut
-            if over >= n or gap_i + over > 12 or gap_d + over > 12:
-                continue
-            cost = _edits(item[pi + pn : i + over], text[pd_ + pn : d + over])
-            held = max(gap_i + over, gap_d + over) - cost if gap_i == gap_d else 0
-            score = best[j][0] + n - over + held - 3 * cost
-            if score > mine[0]:
-                mine = (score, best[j][1] + cost, best[j][2], k)
-        best.append(mine)
-    return best
+    near = _near(text, d, n, lo, hi)
+    if sum(w in near for w in item[max(0, i - MOST_REACH) : i + n + MOST_REACH]) < LEAST_KEPT:
+        return None
+    ahead, back = _reach(item, text, i + n, d + n, 1, hi - d - n), _reach(item, text, i - 1, d - 1, -1, d - lo)
+    fits = [
+        (held - EDIT_COST * (e + f), held, e, f)
+        for e in range(MOST_EDITS + 1)
+        for f in range(MOST_EDITS + 1 - e)
+        if (held := n + ahead[e][0] + back[f][0]) >= LEAST_WORDS and (e + f) * ONE_IN <= held
+    ]
+    if not fits:
+        return None
+    _, _, e, f = max(fits, key=lambda x: (x[0], x[1], -x[2]))
+    i0, i1, d0, d1, edits = i - back[f][0], i + n + ahead[e][0], d - back[f][1], d + n + ahead[e][1], e + f
+    carried = True
+    while carried:
+        carried = False
+        for step in (1, -1):
+            more = _reach(item, text, i1, d1, 1, hi - d1) if step > 0 else _reach(item, text, i0 - 1, d0 - 1, -1, d0 - lo)
+            gain, e = max((w - EDIT_COST * e, -e) for e, (w, _) in enumerate(more) if (edits + e) * ONE_IN <= i1 - i0 + w)
+            if gain > 0:
+                w, c = more[-e]
+                i0, i1, d0, d1 = (i0, i1 + w, d0, d1 + c) if step > 0 else (i0 - w, i1, d0 - c, d1)
+                edits -= e
+                carried = True
+    return i0, i1, d0, d1, edits
 
 
 def leaked(item: list[int], text: list, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(item from, to, text from, to, edits) of all leaks of one item in one text, none over another.
 
-    The best chains are taken first; seeds that lie in what was taken are used up, the others are
-    chained again until nothing more is found.
+    ``seeds`` are the runs of both (item start, text start, length). The longest are taken first;
+    what is left of the others beside the spans taken is aligned there.
     """
     out: list[tuple[int, int, int, int, int]] = []
-    seeds = sorted(set(seeds), key=lambda s: (s[1], s[0]))
-    while seeds and sum(s[2] for s in seeds) >= LEAST_WORDS // 2:
-        taken: list[tuple[int, int]] = []  # text spans in order
-        starts = [s[1] for s in seeds]
-        longest = max(s[2] for s in seeds)
-        used = [False] * len(seeds)
-        found = False
-        for _, edits, first, last in sorted(chains(item, text, seeds), key=lambda c: -c[0]):
-            if used[first] or used[last]:
-                continue
-            i0, d0, _ = seeds[first]
-            i1, d1 = seeds[last][0] + seeds[last][2], seeds[last][1] + seeds[last][2]
-            more, extra = _stretch(item, text, i1, d1, 1)
-            less, other = _stretch(item, text, i0 - 1, d0 - 1, -1)
-            held, edits = i1 + more - i0 + less, edits + extra + other
-            d0, d1 = d0 - less, d1 + more
-            k = bisect_left(taken, (d1, 0))
-            if held < LEAST_WORDS or edits * ONE_IN > held or k and taken[k - 1][1] > d0:
-                continue
-            out.append((i0 - less, i1 + more, d0, d1, edits))
-            taken.insert(k, (d0, d1))
-            found = True
-            for x in range(bisect_left(starts, d0 - longest), bisect_left(starts, d1)):
-                used[x] = used[x] or seeds[x][1] + seeds[x][2] > d0
-        if not found:
+    taken: list[tuple[int, int]] = []  # text spans in order
+    todo = [(-n, d, i) for i, d, n in set(seeds)]
+    heapify(todo)
+    while todo:
+        n, d, i = heappop(todo)
+        n = -n
+        if n < LONG_SEED:
             break
-        seeds = [s for s, gone in zip(seeds, used, strict=True) if not gone]
+        k = bisect_left(taken, (d + n, 0))  # the spans before k start before the run's end
+        if k and taken[k - 1][1] > d:
+            a, b = taken[k - 1]
+            heappush(todo, (d - a, d, i))
+            heappush(todo, (b - d - n, b, i + b - d))
+            continue
+        found = aligned(item, text, i, d, n, taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(text))
+        if found:
+            out.append(found)
+            taken.insert(k, found[2:4])
     return out
 
 
@@ -285,6 +303,7 @@ class Scanner:
     def __init__(self, items: list[tuple[int, list[str]]]) -> None:
         self.number: dict[str, int] = {}
         self.items = [(i, [self.number.setdefault(w, len(self.number)) for w in ws]) for i, ws in items]
+        self.kinds = [(set(ws), len(ws) - len(set(ws))) for _, ws in self.items]
         self.automaton = Automaton()
         for k, (_, sequence) in enumerate(self.items):
             self.automaton.add(k, sequence)
@@ -294,17 +313,19 @@ class Scanner:
         if not any(n >= LONG_SEED for _, n, _ in self.automaton.matches(numbers)):
             return []
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        total: dict[int, int] = defaultdict(int)
-        for item, item_end, end, n in self.automaton.runs(numbers):
-            by_item[item].append((item_end - n, end - n, n))
-            total[item] += n
+        around: dict[tuple[int, int], set] = {}
+        for item, item_end, end, n in self.automaton.runs(numbers, LONG_SEED):
+            near = around.get((end, n))
+            if near is None:
+                near = around[end, n] = _near(numbers, end - n, n, 0, len(numbers))
+            kinds, repeated = self.kinds[item]
+            if len(near) + repeated >= LEAST_KEPT and len(near & kinds) + repeated >= LEAST_KEPT:
+                by_item[item].append((item_end - n, end - n, n))
         out = []
         for item, seeds in by_item.items():
-            # A leak keeps most of its words in runs; common phrases alone don't come near.
-            if total[item] >= LEAST_WORDS // 2 and any(s[2] >= LONG_SEED for s in seeds) and len({s[0] for s in seeds}) * max(s[2] for s in seeds) >= LEAST_WORDS // 2:
-                number, sequence = self.items[item]
-                for i0, i1, d0, d1, edits in leaked(sequence, numbers, seeds):
-                    out.append((number, d0, d1, len(sequence), i1 - i0, edits))
+            number, sequence = self.items[item]
+            for i0, i1, d0, d1, edits in leaked(sequence, numbers, seeds):
+                out.append((number, d0, d1, len(sequence), i1 - i0, edits))
         return out
 
 

@@ -108,3 +108,64 @@ def test_items_that_share_a_passage():
     scanner = leaks.Scanner([(1, a), (2, b), (3, part), (4, near)])
     text = " ".join(new(20) + b + new(20))
     assert {s[0] for s in scanner.scan(text)} == {1, 2, 3, 4}
+
+
+def spread(*runs):
+    """A passage of runs of an item's words, one word altered (or, after a 0, left out) between them."""
+    item, text, at = list(range(100, 160)), [], 10
+    for k, n in enumerate(runs):
+        if k:
+            text += [] if runs[k - 1] == 0 else [-k]
+            at += n > 0
+        text += item[at : at + n]
+        at += n
+    return item, text
+
+
+def held(item, text):
+    number = {w: k for k, w in enumerate(item)}
+    scanner = leaks.Scanner([(1, [f"w{w}" for w in item])])
+    words = [f"w{w}" if w in number else f"x{abs(w)}" for w in text]
+    return [s[1:] for s in scanner.scan(" ".join(["before", "it", *words, "behind", "it"]))]
+
+
+def test_short_runs_at_the_ends_count():
+    for runs in ((2, 19), (19, 2), (2, 16, 2), (3, 14, 3), (1, 18), (18, 1), (7, 6, 7), (3, 0, 19)):
+        item, text = spread(*runs)
+        got = held(item, text)
+        assert len(got) == 1 and got[0][0] == 2 and got[0][1] == 2 + len(text), runs
+    for runs in ((19,), (2, 16), (5, 4, 4, 4, 4), (1, 1, 1, 14)):
+        assert held(*spread(*runs)) == [], runs
+
+
+def least_leak(item, text):
+    """Whether any passage of the item holds, by a full comparison."""
+    for i in range(len(item)):
+        for d in range(len(text)):
+            if item[i] != text[d]:
+                continue
+            last = list(range(len(text) - d + 1))
+            for r in range(1, len(item) - i + 1):
+                row = [r]
+                for c in range(1, len(text) - d + 1):
+                    same = item[i + r - 1] == text[d + c - 1]
+                    row.append(min(last[c] + 1, row[-1] + 1, last[c - 1] + (not same)))
+                    if same and r >= leaks.LEAST_WORDS and row[c] * leaks.ONE_IN <= r:
+                        return True
+                last = row
+    return False
+
+
+def test_leaks_are_those_of_a_full_comparison():
+    rng, seen = random.Random(3), []
+    for _ in range(150):
+        item = [rng.randrange(60) for _ in range(rng.randrange(20, 36))]
+        text, k = [], rng.choice((0, 0, 3, 6))
+        for w in item[k : k + rng.randrange(19, 30)]:
+            kind = rng.random()
+            text += [] if kind < 0.05 else [rng.randrange(60)] if kind < 0.1 else [w, 99] if kind < 0.15 else [w]
+        scanner = leaks.Scanner([(1, [f"w{w}" for w in item])])
+        want = least_leak(item, text)
+        seen.append(want)
+        assert bool(scanner.scan(" ".join(f"w{w}" for w in text))) == want, (item, text)
+    assert 20 < sum(seen) < 130
