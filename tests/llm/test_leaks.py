@@ -169,3 +169,11 @@ def test_leaks_are_those_of_a_full_comparison():
         seen.append(want)
         assert bool(scanner.scan(" ".join(f"w{w}" for w in text))) == want, (item, text)
     assert 20 < sum(seen) < 130
+
+
+def test_phrases_repeated_in_an_item():
+    phrase = [f"p{k}" for k in range(8)]
+    item = [w for row in range(90) for w in (*phrase, f"n{row}")]
+    scanner = leaks.Scanner([(1, item)])
+    spans = scanner.scan(" ".join(["before", *phrase * 4, "behind"]))  # the words between are left out
+    assert [s[:3] for s in spans] == [(1, 1, 33)] and spans[0][4:] == (35, 3)
