@@ -158,12 +158,14 @@ class Words:
                 self.by_delete[d].append(w)
             for d in deletes(fold(w), 1):
                 self.by_fold[d].append(w)
-        self.candidates = lru_cache(maxsize=50_000)(self._candidates)
+        self.near = lru_cache(maxsize=50_000)(self._near)
 
-    def _candidates(self, typed: str) -> dict[str, tuple[int, float]]:
+    def candidates(self, typed: str) -> dict[str, tuple[int, float]]:
+        """The word itself if it is listed, else the listed words within the bound: (edits, weight)."""
+        return {typed: (0, 0.0)} if typed in self.words else self.near(typed)
+
+    def _near(self, typed: str) -> dict[str, tuple[int, float]]:
         """Listed words within the bound: (edits, weight)."""
-        if typed in self.words:
-            return {typed: (0, 0.0)}
         most, out = bound(typed), {}
         if len(typed) > 2 * self.longest + 2:  # farther from every word than any bound, folded or not
             return out
@@ -237,6 +239,11 @@ class Matcher:
             for t in self.rest_of[h] & tails.keys():
                 if n + tails[t][0] <= EDITS_BOTH:
                     ranked.append((cost + tails[t][1], -self._asked((h, t)), h, t))
+        if not ranked and first in self.firsts.words and rest in self.rests.words:
+            # Both are listed, though not together: one of them may be another listed word misspelled.
+            pairs = [(h, rest, n, cost) for h, (n, cost) in self.firsts.near(first).items() if rest in self.rest_of[h]]
+            pairs += [(first, t, n, cost) for t, (n, cost) in self.rests.near(rest).items() if t in self.rest_of[first]]
+            ranked = [(cost, -self._asked((h, t)), h, t) for h, t, n, cost in pairs if n <= EDITS_BOTH]
         if not ranked and dotted_rest and len(rest) >= 3:
             options = [(cost, h, t) for h, (_, cost) in heads.items() for t in self._starting(rest, self.rest_of[h])]
             least = min((c for c, _, _ in options), default=None)

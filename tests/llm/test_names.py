@@ -84,3 +84,11 @@ def test_requests(spark):
     assert {r["ott_id"] for r in nothing.collect()} == {-1}
     with pytest.raises(ValueError):
         names.resolve_names(requests, canonical, synonyms, most_entries=3)
+
+
+def test_a_misspelling_that_is_another_listed_word():
+    made = names.Matcher([("Tiarosa albicans", 1, None, True), ("Tiarusa nigripes", 2, None, True), ("Tiarosa", 3, None, True), ("Moxella nigrides", 4, None, True)])
+    assert made.match("Tiarosa nigripes", None) == 2  # the genus is misspelled
+    assert made.match("Tiarusa nigrides", None) == 2  # the species word is
+    assert made.match("Tiarosa albicans", None) == 1 and made.match("Moxella nigrides", None) == 4
+    assert made.match("Moxella albicans", None) == -1
