@@ -304,14 +304,17 @@ class Matcher:
 def request_elements(requests: DataFrame) -> DataFrame:
     """(request_id, name_pos, typed, context_name) of the elements of good requests, each request once.
 
-    A good request fills exactly one of names and query_string. Of unlike deliveries of one
+    A good request fills exactly one of names and query_string; an empty list and a blank text
+    fill nothing, a list of null or empty elements does. Of unlike deliveries of one
     request the one loaded last counts (ties: the larger values).
     """
     row = F.struct("loaded_at", "names", "query_string", "context_name")
     last = requests.groupBy("request_id").agg(F.max(row).alias("r")).select("request_id", "r.*")
-    good = last.where(F.col("names").isNull() != F.col("query_string").isNull())
-    listed = F.coalesce("names", F.split("query_string", ","))
     blanks = rf"^[{BLANKS}]+|[{BLANKS}]+$"
+    names = F.when(F.size("names") > 0, F.col("names"))
+    query = F.when(F.regexp_replace("query_string", blanks, "") != "", F.col("query_string"))
+    good = last.where(names.isNull() != query.isNull())
+    listed = F.coalesce(names, F.split(query, ","))
     out = good.select("request_id", "context_name", F.posexplode(listed).alias("name_pos", "typed"))
     return out.withColumn("typed", F.regexp_replace("typed", blanks, "")).where("typed <> ''")
 

@@ -92,3 +92,11 @@ def test_a_misspelling_that_is_another_listed_word():
     assert made.match("Tiarusa nigrides", None) == 2  # the species word is
     assert made.match("Tiarosa albicans", None) == 1 and made.match("Moxella nigrides", None) == 4
     assert made.match("Moxella albicans", None) == -1
+
+
+def test_blank_texts_and_empty_lists_fill_nothing(spark):
+    at = "timestamp'2024-01-01 00:00:00'"
+    rows = [(1, "array('Aa')", "''"), (2, "array()", "'Bb,Cc'"), (3, "array('Aa')", "'\u00a0 '"), (4, "array('Aa')", "'Bb'"), (5, "array('')", "'Bb'"), (6, "null", "' '"), (7, "array()", "null")]
+    told = " union all ".join(f"select {k}L as request_id, cast({n} as array<string>) as names, {q} as query_string, 'x' as context_name, {at} as loaded_at" for k, n, q in rows)
+    got = {(r["request_id"], r["name_pos"], r["typed"]) for r in names.request_elements(spark.sql(told)).collect()}
+    assert got == {(1, 0, "Aa"), (2, 0, "Bb"), (2, 1, "Cc"), (3, 0, "Aa")}
