@@ -32,6 +32,11 @@ def p5_runs(spark: SparkSession, sf: str) -> DataFrame:
     return terms.addition_terms(terms.addition_records(_table(spark, sf, "additions")), 3)
 
 
+def p5_all_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all runs of terms, whatever their length."""
+    return terms.addition_terms(terms.addition_records(_table(spark, sf, "additions")), None)
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     counts = packing.token_counts(_table(spark, sf, "documents"), "doc_id", "text", tokenizer_path())
     return packing.containers(counts).withColumnRenamed("id", "doc_id")
@@ -58,7 +63,7 @@ def p9_texts(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("id").alias("doc_id"), F.col("form").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_runs, p7_containers, p8_found, p8_spans, p8_cleaned, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_runs, p5_all_runs, p7_containers, p8_found, p8_spans, p8_cleaned, p9_found, p9_texts)}
 
 _P5 = r"""
 with rec as (select add_key, rank, flags from additions qualify row_number() over (partition by add_key order by loaded_at desc) = 1),

@@ -59,7 +59,7 @@ def intervals(tokens: np.ndarray, record: np.ndarray, longest: int) -> list[tupl
     return out
 
 
-def _count_blocks(longest: int):
+def _count_blocks(longest: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fields, lengths, terms, seen = [], [], [], []
@@ -70,7 +70,7 @@ def _count_blocks(longest: int):
                 size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
                 codes, words = pd.factorize(np.concatenate(lists))
                 record = np.repeat(np.arange(len(lists)), size)
-                for n, first, occurrences, records in intervals(codes, record, longest):
+                for n, first, occurrences, records in intervals(codes, record, longest or int(size.max())):
                     fields += [field] * len(first)
                     lengths += [n] * len(first)
                     terms += words[codes[first]].tolist() if n == 1 else [JOIN.join(words[codes[p : p + n]]) for p in first]
@@ -83,8 +83,8 @@ def _count_blocks(longest: int):
     return run
 
 
-def term_counts(records: DataFrame, fields: dict[str, Column], longest: int = 1) -> DataFrame:
-    """(field_name, n, term, occurrences, records) of all runs of up to ``longest`` terms.
+def term_counts(records: DataFrame, fields: dict[str, Column], longest: int | None = 1) -> DataFrame:
+    """(field_name, n, term, occurrences, records) of all runs of up to ``longest`` terms, of any length if None.
 
     ``records`` has a row per record, ``fields`` gives each field's array of terms. Null arrays and
     null or empty terms don't count. Runs of several terms are joined by JOIN. No rows, no counts.
@@ -107,7 +107,7 @@ def addition_records(additions: DataFrame) -> DataFrame:
     return additions.groupBy("add_key").agg(chosen).select("add_key", "r.rank", "r.flags")
 
 
-def addition_terms(records: DataFrame, longest: int = 1) -> DataFrame:
+def addition_terms(records: DataFrame, longest: int | None = 1) -> DataFrame:
     """Counts of the terms of ``rank`` and ``flags``; a rank is one term."""
     rank = F.filter(F.array(text.term(F.col("rank"))), lambda x: x.isNotNull() & (x != ""))
     return term_counts(records, {"rank": rank, "flags": split_terms(F.col("flags"))}, longest)

@@ -44,3 +44,10 @@ def test_marks_runs_and_odd_rows(spark):
     assert counts[1, "x"] == (10, 9) and counts[1, "edited"] == (9, 9)
     assert counts[2, "edited" + terms.JOIN + "x"] == (8, 8) and counts[2, "x" + terms.JOIN + "x"] == (1, 1)
     assert terms.marked_terms(df.limit(0)).count() == 0
+
+
+def test_runs_of_any_length(spark):
+    rows = "values (1L, 'species', array('a,b', 'c', 'd', 'e')), (2L, null, array('b', 'c', 'd', 'e'))"
+    df = spark.sql(f"select col1 as add_key, col2 as rank, col3 as flags from {rows}")
+    got = {(r["n"], r["term"]): (r["occurrences"], r["records"]) for r in terms.addition_terms(df, None).where("field_name = 'flags'").collect()}
+    assert got[5, terms.JOIN.join("abcde")] == (1, 1) and got[4, terms.JOIN.join("bcde")] == (2, 2) and len(got) == 15
