@@ -477,6 +477,14 @@ def match_pipeline(spark, sf):
     return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), "stage").distinct()
 
 
+@_query()
+def match_pipeline_retired(spark, sf):
+    """The pipeline with the fuzzy matches of retired names, which the SQL of match_pipeline doesn't work out."""
+    s = store(spark, sf)
+    found = resolve.match_names(s, names(spark, sf), "All life", approximate=True, include_deprecated=True)
+    return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), "stage", "is_deprecated").distinct()
+
+
 @_query(
     "select q.qname, i.ott_id, i.name from qs q join ix i on i.key_lc = q.q join pwalk w on w.ott_id = i.ott_id join ctx c on c.root_id = w.node where c.context = 'Fungi' and i.kind = 'taxon' and not i.dubious"
 )

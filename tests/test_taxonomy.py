@@ -387,3 +387,14 @@ def test_odd_rows_and_clashing_columns(spark):
     q = spark.createDataFrame([(0, "SYN", 1), (1, "", 1), (2, "x" * 5000, 1), (3, "x" * 4999, 1), (4, None, 1)], "query_id long, qname string, ott_id int")
     found = resolve.match_names(odd, q, approximate=True)
     assert rows(found, "query_id", "ott_id", "stage") == [(0, 3, "synonym"), (2, 3, "exact"), (3, 3, "fuzzy")]
+
+
+def test_fuzzy_matches_of_retired_names(spark, monkeypatch):
+    from arbolith.plans import taxonomy
+
+    sf = "/root/testdata/sf0.001"
+    retired = taxonomy.store(spark, sf).deprecated.where("length(name) > 8").orderBy("name").first()
+    typed = retired["name"][:-1] + "q"
+    monkeypatch.setattr(taxonomy, "names", lambda spark, sf: spark.createDataFrame([(typed, typed)], "query_id string, qname string"))
+    got = {(r["qname"], r["ott_id"], r["stage"], r["is_deprecated"]) for r in taxonomy.QUERIES["match_pipeline_retired"](spark, sf).collect()}
+    assert (typed, retired["ott_id"], "fuzzy", True) in got
