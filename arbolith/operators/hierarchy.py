@@ -1,108 +1,159 @@
 """Parent-child rows to full hierarchies by leaf peeling.
 
-Each round takes the leaves off and sends their subtree sizes to their parents; what can't be
-peeled is on a ring. Once the rest is small (a checked bound) one task peels it to the end. In
-reverse order the parents then hand path, depth and root down to what was peeled before them.
+Each round takes the leaves off and sends their subtree sizes to their parents. Where rounds take
+off little, as in long chains, the chains in between are taken out too: a node with one child hands
+its way up to that child, by doubling pointers, so that a chain of any length ends in few rounds.
+What has no leaves any more is on rings. In reverse order the parents then hand path, depth and
+root down to what was taken off before them. Every round is a join, whatever the size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolith.runtime import materialize
-
-#: Nodes that one task may peel to the end; and that it may if rounds take off less than a
-#: twentieth each, as where long chains are left.
-FINISH_ROWS, CHAIN_ROWS = 150_000, 2_000_000
-
-_TOP = "id long, parent long, n_below long, root long, depth int, path array<long>, on_ring boolean, to_ring boolean"
-
-
-def _peeler(paths: bool):
-    """Peels all nodes it gets, in one task; without ``paths`` these are null."""
-    return lambda batches: _peel_rest(batches, paths)
-
-
-def _peel_rest(batches: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame]:
-    held = list(batches)
-    if not sum(map(len, held)):
-        return
-    rest = pd.concat(held, ignore_index=True)
-    ids = rest["id"].to_numpy(np.int64)
-    order = np.argsort(ids)
-    ids = ids[order]
-    size = rest["size"].to_numpy(np.int64)[order]
-    has = rest["linked"].to_numpy(bool)[order]
-    wanted = rest["parent"].to_numpy(np.int64)[order]
-    spot = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-    up = np.where(has & (ids[spot] == wanted), spot, -1)  # position of the parent, or none
-    below = np.bincount(up[up >= 0], minlength=len(ids))
-    rounds, leaves = [], np.flatnonzero(below == 0)
-    while len(leaves):
-        rounds.append(leaves)
-        parents = up[leaves]
-        linked = parents >= 0
-        np.add.at(size, parents[linked], size[leaves[linked]])
-        np.subtract.at(below, parents[linked], 1)
-        touched = np.unique(parents[linked])
-        leaves = touched[below[touched] == 0]
-    peeled = np.zeros(len(ids), dtype=bool)
-    for x in rounds:
-        peeled[x] = True
-    root, depth = ids.copy(), np.zeros(len(ids), dtype=np.int32)
-    ring = ~peeled
-    path: list = [None] * len(ids)
-    seen = peeled.copy()
-    for start in np.flatnonzero(ring):
-        if not seen[start]:
-            members = [start]
-            seen[start] = True
-            while not seen[up[members[-1]]]:
-                members.append(up[members[-1]])
-                seen[members[-1]] = True
-            root[members] = ids[members].min()
-            size[members] = size[members].sum()
-    for i in np.flatnonzero(ring) if paths else ():
-        path[i] = [ids[i]]
-    hung = ring.copy()
-    for layer in reversed(rounds):
-        for i in layer if paths else ():
-            j = up[i]
-            path[i] = [ids[i]] if j < 0 else [*path[j], ids[i]]
-        linked = layer[up[layer] >= 0]
-        root[linked], depth[linked], hung[linked] = root[up[linked]], depth[up[linked]] + 1, hung[up[linked]]
-    parent = pd.array(np.where(has, wanted, 0), dtype="Int64")
-    parent[~has] = pd.NA
-    step = 10_000
-    for k in range(0, len(ids), step):
-        s = slice(k, k + step)
-        yield pd.DataFrame(
-            {"id": ids[s], "parent": parent[s], "n_below": size[s] - 1, "root": root[s], "depth": depth[s], "path": path[s], "on_ring": ring[s], "to_ring": hung[s]}
+from arbolith.runtime import free, materialize
+
+#: Chains are taken out where a round takes off less than this share of the nodes left.
+SLOW_SHARE = 0.2
+
+# The state of a node: ``given`` is its parent as it came, ``parent`` the next node above that isn't
+# taken out; n_over nodes of weight w_over, smallest id low_over, topmost top_over stand in between
+# (``over``, from the top down, with paths only). ``size`` counts it and what was taken off below it.
+
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
+def _sum_or(c: str, other: int) -> Column:
+    return F.coalesce(c, F.lit(other))
+
+
+def _start(nodes: DataFrame, paths: bool) -> DataFrame:
+    plain = nodes.where("id is not null").groupBy("id").agg(F.min("parent").alias("given"))
+    plain = materialize(plain)
+    # Pre-aggregated: a parent of a third of all rows is one row of this side.
+    kids = plain.where("given is not null").groupBy(F.col("given").alias("id")).agg(F.count("*").alias("kids"))
+    one = F.lit(1).cast("long")
+    return materialize(
+        plain.join(kids, "id", "left").select(
+            "id", "given", F.col("given").alias("parent"), one.alias("size"), _sum_or("kids", 0).alias("kids"), F.lit(0).cast("long").alias("n_over"), F.lit(0).cast("long").alias("w_over"),
+            F.lit(None).cast("long").alias("low_over"), F.lit(None).cast("long").alias("top_over"), *([_none().alias("over")] if paths else []),
+        )
+    )
+
+
+def _peeled(state: DataFrame) -> DataFrame:
+    """The nodes that aren't leaves, with what their leaves send."""
+    sent = state.where("kids = 0 and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("size") + F.col("w_over")).alias("sent"), F.count("*").alias("gone"))
+    left = state.where("kids > 0").join(sent, "id", "left")
+    return left.withColumn("size", F.col("size") + _sum_or("sent", 0)).withColumn("kids", F.col("kids") - _sum_or("gone", 0)).drop("sent", "gone")
+
+
+def _doubled(walk: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """(walks up to the next node that isn't in ``walk``; walks that never end, as all stand on a ring).
+
+    A walk (id, given, size, far, head, n, w, low, top, seg) has passed n nodes of weight w between
+    id and far, ``head`` being the last node passed or id itself. Each turn doubles its length.
+    """
+    before = None
+    while True:
+        last = walk
+        there = last.select(F.col("id").alias("far"), *[F.col(c).alias(f"{c}2") for c in ("far", "head", "n", "w", "low", "top", "size", *(["seg"] if paths else []))])
+        there = there.withColumnRenamed("far2", "beyond")
+        met = F.col("size2").isNotNull()
+        walk = materialize(
+            last.join(there, "far", "left").select(
+                "id", "given", "size", F.when(met, F.col("beyond")).otherwise(F.col("far")).alias("far"), F.coalesce("head2", "head").alias("head"),
+                (F.col("n") + F.when(met, F.col("n2") + 1).otherwise(0)).alias("n"), (F.col("w") + F.when(met, F.col("w2") + F.col("size2")).otherwise(0)).alias("w"),
+                F.least("low", "low2", F.when(met, F.col("far"))).alias("low"), F.when(met, F.coalesce("top2", "far")).otherwise(F.col("top")).alias("top"),
+                *([F.when(met, F.concat("seg2", F.array("far"), "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []), met.alias("open"),
+            )
+        )
+        free(last)
+        now = walk.where("open").count()
+        # Of a chain each turn ends some walks; where none ended all that are open go round.
+        if not now or now == before:
+            return walk.where("not open"), walk.where("open")
+        before = now
+
+
+_UNARY = "kids = 1 and parent is not null"
+
+
+def _without_chains(state: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(state without the nodes of one child, the walks of those taken out, the lower ends of their chains, rings of them)."""
+    walk = state.where(_UNARY).select(
+        "id", "given", "size", F.col("parent").alias("far"), F.col("id").alias("head"), F.col("n_over").alias("n"), F.col("w_over").alias("w"),
+        F.col("low_over").alias("low"), F.col("top_over").alias("top"), *([F.col("over").alias("seg")] if paths else []),
+    )
+    chains, round_ = _doubled(walk, paths)
+    up = chains.drop("given", "open").withColumnRenamed("id", "parent").withColumnRenamed("size", "up_size")
+    met = F.col("up_size").isNotNull()
+    rest = state.where(f"not ({_UNARY})").join(up, "parent", "left")
+    rest = materialize(
+        rest.select(
+            "id", "given", F.when(met, F.col("far")).otherwise(F.col("parent")).alias("parent"), "size", "kids",
+            (F.col("n_over") + F.when(met, F.col("n") + 1).otherwise(0)).alias("n_over"), (F.col("w_over") + F.when(met, F.col("w") + F.col("up_size")).otherwise(0)).alias("w_over"),
+            F.least("low_over", "low", F.when(met, F.col("parent"))).alias("low_over"), F.when(met, F.coalesce("top", "parent")).otherwise(F.col("top_over")).alias("top_over"),
+            *([F.when(met, F.concat("seg", F.array("parent"), "over")).otherwise(F.col("over")).alias("over")] if paths else []), F.when(met, F.col("head")).alias("head"),
         )
+    )
+    ends = rest.where("head is not null").select("head", "id", F.col("parent").alias("far"), F.col("w_over").alias("whole"))
+    return rest.drop("head"), chains, ends, state.join(round_.select("id"), "id", "left_semi")
 
 
-def _rings(rest: DataFrame) -> DataFrame:
-    """Only rings are left, too many for one task: the smallest id of each by doubling pointers."""
-    walk = materialize(rest.select("id", "parent", "size", F.col("parent").alias("far"), F.least("id", "parent").alias("root"), F.col("size").alias("total")))
+def _on_rings(rest: DataFrame, paths: bool) -> DataFrame:
+    """Rows of the result for nodes that stand on rings and nowhere else: the smallest id of each by doubling pointers."""
+    low = F.least("id", "parent", "low_over")
+    walk = materialize(rest.select("id", "given", F.col("parent").alias("far"), low.alias("root"), (F.col("size") + F.col("w_over")).alias("weight")))
     while True:
         there = walk.select(F.col("id").alias("far"), F.col("far").alias("far2"), F.col("root").alias("root2"))
-        nxt = materialize(walk.join(there, "far").select("id", "parent", "size", F.col("far2").alias("far"), F.least("root", "root2").alias("root"), "total"))
-        changed = nxt.select("id", "root").exceptAll(walk.select("id", "root")).limit(1).count()
-        walk = nxt
-        if not changed:
+        last = walk
+        walk = materialize(last.join(there, "far").select("id", "given", F.col("far2").alias("far"), F.least("root", "root2").alias("root"), "weight", (F.col("root2") < F.col("root")).alias("fell")))
+        if not walk.where("fell").limit(1).count():
             break
-    totals = walk.groupBy("root").agg(F.sum("size").alias("all"))
+        free(last)
+    totals = walk.groupBy("root").agg(F.sum("weight").alias("all"))
     return walk.join(totals, "root").select(
-        "id", "parent", (F.col("all") - 1).alias("n_below"), "root", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(True).alias("on_ring"), F.lit(True).alias("to_ring")
+        "id", F.col("given").alias("parent"), (F.col("all") - 1).alias("n_below"), "root", F.lit(0).alias("depth"), (F.array("id") if paths else F.lit(None).cast("array<long>")).alias("path"),
+        F.lit(True).alias("on_ring"), F.lit(True).alias("to_ring"),
+    )
+
+
+def _above(done: DataFrame, key: str, paths: bool) -> DataFrame:
+    return done.select(F.col("id").alias(key), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "to_ring", *(["path"] if paths else []))])
+
+
+def _place(paths: bool, over: str, n: str, top: str) -> list[Column]:
+    """root, depth and path of a node with nodes ``over`` it (n of them, ``top`` the topmost) below what stands above."""
+    way = F.concat(F.coalesce("up_path", _none()), over, F.array("id")) if paths else F.lit(None).cast("array<long>")
+    return [F.coalesce("up_root", top, "id").alias("root"), (_sum_or("up_depth", -1) + F.col(n) + 1).cast("int").alias("depth"), way.alias("path")]
+
+
+def _placed_leaves(leaves: DataFrame, done: DataFrame, paths: bool) -> DataFrame:
+    found = leaves.join(_above(done, "parent", paths), "parent", "left")
+    return found.select(
+        "id", F.col("given").alias("parent"), (F.col("size") - 1).alias("n_below"), *_place(paths, "over", "n_over", "top_over"), F.lit(False).alias("on_ring"), F.coalesce("up_to_ring", F.lit(False)).alias("to_ring")
     )
 
 
-def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS, chain_rows: int = CHAIN_ROWS, paths: bool = True) -> DataFrame:
+def _placed_chains(chains: DataFrame, ends: DataFrame, done: DataFrame, paths: bool) -> DataFrame:
+    below = done.select("id", F.col("n_below").alias("end_below"), F.col("on_ring").alias("ringed"), F.col("root").alias("end_root"))
+    found = ends.join(below, "id").drop("id").join(_above(done, "far", paths), "far", "left").drop("far")
+    rows = chains.drop("far").join(found, "head")
+    root, depth, path = _place(paths, "seg", "n", "top")
+    ringed = F.col("ringed")
+    return rows.select(
+        "id", F.col("given").alias("parent"), F.when(ringed, F.col("end_below")).otherwise(F.col("end_below") + F.col("whole") - F.col("w")).alias("n_below"),
+        F.when(ringed, F.col("end_root")).otherwise(root).alias("root"), F.when(ringed, 0).otherwise(depth).alias("depth"),
+        (F.when(ringed, F.array("id")).otherwise(path) if paths else path).alias("path"), ringed.alias("on_ring"), F.coalesce("up_to_ring", F.lit(False)).alias("to_ring"),
+    )
+
+
+def hierarchy(nodes: DataFrame, paths: bool = True, slow_share: float = SLOW_SHARE) -> DataFrame:
     """Path, depth, root and number of descendants of each node of (id, parent).
 
     A parent that is null or no id ends the way up: the node is a root of depth 0. Nodes on a ring
@@ -111,45 +162,32 @@ def hierarchy(nodes: DataFrame, finish_rows: int = FINISH_ROWS, chain_rows: int
     its own parent, which is a ring of one. Several rows of one id count as the one with the
     smallest parent, rows with a null id not at all; n_below counts the nodes below (on a ring,
     all others of its component). An empty table gives an empty result. ``paths`` = False leaves
-    the paths null, which are as long as the trees are deep.
+    the paths null, which are as long as the trees are deep. Nothing is gathered in one task: the
+    number of rounds grows with the logarithm of the nodes, be the trees deep or wide.
     """
-    rest = nodes.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent")).withColumn("size", F.lit(1).cast("long"))
-    rest = materialize(rest)
-    layers: list[DataFrame] = []
-    rings_only = False
-    left, before = rest.count(), None
-    while left > finish_rows and not (before and left > 0.95 * before and left <= chain_rows):
-        # Pre-aggregated: a parent of a third of all rows is one row of this side.
-        parents = rest.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.lit(True).alias("inner"))
-        marked = materialize(rest.join(parents, "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
-        leaves = marked.where(~F.col("inner")).drop("inner")
-        inner = marked.where("inner").drop("inner")
-        if leaves.isEmpty():
-            rings_only = True
+    state = _start(nodes, paths)
+    layers, rings, used = [], [], []
+    while True:
+        used.append(state)
+        total, leaves = state.agg(F.count("*"), F.count_if(F.col("kids") == 0)).first()
+        if not total:
             break
-        sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("sent"))
-        rest = materialize(inner.join(sent, "id", "left").select("id", "parent", (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size")))
-        layers.append(leaves)
-        left, before = rest.count(), left
-    if rings_only:
-        top = _rings(rest)
-    else:
-        plain = rest.select("id", F.coalesce("parent", F.lit(0)).alias("parent"), F.col("parent").isNotNull().alias("linked"), "size")
-        top = plain.coalesce(1).mapInPandas(_peeler(paths), _TOP)
-    done = materialize(top)
-    for leaves in reversed(layers):
-        above = done.select(F.col("id").alias("parent"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "path", "to_ring")])
-        placed = leaves.join(above, "parent", "left").select(
-            "id",
-            "parent",
-            (F.col("size") - 1).alias("n_below"),
-            F.coalesce("up_root", "id").alias("root"),
-            F.coalesce(F.col("up_depth") + 1, F.lit(0)).alias("depth"),
-            F.concat(F.coalesce("up_path", F.array().cast("array<long>")), F.array("id")).alias("path") if paths else F.lit(None).cast("array<long>").alias("path"),
-            F.lit(False).alias("on_ring"),
-            F.coalesce("up_to_ring", F.lit(False)).alias("to_ring"),
-        )
-        done = done.unionByName(materialize(placed))
+        if not leaves:
+            rings.append(state)
+            break
+        layers.append((state.where("kids = 0"), None))
+        if leaves >= slow_share * total:
+            state = materialize(_peeled(state))
+            continue
+        whole = materialize(_peeled(state))
+        state, chains, ends, round_ = _without_chains(whole, paths)
+        layers.append((chains, ends))
+        rings.append(round_)
+    done = materialize(_on_rings(reduce(DataFrame.unionByName, rings) if rings else state.limit(0), paths))
+    for rows, ends in reversed(layers):
+        placed = _placed_leaves(rows, done, paths) if ends is None else _placed_chains(rows, ends, done, paths)
+        done = done.unionByName(materialize(placed.select(done.columns)))
+    free(*used)
     return done
 
 

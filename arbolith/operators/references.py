@@ -30,11 +30,10 @@ _KEY = np.dtype([("key", "<i8"), ("check", "<i8"), ("since", "<i8"), ("gone", "<
 
 
 def key_blocks(keys: DataFrame, block_keys: int = BLOCK_KEYS) -> DataFrame:
-    """Sorted blocks of (key, check, since, gone), one row per key, none of them null."""
+    """Sorted blocks of (key, check, since, gone), one row per key and check, none of them null; no key is in two blocks."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
+        rest = np.empty(0, dtype=_KEY)
 
         def block(rows: np.ndarray) -> pd.DataFrame:
             return pd.DataFrame({"lo": [int(rows["key"][0])], "keys": [rows.tobytes()]})
@@ -43,14 +42,18 @@ def key_blocks(keys: DataFrame, block_keys: int = BLOCK_KEYS) -> DataFrame:
             rows = np.empty(len(pdf), dtype=_KEY)
             for name in _KEY.names:
                 rows[name] = pdf[name].to_numpy()
-            held.append(rows)
-            size += len(rows)
-            while size >= block_keys:
-                rows = np.concatenate(held)
-                yield block(rows[:block_keys])
-                held, size = [rows[block_keys:]], len(rows) - block_keys
-        if size:
-            yield block(np.concatenate(held))
+            rest = np.concatenate([rest, rows])
+            while len(rest) > block_keys:
+                # Rows of one key (hash twins) stay together: the cut is where the key changes.
+                cut = int(np.searchsorted(rest["key"], rest["key"][block_keys]))
+                if not cut:
+                    cut = int(np.searchsorted(rest["key"], rest["key"][0], side="right"))
+                    if cut == len(rest):
+                        break
+                yield block(rest[:cut])
+                rest = rest[cut:]
+        if len(rest):
+            yield block(rest)
 
     ordered = keys.repartitionByRange("key").sortWithinPartitions("key", "check")
     return ordered.select(*_KEY.names).mapInPandas(pack, _BLOCK)
@@ -122,9 +125,7 @@ def find_orphans(refs: DataFrame, keys: DataFrame, block_keys: int = BLOCK_KEYS,
     names = [f.name for f in kept]
 
     def probe(found: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        # A key's hash twin may open the next block: all blocks that start here are joined.
-        parts = [np.frombuffer(b, dtype=_KEY) for b in block["keys"]]
-        rows = np.sort(np.concatenate(parts), order=("key", "check")) if len(parts) > 1 else parts[0] if parts else np.empty(0, _KEY)
+        rows = np.frombuffer(block["keys"].iloc[0], dtype=_KEY) if len(block) else np.empty(0, _KEY)
         reason = _judge(rows, found["key"].to_numpy(), found["check"].to_numpy(), found["at"].to_numpy())
         miss = np.array([x is not None for x in reason], dtype=bool)
         return found.loc[miss, names].assign(reason=reason[miss])
@@ -165,9 +166,8 @@ def addition_orphans(additions: DataFrame, forwards: DataFrame, taxa: DataFrame,
         .unionByName(deprecated.select(F.col("ott_id").alias("key"), unknown.alias("since"), F.coalesce(_moment("retired_at"), F.lit(ALWAYS)).alias("gone")))
         .withColumn("check", F.lit(0).cast("long"))
     )
-    by_id = find_orphans(ids.unionByName(forwarded), keys)
     # A tag is known by two hashes of document and tag; it is found from the place after its record on.
-    hashes = lambda tag: (F.xxhash64("addition_id", tag).alias("key"), F.xxhash64(tag, F.lit("tag"), "addition_id").alias("check"))
+    hashes = lambda tag: (F.xxhash64("addition_id", tag).alias("key"), F.xxhash64(tag, F.lit("tag"), "addition_id").bitwiseOR(F.lit(1)).alias("check"))
     tags = records.where("parent is null").select(
         F.lit("additions").alias("table_name"), F.lit("parent_tag").alias("ref_field"), F.col("add_key").alias("row_key"), "period_ym",
         *hashes("parent_tag"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("at"),
@@ -175,8 +175,8 @@ def addition_orphans(additions: DataFrame, forwards: DataFrame, taxa: DataFrame,
     defined = additions.where("tag is not null").select(
         *hashes("tag"), (F.coalesce(F.col("seq").cast("long"), F.lit(0)) + 1).alias("since"), unknown.alias("gone")
     )
-    by_tag = find_orphans(tags, defined)
-    return by_id.unionByName(by_tag)
+    # One search for both kinds: an id has the check 0, which no tag has.
+    return find_orphans(ids.unionByName(forwarded).unionByName(tags), keys.unionByName(defined.select(keys.columns)))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -68,33 +68,47 @@ def ship(spark: SparkSession) -> None:
     context._arbolith_shipped = True
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation, and a table used more than
-    once is computed once. The files go when the driver's Python ends, or by ``release``.
+    once is computed once. The files go by ``free``, by ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arbolith-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    made = spark.read.schema(df.schema).parquet(path)
+    made._arbolith_path = path
+    return made
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone; a local folder can still be removed
+        if path.startswith("file:"):
+            shutil.rmtree(path[5:].replace("//", "/"), ignore_errors=True)
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these very DataFrames; nothing that reads them may run after."""
+    for df in frames:
+        path = getattr(df, "_arbolith_path", None)
+        if path in _written:
+            _delete(path)
 
 
 def release() -> None:
     """Delete every table that ``materialize`` wrote (their DataFrames can't be read after)."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; a local folder can still be removed
-            if path.startswith("file:"):
-                shutil.rmtree(path[5:].replace("//", "/"), ignore_errors=True)
+    for path in list(_written):
+        _delete(path)
 
 
 atexit.register(release)

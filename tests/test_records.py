@@ -2,8 +2,10 @@
 
 import json
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from arbolith.functions import text
@@ -55,6 +57,14 @@ def test_hash_twins_are_told_apart_by_their_check(spark):
     assert got == [(c,) for c in range(40, 45)]
 
 
+@pytest.mark.parametrize("block_keys", [1, 2, 3, 9])
+def test_keys_of_one_hash_are_not_parted_by_blocks(spark, block_keys):
+    listed = [(4, 0), (5, 1), (5, 2), (5, 7), (6, 1)]
+    keys = spark.createDataFrame([(*k, references.ALWAYS, None) for k in listed], "key long, check long, since long, gone long")
+    refs = spark.createDataFrame([(n, *k, 0) for n, k in enumerate([*listed, (5, 3), (4, 1), (3, 0), (7, 0)])], "row long, key long, check long, at long")
+    assert rows(references.find_orphans(refs, keys, block_keys=block_keys).select("row")) == [(5,), (6,), (7,), (8,)]
+
+
 def brute_tree(pairs):
     up = {}
     for i, p in pairs:
@@ -80,32 +90,39 @@ def make_forest(seed, n=300):
     return pairs + [(None, 4), (5, None), (7, 7)]
 
 
-def test_hierarchy_in_one_task_and_in_rounds(spark):
-    for seed, bounds in ((0, (10_000, 0)), (1, (60,))):
-        pairs = make_forest(seed)
-        df = spark.createDataFrame(pairs, "id long, parent long")
-        for finish in bounds:
-            tree = hierarchy.hierarchy(df, finish_rows=finish)
-            assert rows(tree.select("id", "root", "depth", "to_ring")) == brute_tree(pairs), (seed, finish)
-
-
-def test_long_chains_end_in_one_task(spark):
-    n = 30_000
+@pytest.mark.parametrize(("seed", "share"), [(0, 0.0), (1, 0.2), (2, 1.0)])
+def test_hierarchy_with_and_without_taking_out_chains(spark, seed, share):
+    pairs = make_forest(seed) + [(1000 + k, 999 + k if k else 7) for k in range(15)] + [(2000 + k, 2000 + (k + 1) % 9) for k in range(9)] + [(3000, 2003), (3001, 3000), (3002, 2005)]
+    tree = hierarchy.hierarchy(spark.createDataFrame(pairs, "id long, parent long"), slow_share=share)
+    assert rows(tree.select("id", "root", "depth", "to_ring")) == brute_tree(pairs)
+    known = {r["id"]: r for r in tree.collect()}
+    below = Counter(a for r in known.values() for a in r["path"][:-1])
+    members = Counter(r["root"] for r in known.values() if r["to_ring"])
+    for i, r in known.items():
+        above = [i]
+        while not known[above[-1]]["on_ring"] and known[above[-1]]["parent"] in known:
+            above.append(known[above[-1]]["parent"])
+        assert r["path"] == above[::-1]
+        assert r["n_below"] == (members[r["root"]] - 1 if r["on_ring"] else below[i])
+
+
+def test_long_chains_end_in_few_rounds(spark):
+    n = 200_000
     chain = spark.range(n).selectExpr("id", "case when id = 0 then null else id - 1 end as parent")
     leaves = spark.range(n, n + 3000).selectExpr("id", "id % 50 as parent")
-    tree = hierarchy.hierarchy(chain.union(leaves), finish_rows=1000, paths=False)
+    tree = hierarchy.hierarchy(chain.union(leaves), paths=False)
     last = tree.where(f"id = {n - 1}").first()
     assert (last["root"], last["depth"], last["path"]) == (0, n - 1, None) and tree.where("id = 0").first()["n_below"] == n + 2999
-    assert tree.count() == n + 3000 and tree.where("path is not null").count() == 0
+    assert tree.count() == n + 3000 and tree.where(f"id < {n} and depth = id").count() == n
     ring = spark.range(n).selectExpr("id", f"(id + 1) % {n} as parent")
-    assert hierarchy.hierarchy(ring, finish_rows=1000, paths=False).where("on_ring and root = 0 and depth = 0").count() == n
+    assert hierarchy.hierarchy(ring, paths=False).where(f"on_ring and root = 0 and depth = 0 and n_below = {n - 1}").count() == n
 
 
 def test_paths_and_descendants(spark):
     big = (1 << 60) + 1
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (big, 3), (9, 8), (8, 9), (10, 9)], "id long, parent long")
-    for finish in (100, 1):
-        tree = hierarchy.hierarchy(df, finish_rows=finish)
+    for share in (0.0, 1.0):
+        tree = hierarchy.hierarchy(df, slow_share=share)
         got = {r["id"]: (list(r["path"]), r["n_below"]) for r in tree.collect()}
         assert got[big] == ([1, 2, 3, big], 0) and got[1] == ([1], 3) and got[10] == ([9, 10], 0) and got[8] == ([8], 2)
         pairs = rows(hierarchy.descendants(tree))
