@@ -1,8 +1,9 @@
 """Nested addition documents as related flat tables.
 
 One projection of nested ``transform`` calls gives every entry its ancestors' keys and positions,
-``flatten`` joins the arrays, and one ``inline`` for each target table emits the rows. Nothing is
-shuffled but the choice of the row loaded last for a repeated key.
+``flatten`` joins the arrays, and one ``inline`` for each target table emits its rows from that
+projection, which is written once. Nothing is shuffled but the choice of the row loaded last for
+a repeated key.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbolith.runtime import materialize
+
+_REPEATS = "spark.sql.variant.allowDuplicateKeys"
 #: Follows a body when it is parsed, so that anything behind its first value is seen.
 _END = "\\u0002end\\u0002"
 
@@ -39,14 +43,24 @@ def _is_object(value: Column) -> Column:
 
 
 def parse_documents(df: DataFrame, key: str = "doc_key", body: str = "body", loaded: str = "loaded_at") -> DataFrame:
-    """(doc_key, readable, id, study_id, taxa): each key once, the row loaded last (ties: the larger body).
+    """(doc_key, readable, id, study_id, taxa, sources, flags): each key once, the row loaded last (ties: the larger body).
 
-    ``taxa`` is an array of structs (position, entry) of the entries that are objects, with their
-    positions counting all entries. A document sent as a string within ``addition_document`` is
-    read like one in a file. A null body or one that isn't strict JSON has readable = false, as
-    has one whose inner document isn't. Rows with a null key count as one document.
+    The three lists hold the rows of the flat tables: every entry with its document's taxon_pos
+    and its own child_pos, both from 0 and counting all entries, null ones too. A document sent as
+    a string within ``addition_document`` is read like one in a file. A null body or one that isn't
+    strict JSON has readable = false, as has one whose inner document isn't. Rows with a null key
+    count as one document. The documents are parsed here, once; the session's settings stay.
     """
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # a repeated member is valid JSON
+    conf = df.sparkSession.conf
+    before = conf.get(_REPEATS, None)
+    conf.set(_REPEATS, "true")  # a repeated member is valid JSON
+    try:
+        return materialize(_projected(df, key, body, loaded))
+    finally:
+        conf.unset(_REPEATS) if before is None else conf.set(_REPEATS, before)
+
+
+def _projected(df: DataFrame, key: str, body: str, loaded: str) -> DataFrame:
     last = df.groupBy(F.col(key).alias("doc_key")).agg(F.max(F.struct(F.col(loaded).alias("at"), F.col(body).alias("body"))).alias("row"))
     outer = last.select("doc_key", _strict(F.col("row.body")).alias("outer"))
     sent = F.when(_is_object(F.col("outer")), F.try_variant_get("outer", "$.addition_document", "variant"))
@@ -58,14 +72,15 @@ def parse_documents(df: DataFrame, key: str = "doc_key", body: str = "body", loa
         .alias("doc"),
     )
     part = lambda name: F.when(_is_object(F.col("doc")), F.try_variant_get("doc", f"$.{name}", "variant"))
-    listed = F.transform(_entries(part("taxa")), lambda x, i: F.struct(i.alias("taxon_pos"), x.alias("entry")))
-    return opened.select(
+    listed = F.transform(_entries(part("taxa")), lambda x, i: F.struct(i.cast("long").alias("taxon_pos"), x.alias("entry")))
+    kept = opened.select(
         "doc_key",
         F.col("doc").isNotNull().alias("readable"),
         _text(part("id")).alias("id"),
         _text(part("study_id")).alias("study_id"),
-        F.filter(listed, lambda x: _is_object(x["entry"])).alias("taxa"),
+        F.filter(listed, lambda x: _is_object(x["entry"])).alias("entries"),
     )
+    return kept.select("doc_key", "readable", "id", "study_id", _taxa().alias("taxa"), _sources().alias("sources"), _flags().alias("flags"))
 
 
 def _member(entry: Column, name: str) -> Column:
@@ -77,66 +92,67 @@ def _digits(value: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text).otherwise(F.lit(""))
 
 
-def flat_taxa(parsed: DataFrame) -> DataFrame:
-    """One row per taxon with its scalar fields as text."""
+def _taxa() -> Column:
+    """One entry per taxon with its scalar fields as text."""
     fields = ("name", "rank", "parent", "parent_tag", "tag")
-    rows = F.transform(
-        "taxa",
+    return F.transform(
+        "entries",
         lambda t: F.struct(
             t["taxon_pos"].alias("taxon_pos"),
             _digits(_member(t["entry"], "ott_id")).alias("ott_id"),
             *[_text(_member(t["entry"], f)).alias(f) for f in fields],
         ),
     )
-    return parsed.select("doc_key", F.inline(rows))
 
 
-def flat_sources(parsed: DataFrame) -> DataFrame:
-    """One row per source with a text: the ``source`` of an object or an entry that is a string."""
+def _sources() -> Column:
+    """One entry per source with a text: the ``source`` of an object or an entry that is a string."""
 
     def one(t: Column, s: Column, j: Column) -> Column:
         text = lambda name: F.when(_is_object(s), _text(_member(s, name)))
         own = F.when(_is_object(s), text("source")).otherwise(_text(s))
-        return F.struct(t["taxon_pos"].alias("taxon_pos"), j.alias("child_pos"), own.alias("source"), text("source_type").alias("source_type"))
+        return F.struct(t["taxon_pos"].alias("taxon_pos"), j.cast("long").alias("child_pos"), own.alias("source"), text("source_type").alias("source_type"))
 
-    nested = F.transform("taxa", lambda t: F.transform(_entries(_member(t["entry"], "sources")), lambda s, j: one(t, s, j)))
-    return parsed.select("doc_key", F.inline(F.filter(F.flatten(nested), lambda x: x["source"].isNotNull() & (x["source"] != ""))))
+    nested = F.transform("entries", lambda t: F.transform(_entries(_member(t["entry"], "sources")), lambda s, j: one(t, s, j)))
+    return F.filter(F.flatten(nested), lambda x: x["source"].isNotNull() & (x["source"] != ""))
 
 
-def flat_flags(parsed: DataFrame) -> DataFrame:
-    """One row per flag that isn't null."""
+def _flags() -> Column:
+    """One entry per flag that isn't null."""
     nested = F.transform(
-        "taxa",
+        "entries",
         lambda t: F.transform(
             _entries(_member(t["entry"], "flags")),
-            lambda f, j: F.struct(t["taxon_pos"].alias("taxon_pos"), j.alias("child_pos"), _text(f).alias("flag")),
+            lambda f, j: F.struct(t["taxon_pos"].alias("taxon_pos"), j.cast("long").alias("child_pos"), _text(f).alias("flag")),
         ),
     )
-    return parsed.select("doc_key", F.inline(F.filter(F.flatten(nested), lambda x: x["flag"].isNotNull())))
+    return F.filter(F.flatten(nested), lambda x: x["flag"].isNotNull())
 
 
-def flat_rows(parsed: DataFrame) -> DataFrame:
-    """(doc_key, taxon_pos, child_table, child_pos, child_value) of all tables and unreadable bodies.
+def flat_taxa(parsed: DataFrame) -> DataFrame:
+    """(doc_key, taxon_pos, ott_id, name, rank, parent, parent_tag, tag), one row per taxon."""
+    return parsed.select("doc_key", F.inline("taxa"))
 
-    All entries come from one projection, so that the documents are read and parsed once.
-    """
-    row = lambda pos, table, child, value: F.struct(
-        pos.cast("long").alias("taxon_pos"), F.lit(table).alias("child_table"), child.cast("long").alias("child_pos"), value.alias("child_value")
-    )
 
-    def sources(t: Column) -> Column:
-        listed = F.transform(
-            _entries(_member(t["entry"], "sources")),
-            lambda s, j: row(t["taxon_pos"], "source", j, F.when(_is_object(s), _text(_member(s, "source"))).otherwise(_text(s))),
-        )
-        return F.filter(listed, lambda x: x["child_value"].isNotNull() & (x["child_value"] != ""))
+def flat_sources(parsed: DataFrame) -> DataFrame:
+    """(doc_key, taxon_pos, child_pos, source, source_type), one row per source with a text."""
+    return parsed.select("doc_key", F.inline("sources"))
+
 
-    def flags(t: Column) -> Column:
-        listed = F.transform(_entries(_member(t["entry"], "flags")), lambda f, j: row(t["taxon_pos"], "flag", j, _text(f)))
-        return F.filter(listed, lambda x: x["child_value"].isNotNull())
+def flat_flags(parsed: DataFrame) -> DataFrame:
+    """(doc_key, taxon_pos, child_pos, flag), one row per flag that isn't null."""
+    return parsed.select("doc_key", F.inline("flags"))
 
-    def taxon(t: Column) -> Column:
-        return F.concat(F.array(row(t["taxon_pos"], "taxon", F.lit(-1), _digits(_member(t["entry"], "ott_id")))), sources(t), flags(t))
 
-    lost = F.array(row(F.lit(-1), "unreadable", F.lit(-1), F.lit("")))
-    return parsed.select("doc_key", F.inline(F.when(F.col("readable"), F.flatten(F.transform("taxa", taxon))).otherwise(lost)))
+def flat_rows(parsed: DataFrame) -> DataFrame:
+    """(doc_key, taxon_pos, child_table, child_pos, child_value) of all flat tables and unreadable bodies."""
+    row = lambda df, table, pos, child, value: df.select(
+        "doc_key", pos.alias("taxon_pos"), F.lit(table).alias("child_table"), child.alias("child_pos"), value.alias("child_value")
+    )
+    pos, child, none = F.col("taxon_pos"), F.col("child_pos"), F.lit(-1).cast("long")
+    return (
+        row(flat_taxa(parsed), "taxon", pos, none, F.col("ott_id"))
+        .unionByName(row(flat_sources(parsed), "source", pos, child, F.col("source")))
+        .unionByName(row(flat_flags(parsed), "flag", pos, child, F.col("flag")))
+        .unionByName(row(parsed.where("not readable"), "unreadable", none, none, F.lit("")))
+    )

@@ -40,10 +40,19 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(_tree(spark, sf)).select("ancestor", "descendant", F.col("distance").cast("long").alias("distance"))
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+def _changes(spark: SparkSession, sf: str) -> DataFrame:
     values = {"name": text.squeeze(F.col("name")), "parent": F.col("parent")}
     changes = snapshots.snapshot_changes(_table(spark, sf, "addition_snapshots"), "ott_id", "snap_no", "loaded_at", values)
-    return changes.select(F.col("snap_no").cast("int").alias("snap_no"), F.col("key").alias("ott_id"), "change_kind")
+    return changes.select(F.col("snap_no").cast("int").alias("snap_no"), F.col("key").alias("ott_id"), "change_kind", "fields")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _changes(spark, sf).drop("fields")
+
+
+def p4_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Which fields changed of each taxon that did."""
+    return _changes(spark, sf).where("change_kind = 'changed'").select("snap_no", "ott_id", F.explode("fields").alias("field_name"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +63,15 @@ def p6_taxa(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flat_taxa(nested.parse_documents(_table(spark, sf, "addition_docs")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p4_found, p6_found, p6_taxa)}
+def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.flat_sources(nested.parse_documents(_table(spark, sf, "addition_docs")))
+
+
+def p6_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.flat_flags(nested.parse_documents(_table(spark, sf, "addition_docs")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_paths, p2_descendants, p4_found, p4_fields, p6_found, p6_taxa, p6_sources, p6_flags)}
 
 _P1 = """
 with rec as (select distinct add_key, addition_id, seq, ott_id, tag, parent, parent_tag, submitted_at from additions),
@@ -125,6 +142,16 @@ src as (
 flg as (select doc_key, taxon_pos, 'flag' as child_table, child_pos, case when json_type(e) <> 'NULL' then json_extract_string(e, '$') end as child_value from kid where name = 'flags')
 """
 
+_P4 = r"""
+with norm as (
+  select snap_no, ott_id, trim(regexp_replace(name, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as name, parent, loaded_at
+  from addition_snapshots where ott_id is not null),
+last as (select snap_no, ott_id, name, parent from norm qualify row_number() over (partition by snap_no, ott_id order by loaded_at desc, name desc, parent desc) = 1),
+follow as (select snap_no as old_no, lead(snap_no) over (order by snap_no) as snap_no from (select distinct snap_no from last)),
+a as (select f.snap_no, l.ott_id, l.name, l.parent from last l join follow f on f.old_no = l.snap_no where f.snap_no is not null),
+b as (select l.* from last l join follow f on f.snap_no = l.snap_no)
+"""
+
 ORACLE = {
     "p1_found": _P1 + "select * from found",
     "p1_report": _P1 + "select table_name, ref_field, period_ym, reason, count(*) as n_refs from found group by all",
@@ -143,17 +170,17 @@ from placed p join ways y on y.id = p.id left join below b on b.id = p.id left j
     + "select o.doc_key, o.taxon_pos, o.child_value as ott_id, "
     + ", ".join(f"json_extract_string(t.t, '$.{f}') as {f}" for f in ("name", "rank", "parent", "parent_tag", "tag"))
     + " from own o join taxon t on t.doc_key = o.doc_key and t.taxon_pos = o.taxon_pos",
-    "p4_found": r"""
-with norm as (
-  select snap_no, ott_id, trim(regexp_replace(name, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) as name, parent, loaded_at
-  from addition_snapshots where ott_id is not null),
-last as (select snap_no, ott_id, name, parent from norm qualify row_number() over (partition by snap_no, ott_id order by loaded_at desc, name desc, parent desc) = 1),
-follow as (select snap_no as old_no, lead(snap_no) over (order by snap_no) as snap_no from (select distinct snap_no from last)),
-a as (select f.snap_no, l.ott_id, l.name, l.parent from last l join follow f on f.old_no = l.snap_no where f.snap_no is not null),
-b as (select l.* from last l join follow f on f.snap_no = l.snap_no)
-select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.ott_id, b.ott_id) as ott_id,
+    "p4_found": _P4
+    + """select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.ott_id, b.ott_id) as ott_id,
   case when a.ott_id is null then 'added' when b.ott_id is null then 'removed' else 'changed' end as change_kind
 from a full outer join b on a.snap_no = b.snap_no and a.ott_id = b.ott_id
 where a.ott_id is null or b.ott_id is null or a.name is distinct from b.name or a.parent is distinct from b.parent
 """,
+    "p4_fields": _P4
+    + """select b.snap_no, b.ott_id, v.field_name from a join b on a.snap_no = b.snap_no and a.ott_id = b.ott_id, (values ('name'), ('parent')) v(field_name)
+where case v.field_name when 'name' then a.name is distinct from b.name else a.parent is distinct from b.parent end""",
+    "p6_sources": _P6
+    + "select s.doc_key, s.taxon_pos, s.child_pos, s.child_value as source, case when json_type(k.e) = 'OBJECT' then json_extract_string(k.e, '$.source_type') end as source_type "
+    "from src s join kid k on k.doc_key = s.doc_key and k.taxon_pos = s.taxon_pos and k.child_pos = s.child_pos and k.name = 'sources' where s.child_value <> ''",
+    "p6_flags": _P6 + "select doc_key, taxon_pos, child_pos, child_value as flag from flg where child_value is not null",
 }

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,14 +170,54 @@ def test_snapshot_changes(spark):
     df = spark.createDataFrame(data, "snap_no int, ott_id long, name string, parent long, loaded_at timestamp, ordinal string")
     values = {"name": text.squeeze(F.col("name")), "parent": F.col("parent")}
     got = snapshots.snapshot_changes(df, "ott_id", "snap_no", "loaded_at", values)
-    assert rows(got) == sorted(want)
+    assert rows(got.drop("fields")) == sorted(want)
+    fields = {(r["snap_no"], r["key"]): r["fields"] for r in got.where("change_kind = 'changed'").collect()}
+    pairs = dict(zip(snaps[1:], snaps))
+    for (snap, key), named in fields.items():
+        a, b = last[pairs[snap], key][1], last[snap, key][1]
+        assert named == [f for f, x, y in zip(("name", "parent"), a, b) if x != y]
+    # One snapshot at a time, from what was kept of the one before.
+    first = snapshots.latest_rows(df.where("snap_no = 1"), "ott_id", "snap_no", "loaded_at", values)
+    registry = snapshots.register_keys(first)
+    blocks = snapshots.snapshot_blocks(first, registry)
+    steps = []
+    for snap in snaps[1:]:
+        before = {r["key"]: r["ordinal"] for r in registry.collect()}
+        registry, blocks, changes = snapshots.next_changes(df.where(f"snap_no = {snap}"), registry, blocks, "ott_id", "snap_no", "loaded_at", values)
+        now = {r["key"]: r["ordinal"] for r in registry.collect()}
+        assert before.items() <= now.items() and sorted(now.values()) == list(range(len(now)))
+        steps += rows(changes.drop("fields"))
+    assert sorted(steps) == sorted(want)
     assert rows(snapshots.snapshot_changes(df.limit(0), "ott_id", "snap_no", "loaded_at", values)) == []
 
 
 def test_a_snapshot_that_drops_everything_but_one(spark):
     df = spark.createDataFrame([(1, k, "n", None, T0) for k in range(5)] + [(2, 9, "n", None, T0)], "snap_no int, ott_id long, name string, parent long, loaded_at timestamp")
     got = snapshots.snapshot_changes(df, "ott_id", "snap_no", "loaded_at", {"name": F.col("name")})
-    assert rows(got) == sorted([(2, k, "removed") for k in range(5)] + [(2, 9, "added")])
+    assert rows(got.drop("fields")) == sorted([(2, k, "removed") for k in range(5)] + [(2, 9, "added")])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_compressed_bitmaps(seed):
+    rng = np.random.default_rng(seed)
+    top = snapshots.CHUNK
+
+    def some():
+        kind = rng.integers(4)
+        if kind == 0:
+            return np.sort(rng.choice(top, rng.integers(0, 40), replace=False))
+        if kind == 1:
+            return np.flatnonzero(rng.random(top) < 0.5)
+        ends = np.sort(rng.choice(top + 1, 6, replace=False))
+        return np.concatenate([np.arange(a, b) for a, b in zip(ends[::2], ends[1::2])]) if kind == 2 else np.arange(top)
+
+    for _ in range(40):
+        a, b = some(), some()
+        x, y = (snapshots.Bitmap(snapshots.Bitmap.pack(s)) for s in (a, b))
+        assert np.array_equal(x.meet(y, True), np.intersect1d(a, b)) and np.array_equal(x.meet(y, False), np.setdiff1d(a, b))
+        picked = a[rng.random(len(a)) < 0.3]
+        assert np.array_equal(x.rank(picked), np.searchsorted(a, picked))
+    assert not len(snapshots.Bitmap(None).meet(x, True)) and np.array_equal(x.meet(snapshots.Bitmap(None), False), a)
 
 
 def brute_docs(docs):
