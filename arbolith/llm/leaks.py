@@ -15,6 +15,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -329,6 +330,17 @@ class Scanner:
         return out
 
 
+#: The scanner that this Python process made last: its tasks over one block of items share it.
+_held: dict[str, Scanner] = {}
+
+
+def _scanner(token: str, items: list[tuple[int, list[str]]]) -> Scanner:
+    if token not in _held:
+        _held.clear()
+        _held[token] = Scanner(items)
+    return _held[token]
+
+
 def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
     """The items as word lists, streamed to the driver and cut into blocks of bounded size."""
     block: list[tuple[int, list[str]]] = []
@@ -351,7 +363,8 @@ def leak_spans(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
     Columns as in SPANS; word places count the words of the document as ``words`` cuts them. Null
     and empty texts have no spans, items of fewer than 20 words none either; repeated items and
-    documents count like any other. Texts are never moved: one pass over them per block of items.
+    documents count like any other. Texts are never moved: one pass over them per block of items, whose
+    automaton each Python process makes once.
     """
     spark = documents.sparkSession
     given = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -359,8 +372,8 @@ def leak_spans(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     for block in item_blocks(items, item_key, item_text, block_words):
         sent = spark.sparkContext.broadcast(block)  # bounded by block_words
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            scanner = Scanner(sent.value)
+        def run(batches: Iterator[pd.DataFrame], sent=sent, token=uuid4().hex) -> Iterator[pd.DataFrame]:
+            scanner = _scanner(token, sent.value)
             for pdf in batches:
                 out = [(d, *span) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for span in scanner.scan(t)]
                 yield pd.DataFrame([(d, i, a, b, n, h, e) for d, i, a, b, n, h, e in out], columns=["doc_id", "item_id", "first_word", "last_word", "item_words", "held_words", "edits"])

@@ -9,13 +9,15 @@ from functools import lru_cache
 # Letters of other alphabets that look like the Latin letter before them.
 CYRILLIC = {
     "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х",
-    "Y": "Ү", "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ",
+    "Y": "У", "a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ",
     "x": "х", "y": "у",
 }
 GREEK = {
     "A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ",
     "i": "ι", "o": "ο", "v": "ν",
 }
+#: Further letters of these alphabets that look like a Latin one, with that one.
+ALSO_LATIN = {"Ү": "Y", "ѵ": "v", "Ѵ": "V", "Ԛ": "Q", "Ԝ": "W", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J"}
 #: Other signs that look like a Latin letter, whatever stands around them.
 SAME = {"ɡ": "g", "ɑ": "a", "օ": "o", "ⅼ": "l"}
 #: Characters that can't be seen, and blanks of one kind or another.
@@ -48,11 +50,12 @@ class _Forms(dict):
 
 _FORMS = _Forms()
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
-_TO_LATIN = {v: k for table in (CYRILLIC, GREEK) for k, v in table.items()}
+_TO_LATIN = {v: k for table in (CYRILLIC, GREEK) for k, v in table.items()} | ALSO_LATIN
 _TO_LATIN_TABLE = str.maketrans(_TO_LATIN)
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
-WORD = re.compile(r"[^\W\d_]+")
-WORD_WITH_FOREIGN = re.compile(r"(?<![^\W\d_])[^\W\d_Ͱ-ԯ]*+[Ͱ-ԯ][^\W\d_]*")
+_LETTER = r"(?:[^\W\d_]|[̀-ͯ])"
+#: A word, accents that have no composed letter included, with a letter of another alphabet in it.
+WORD_WITH_FOREIGN = re.compile(rf"(?<![^\W\d_])(?<![̀-ͯ])(?:[^\W\d_Ͱ-ԯ]|[̀-ͯ])*+[Ͱ-ԯ]{_LETTER}*")
 
 
 def uniform(text: str) -> str:
@@ -128,13 +131,13 @@ def readings(word: str) -> tuple[bool, tuple[str, ...]]:
 
 
 @lru_cache(maxsize=200_000)
-def sight_key(word: str) -> str:
-    """One spelling for all words that look like ``word``: Latin if every letter has a Latin twin, else as it reads in its own script."""
-    latin = [_as(c, "latin") for c in unicodedata.normalize("NFD", word)]
-    if None not in latin:
-        return unicodedata.normalize("NFC", "".join(latin))
-    ways = readings(word)[1]
-    return ways[0] if ways else word
+def latin_twin(word: str) -> str:
+    """A word in one other alphabet whose letters all look like Latin ones, as these; any other word as it is."""
+    parts = unicodedata.normalize("NFD", word)
+    if any(_script(c) == "latin" for c in parts if c.isalpha()):
+        return word
+    latin = [_as(c, "latin") for c in parts]
+    return word if None in latin else unicodedata.normalize("NFC", "".join(latin))
 
 
 def foreign_words(text: str) -> set[str]:
@@ -143,6 +146,10 @@ def foreign_words(text: str) -> set[str]:
 
 
 def keyed(text: str, foreign: set[str] | None = None) -> str:
-    """The text with each word that holds foreign letters (``foreign``, if known) spelled as ``sight_key`` does."""
-    changed = {w: k for w in (foreign_words(text) if foreign is None else foreign) if (k := sight_key(w)) != w}
+    """The text with each word wholly of look-alikes (``foreign``: the words with foreign letters, if known) in Latin letters.
+
+    For comparison only: such a word is in one alphabet, so there is nothing in it to repair, but
+    its letters can't be told from Latin ones. Words of several alphabets stay as they are.
+    """
+    changed = {w: k for w in (foreign_words(text) if foreign is None else foreign) if (k := latin_twin(w)) != w}
     return WORD_WITH_FOREIGN.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text

@@ -23,6 +23,8 @@ from arbolith.runtime import materialize
 
 #: Tokens a container holds, and tokens of all pieces in a shard (some thousand containers).
 CAPACITY, SHARD_TOKENS = 2048, 8_000_000
+#: Copies of one text that a task writes out at a time.
+COPIES = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -102,7 +104,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         while gap and (size := stock.largest(gap)):
             inside.append((size, stock.take(size)))
             gap -= size
-        if gap and len(inside) > 1:
+        if gap:
             small, piece = inside[-1]
             two = stock.best_two(gap + small, small)
             if two:
@@ -115,25 +117,55 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def containers(counts: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(id, piece_no, start_token, n_tokens, shard, container_no) of every piece of (id, n_tokens).
+    """(id, copy_no, piece_no, start_token, n_tokens, shard, container_no) of every piece of (id, n_tokens).
 
     A container is (shard, container_no). Texts of more than ``capacity`` tokens are cut into full
     pieces and a rest, others never; texts without tokens need no container and have no row. A
-    repeated id is packed as often as it comes.
+    repeated id is packed as often as it comes, numbered by ``copy_no``. The result is the same
+    however the rows are partitioned.
     """
-    counts = materialize(counts.where("n_tokens > 0"))
-    total = counts.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    given = materialize(counts.where("n_tokens > 0").groupBy("id", "n_tokens").agg(F.count("*").alias("copies")))
+    total = given.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_tokens))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(capacity).cast("long"))
-    pieces = counts.select("id", "n_tokens", F.posexplode(starts).alias("piece_no", "start_token")).select(
-        "id", "piece_no", "start_token", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("start_token")).alias("n_tokens")
+    steps = lambda until, by: F.sequence(F.lit(0).cast("long"), until - 1, F.lit(by).cast("long"))
+    # Copies in two steps with a shuffle between, as one id may stand for a third of all rows.
+    many = given.withColumn("from_copy", F.explode(steps(F.col("copies"), COPIES))).repartition("id", "from_copy")
+    copies = many.withColumn("copy_no", F.explode(F.sequence("from_copy", F.least(F.col("from_copy") + COPIES, F.col("copies")) - 1)))
+    pieces = copies.select("id", "copy_no", "n_tokens", F.posexplode(steps(F.col("n_tokens"), capacity)).alias("piece_no", "start_token")).select(
+        "id", "copy_no", "piece_no", "start_token", F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("start_token")).alias("n_tokens")
     )
-    # Hashed by text and piece: neither copies of a text nor pieces of a long one gather in a shard.
-    spread = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece_no", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    kinds = "id long, piece_no int, start_token long, n_tokens long, shard int, container_no long"
+    # Hashed by copy and piece: neither copies of a text nor pieces of a long one gather in a shard.
+    spread = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "copy_no", "piece_no"), F.lit(shards)).cast("int"))
+    kinds = "id long, copy_no long, piece_no int, start_token long, n_tokens long, shard int, container_no long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "id", "piece_no"], ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "id", "copy_no", "piece_no"], ignore_index=True)
         return pdf.assign(container_no=pack(pdf["n_tokens"].to_numpy(), capacity))
 
     return spread.groupBy("shard").applyInPandas(run, kinds)
+
+
+def checks(counts: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(check_name, n): texts that got a place, then what breaks a rule, 0 each if all is right.
+
+    ``lost_tokens``: texts whose pieces don't sum up to them; ``split_short``: texts cut without
+    need; ``parts_out_of_place``: pieces that don't follow the one before; ``overfull``: containers
+    beyond the capacity; ``fill_below_98_percent``: 1 if containers are less full, but for one a
+    shard at most that stays open.
+    """
+    counts = materialize(counts.where("n_tokens > 0"))
+    placed = materialize(containers(counts, capacity, shard_tokens))
+    want = counts.groupBy("id").agg(F.sum("n_tokens").alias("want"), F.count("*").alias("texts"), F.max("n_tokens").alias("longest"))
+    got = placed.groupBy("id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.count_if(F.col("start_token") != F.col("piece_no") * capacity).alias("astray"))
+    same = want.join(got, want["id"].eqNullSafe(got["id"]), "full_outer")
+    texts = same.agg(
+        F.coalesce(F.sum(F.when(F.col("got").isNotNull(), F.col("texts"))), F.lit(0)).alias("texts"), F.count_if(~F.col("want").eqNullSafe(F.col("got"))).alias("lost_tokens"),
+        F.count_if((F.col("longest") <= capacity) & (F.col("pieces") > F.col("texts"))).alias("split_short"), F.coalesce(F.sum("astray"), F.lit(0)).alias("parts_out_of_place"),
+    )
+    filled = placed.groupBy("shard", "container_no").agg(F.sum("n_tokens").alias("held"))
+    boxes = filled.agg(
+        F.count_if(F.col("held") > capacity).alias("overfull"),
+        F.coalesce((F.sum("held") < 0.98 * capacity * (F.count("*") - F.countDistinct("shard"))).cast("long"), F.lit(0).cast("long")).alias("fill_below_98_percent"),
+    )
+    one = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).cast("long").alias("n")) for c in df.columns])))
+    return one(texts).unionByName(one(boxes))

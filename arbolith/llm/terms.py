@@ -1,7 +1,7 @@
 """Frequency of every distinct term or run of terms, by suffix arrays with common-prefix intervals.
 
-Each block of records gets a suffix array over its terms (cut at the longest run asked for); its
-intervals of a common prefix give the occurrences of all runs, and the number of records follows
+Each block of records gets a suffix array over its terms; its intervals of a common prefix give
+the occurrences of all runs, of single terms and of longer ones, and the number of records follows
 by taking off the neighbours of one record within an interval. A record lies in one block, so
 both counts of the blocks add up; a term that most records hold is one row per block.
 """
@@ -18,67 +18,107 @@ from pyspark.sql import functions as F
 from arbolith.functions import text
 from arbolith.runtime import materialize
 
+#: Terms after which a block of records is closed; a record is never parted.
+BLOCK_TERMS = 1 << 19
 #: Stands between the terms of a run.
 JOIN = "\x1f"
 
 _COUNTS = "field_name string, n int, term string, occurrences long, records long"
 
 
-def intervals(tokens: np.ndarray, record: np.ndarray, longest: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(n, first position, occurrences, records) of each distinct run of n tokens, for n up to ``longest``.
+def suffix_array(tokens: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the suffixes in order, and how many tokens each shares with the one before.
 
-    ``record`` tells the record of each token and doesn't fall; runs don't cross records.
+    ``left`` tells how many tokens of its record start at each place; a suffix ends with its
+    record. By doubling prefixes: log2 of the longest record sorts, whose ranks also give the
+    common prefixes by steps of powers of two. Equal suffixes stand in the order of their places.
     """
     size = len(tokens)
-    shifted = np.full((longest, size), -1, dtype=np.int64)
-    for k in range(min(longest, size)):
-        shifted[k, : size - k] = tokens[k:]
-        if k:
-            shifted[k, : size - k][record[k:] != record[: size - k]] = -1
-            shifted[k][shifted[k - 1] < 0] = -1
-    order = np.lexsort((record, *shifted[::-1]))
-    columns, owner = shifted[:, order], record[order]
-    common = np.zeros(size, dtype=np.int64)  # longest common prefix with the suffix before
-    same = np.ones(size - 1, dtype=bool) if size else np.zeros(0, dtype=bool)
-    for k in range(longest):
-        same &= (columns[k, 1:] == columns[k, :-1]) & (columns[k, 1:] >= 0)
-        common[1:][same] = k + 1
-    out = []
-    for n in range(1, longest + 1):
-        whole = np.flatnonzero(columns[n - 1] >= 0)
-        if not len(whole):
+    levels = [tokens.astype(np.int64)]
+    step, most = 1, int(left.max()) if size else 0
+    kinds = len(np.unique(tokens))
+    while step < most:
+        rank = levels[-1]
+        second = np.zeros(size, dtype=np.int64)
+        longer = np.flatnonzero(left > step)
+        second[longer] = rank[longer + step] + 1
+        found, rank = np.unique(rank * (size + 1) + second, return_inverse=True)
+        levels.append(rank)
+        step *= 2
+        if len(found) == kinds:  # a doubling that tells no more apart: nor will the next
             break
-        opens = common[whole] < n
+        kinds = len(found)
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(size, dtype=np.int64)
+    if size > 1:
+        a, b, same = order[:-1], order[1:], common[1:]
+        for k in range(len(levels) - 1, -1, -1):
+            while True:  # once, but at the highest level, where doubling ended early
+                open_ = np.flatnonzero((left[a] - same >= 1 << k) & (left[b] - same >= 1 << k))
+                hit = open_[levels[k][a[open_] + same[open_]] == levels[k][b[open_] + same[open_]]]
+                same[hit] += 1 << k
+                if k < len(levels) - 1 or not len(hit):
+                    break
+    return order, common
+
+
+def intervals(tokens: np.ndarray, record: np.ndarray, longest: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, first position, occurrences, records) of each distinct run of n tokens, for n up to ``longest`` (None: any).
+
+    ``record`` tells the record of each token and doesn't fall; runs don't cross records. A run is
+    an interval of suffixes with a common prefix of n tokens at least: as wide as it occurs, less
+    the neighbours of one record within it as many records have it.
+    """
+    ends = np.r_[np.flatnonzero(np.diff(record)) + 1, len(record)] if len(record) else np.empty(0, np.int64)
+    left = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(record))
+    order, common = suffix_array(tokens, left)
+    left, owner = left[order], record[order]
+    for n in range(1, (int(left.max()) if len(left) else 0) + 1):
+        if longest is not None and n > longest:
+            break
+        whole = left >= n
+        order, common, left, owner = order[whole], _least_between(common, whole), left[whole], owner[whole]
+        opens = common < n
+        opens[0] = True
         interval = np.cumsum(opens) - 1
         occurrences = np.bincount(interval)
-        by_record = np.lexsort((owner[whole], interval))
-        a, b = interval[by_record], owner[whole][by_record]
+        by_record = np.lexsort((owner, interval))
+        a, b = interval[by_record], owner[by_record]
         twice = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        records = occurrences - np.bincount(a[1:][twice], minlength=len(occurrences))
-        out.append((n, order[whole[opens]], occurrences, records))
-    return out
+        yield n, order[opens], occurrences, occurrences - np.bincount(a[1:][twice], minlength=len(occurrences))
+
+
+def _least_between(common: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The common prefix of each kept suffix with the kept one before: the least of those in between."""
+    at = np.flatnonzero(kept)
+    starts = np.r_[0, at[:-1] + 1] if len(at) else at
+    return np.minimum.reduceat(common[: at[-1] + 1], starts) if len(at) else common[:0]
+
+
+def _counted(pdf: pd.DataFrame, longest: int | None) -> Iterator[pd.DataFrame]:
+    for field, part in pdf.groupby("field_name", sort=True):
+        lists = [x for x in part["terms"] if x is not None and len(x)]
+        if not lists:
+            continue
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        codes, words = pd.factorize(np.concatenate(lists))
+        record = np.repeat(np.arange(len(lists)), size)
+        for n, first, occurrences, records in intervals(codes, record, longest):
+            terms = words[codes[first]] if n == 1 else [JOIN.join(words[codes[p : p + n]]) for p in first]
+            yield pd.DataFrame({"field_name": field, "n": np.int32(n), "term": terms, "occurrences": occurrences, "records": records})
 
 
 def _count_blocks(longest: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in batches:
-            fields, lengths, terms, seen = [], [], [], []
-            for field, part in pdf.groupby("field_name", sort=True):
-                lists = [x for x in part["terms"] if x is not None and len(x)]
-                if not lists:
-                    continue
-                size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-                codes, words = pd.factorize(np.concatenate(lists))
-                record = np.repeat(np.arange(len(lists)), size)
-                for n, first, occurrences, records in intervals(codes, record, longest or int(size.max())):
-                    fields += [field] * len(first)
-                    lengths += [n] * len(first)
-                    terms += words[codes[first]].tolist() if n == 1 else [JOIN.join(words[codes[p : p + n]]) for p in first]
-                    seen.append((occurrences, records))
-            if seen:
-                yield pd.DataFrame(
-                    {"field_name": fields, "n": np.array(lengths, dtype=np.int32), "term": terms, "occurrences": np.concatenate([o for o, _ in seen]), "records": np.concatenate([r for _, r in seen])}
-                )
+            held.append(pdf)
+            size += int(pdf["terms"].map(len).sum())
+            if size >= BLOCK_TERMS:
+                yield from _counted(pd.concat(held, ignore_index=True), longest)
+                held, size = [], 0
+        if held:
+            yield from _counted(pd.concat(held, ignore_index=True), longest)
 
     return run
 

@@ -22,6 +22,11 @@ def test_two_for_one():
     assert place[0] == place[2] == place[3] != place[1]
 
 
+def test_a_single_piece_gives_way_too():
+    place = packing.pack(np.array([60, 50, 50]), 100)
+    assert place[1] == place[2] != place[0]
+
+
 def test_little_is_left_unused():
     sizes = np.random.default_rng(3).integers(1, 1500, 4000)
     filled = np.bincount(packing.pack(sizes, 2048), weights=sizes)
@@ -45,3 +50,9 @@ def test_containers_of_a_table(spark):
     assert (long["n_tokens"].iloc[:-1] == 2048).all() and long["start_token"].tolist() == [2048 * i for i in range(len(long))]
     assert (got[got["id"].isin([k for k, v in want.items() if v <= 2048])]["piece_no"] == 0).all()
     assert packing.containers(counts.limit(0)).count() == 0
+    again = packing.containers(counts.repartition(7), 2048, 20_000).toPandas()
+    key = list(got.columns)
+    assert got.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    told = {r["check_name"]: r["n"] for r in packing.checks(counts, 2048, 20_000).collect()}
+    assert told.pop("texts") == sum(1 for r in counts.collect() if r["n_tokens"]) and not any(told.values()), told
+    assert {r["n"] for r in packing.checks(counts.limit(0)).collect()} == {0}

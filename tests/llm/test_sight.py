@@ -6,7 +6,8 @@ def test_uniform_forms():
     assert lookalikes.readings("Νeo") == (True, ("Neo",))
     assert lookalikes.readings("пoле") == (True, ("поле",))
     assert lookalikes.readings("μm") == (True, ())
-    assert lookalikes.sight_key("сора") == "copa" and lookalikes.keyed("5 μm") == "5 μm"
+    assert lookalikes.latin_twin("сора") == "copa" and lookalikes.latin_twin("cора") == "cора" and lookalikes.keyed("5 μm") == "5 μm"
+    assert lookalikes.foreign_words("cа\u0301sa x") == {"cа\u0301sa"} and lookalikes.readings("cа\u0301sa")[1][0] == "cása"
 
 
 SAME = [
@@ -41,3 +42,18 @@ def test_a_word_outside_the_vocabulary_stays(spark):
     df = spark.createDataFrame([(1, "odе x"), (2, "wоrd"), (3, "word")], "doc_id long, text string")
     done = {r["id"]: r["form"] for r in sight.repaired(df, "doc_id", "text", True).collect()}
     assert done == {1: "odе x", 2: "word", 3: "word"}
+
+
+def test_the_vocabulary_is_that_of_uniform_forms(spark):
+    rows = [(1, "rаregenus x"), (2, "Ｒare ｒａｒｅｇｅｎｕｓ"), (3, "thоu"), (4, "thou\u200bght"), (5, "twоfold"), (6, "twofоld"), (7, "cа\u0301sa"), (8, "ca\u0301sa y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    done = {r["id"]: r["form"] for r in sight.repaired(df, "doc_id", "text", True).collect()}
+    assert done == {1: "raregenus x", 2: "Rare raregenus", 3: "thоu", 4: "thought", 5: "twofold", 6: "twofold", 7: "cása", 8: "cása y"}
+
+
+def test_pairs_come_by_the_repair(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a wоrd here"), (2, "a word here"), (3, "a wоrd herе")], "doc_id long, text string")
+    assert {tuple(r) for r in sight.identical_pairs(df, "doc_id", "text").collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {tuple(r) for r in sight.identical_classes(df.union(df.where("doc_id = 2").selectExpr("9L", "text")), "doc_id", "text").collect()} == {(1, 1, 3), (2, 1, 2), (3, 1, 3), (9, 1, 2)}
+    monkeypatch.setattr(sight, "word_repairs", lambda df, text, forms: forms.select(sight.F.lit("").alias("word"), sight.F.lit("").alias("repaired")).limit(0))
+    assert sight.identical_pairs(df, "doc_id", "text").count() == 0

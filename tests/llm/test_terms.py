@@ -19,7 +19,7 @@ def brute(lists, longest):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=7), min_size=1, max_size=8), st.integers(1, 4))
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=40), min_size=1, max_size=8), st.one_of(st.none(), st.integers(1, 4)))
 def test_intervals_against_brute_force(lists, longest):
     tokens = np.concatenate([np.array(x) for x in lists])
     record = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
@@ -27,7 +27,7 @@ def test_intervals_against_brute_force(lists, longest):
     for n, first, occurrences, records in terms.intervals(tokens, record, longest):
         for p, o, r in zip(first, occurrences, records):
             got[tuple(tokens[p : p + n].tolist())] = (o, r)
-    assert got == brute(lists, longest)
+    assert got == brute(lists, longest or max(map(len, lists)))
 
 
 def test_marks_runs_and_odd_rows(spark):
@@ -51,3 +51,13 @@ def test_runs_of_any_length(spark):
     df = spark.sql(f"select col1 as add_key, col2 as rank, col3 as flags from {rows}")
     got = {(r["n"], r["term"]): (r["occurrences"], r["records"]) for r in terms.addition_terms(df, None).where("field_name = 'flags'").collect()}
     assert got[5, terms.JOIN.join("abcde")] == (1, 1) and got[4, terms.JOIN.join("bcde")] == (2, 2) and len(got) == 15
+
+
+def test_a_long_record_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(terms, "BLOCK_TERMS", 5)
+    tokens, record = np.tile([1, 2, 1], 3000), np.zeros(9000, dtype=np.int64)
+    (n, first, occurrences, records), = terms.intervals(tokens, record, 1)
+    assert n == 1 and occurrences.tolist() == [6000, 3000] and records.tolist() == [1, 1]
+    made = terms._count_blocks(None)([terms.pd.DataFrame({"field_name": ["f"] * 3, "terms": [np.array(x, dtype=object) for x in (list("abab"), list("ab"), list("b"))]})] * 2)
+    total = terms.pd.concat(made).groupby("term")[["occurrences", "records"]].sum()
+    assert total.loc["a"].tolist() == [6, 4] and total.loc["b"].tolist() == [8, 6] and total.loc[terms.JOIN.join("aba")].tolist() == [2, 2]
