@@ -1,32 +1,32 @@
 """Names as typed, mapped to a reference list.
 
 The words of the list and their spellings with letters left out (symmetric deletes) form a
-dictionary whose size is checked before it is broadcast. A typed name is parsed into the words
-that name something; each word's candidates within a bounded edit distance come from the
-dictionary, pairs of them that are listed are ranked by weighted Damerau-Levenshtein distance,
-then by how often the entry is asked for. What has no listed pair is unmatched.
+dictionary, a table that is broadcast while it is small and joined by its keys beyond that. A typed
+name is parsed into the words that name something; each word's candidates within a bounded edit
+distance come from the dictionary, names made of them that are listed are ranked by weighted
+Damerau-Levenshtein distance, then by how many names of the list have their words. What has no
+listed name is unmatched.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolith.functions.text import BLANKS
 from arbolith.llm.lookalikes import latinized
-from arbolith.runtime import materialize, small_or_none
+from arbolith.runtime import materialize
 
-#: Entries (with synonyms) that are broadcast at most; a longer list is refused.
-MOST_ENTRIES = 500_000
-#: Edits per word by its length, and of both words together.
+#: Rows of the dictionary (about 60 bytes each) up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Edits of both words of a name together.
 EDITS_BOTH = 3
 UNMATCHED = -1
 
@@ -91,15 +91,6 @@ def bound(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
-def deletes(word: str, most: int) -> set[str]:
-    """The word and what is left of it when up to ``most`` letters are left out."""
-    out, edge = {word}, {word}
-    for _ in range(most):
-        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        out |= edge
-    return out
-
-
 def edits(a: str, b: str, most: int) -> int:
     """Damerau-Levenshtein distance (neighbours swapped count one), or most + 1 if above ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -145,160 +136,224 @@ def fold(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
-class Words:
-    """Words of one kind with their deletes."""
-
-    def __init__(self, words: set[str]) -> None:
-        self.words = words
-        self.longest = max(map(len, words), default=0)
-        self.by_delete: dict[str, list[str]] = defaultdict(list)
-        self.by_fold: dict[str, list[str]] = defaultdict(list)
-        for w in sorted(words):
-            for d in deletes(w, bound(w)):
-                self.by_delete[d].append(w)
-            for d in deletes(fold(w), 1):
-                self.by_fold[d].append(w)
-        self.near = lru_cache(maxsize=50_000)(self._near)
-
-    def candidates(self, typed: str) -> dict[str, tuple[int, float]]:
-        """The word itself if it is listed, else the listed words within the bound: (edits, weight)."""
-        return {typed: (0, 0.0)} if typed in self.words else self.near(typed)
-
-    def _near(self, typed: str) -> dict[str, tuple[int, float]]:
-        """Listed words within the bound: (edits, weight)."""
-        most, out = bound(typed), {}
-        if len(typed) > 2 * self.longest + 2:  # farther from every word than any bound, folded or not
-            return out
-        for d in deletes(typed, most):
-            for w in self.by_delete.get(d, ()):
-                if w not in out and (n := edits(typed, w, most)) <= most:
-                    out[w] = (n, weight(typed, w))
-        folded = fold(typed)
-        if len(folded) > 3:
-            for d in deletes(folded, 1):
-                for w in self.by_fold.get(d, ()):
-                    if (n := edits(folded, fold(w), 1)) <= 1 and len(w) > 4:
-                        cost = 0.6 + n
-                        if w not in out or cost < out[w][1]:
-                            out[w] = (min(n + 1, out[w][0]) if w in out else n + 1, cost)
-        return out
-
-
-class Matcher:
-    """The reference list: entries are (name, ott_id, context, listed), listed being false for a synonym."""
-
-    def __init__(self, entries: list[tuple[str, int, str | None, bool]], asked: dict[int, int] | None = None) -> None:
-        self.asked = asked or {}
-        self.by_name: dict[tuple[str, ...], dict[int, str | None]] = defaultdict(dict)
-        own: dict[tuple[str, ...], dict[int, str | None]] = defaultdict(dict)
-        for name, number, context, listed in entries:
-            words = tuple(plain(name).lower().split())
-            if words:
-                (own if listed else self.by_name)[words].setdefault(number, context)
-        for words, found in own.items():  # an entry's own name goes before another's synonym
-            self.by_name[words] = found
-        self.rest_of: dict[str, set[str]] = defaultdict(set)
-        self.first_of: dict[str, set[str]] = defaultdict(set)
-        for words in self.by_name:
-            if len(words) == 2:
-                self.rest_of[words[0]].add(words[1])
-                self.first_of[words[1]].add(words[0])
-        self.firsts = Words({w[0] for w in self.by_name})
-        self.rests = Words(set(self.first_of))
-        self.alone = Words({w[0] for w in self.by_name if len(w) == 1})
-        self.endings = {w[-2:] for w in self.rests.words}
-
-    def _entry(self, words: tuple[str, ...], context: str | None) -> int:
-        found = self.by_name[words]
-        if len(found) > 1:
-            fitting = {n for n, c in found.items() if c == context}
-            return min(fitting or found, key=lambda n: (-self.asked.get(n, 0), n))
-        return next(iter(found))
-
-    def _single(self, word: str, dotted: bool) -> tuple[str, ...] | None:
-        found = self.alone.candidates(word)
-        if not found and dotted and len(word) >= 4:
-            starts = [w for w in self.alone.words if w.startswith(word)]
-            return (starts[0],) if len(starts) == 1 else None
-        if not found or word in self.rests.words:
-            return None
-        best = sorted(found, key=lambda w: (found[w][1], -self._asked((w,)), w))
-        return (best[0],)
-
-    def _asked(self, words: tuple[str, ...]) -> int:
-        return max((self.asked.get(n, 0) for n in self.by_name.get(words, ())), default=0)
-
-    def _starting(self, word: str, among: set[str]) -> set[str]:
-        return {w for w in among if w.startswith(word)}
-
-    def _pair(self, first: str, rest: str, dotted_first: bool, dotted_rest: bool) -> tuple[float, tuple[str, str]] | None:
-        heads = self.firsts.candidates(first)
-        tails = self.rests.candidates(rest)
-        ranked = []
-        for h, (n, cost) in heads.items():
-            for t in self.rest_of[h] & tails.keys():
-                if n + tails[t][0] <= EDITS_BOTH:
-                    ranked.append((cost + tails[t][1], -self._asked((h, t)), h, t))
-        if not ranked and first in self.firsts.words and rest in self.rests.words:
-            # Both are listed, though not together: one of them may be another listed word misspelled.
-            pairs = [(h, rest, n, cost) for h, (n, cost) in self.firsts.near(first).items() if rest in self.rest_of[h]]
-            pairs += [(first, t, n, cost) for t, (n, cost) in self.rests.near(rest).items() if t in self.rest_of[first]]
-            ranked = [(cost, -self._asked((h, t)), h, t) for h, t, n, cost in pairs if n <= EDITS_BOTH]
-        if not ranked and dotted_rest and len(rest) >= 3:
-            options = [(cost, h, t) for h, (_, cost) in heads.items() for t in self._starting(rest, self.rest_of[h])]
-            least = min((c for c, _, _ in options), default=None)
-            options = [o for o in options if o[0] == least]
-            if len({(h, t) for _, h, t in options}) == 1:
-                ranked = [(c + 0.5, 0, h, t) for c, h, t in options]
-        if not ranked and len(first) <= 3 and (dotted_first or len(first) == 1):
-            options = []
-            for t, (n, cost) in tails.items():
-                options += [(n, cost, h, t) for h in self.first_of[t] if h.startswith(first)]
-            least = min((o[1] for o in options), default=None)
-            options = [o for o in options if o[1] == least]
-            if len(options) == 1:
-                ranked = [(options[0][1] + 0.5, 0, options[0][2], options[0][3])]
-        if not ranked:
-            return None
-        cost, _, h, t = min(ranked)
-        return cost, (h, t)
-
-    def match(self, raw: str | None, context: str | None) -> int:
-        """The entry's id, or UNMATCHED."""
-        if raw is None:
-            return UNMATCHED
-        words = tuple(plain(raw).lower().split())
-        if words in self.by_name:
-            return self._entry(words, context)
-        typed = parse(raw)
-        found = self._words(typed)
-        return self._entry(found, context) if found else UNMATCHED
-
-    def _words(self, typed: Typed) -> tuple[str, ...] | None:
-        words, dotted = typed.words, typed.dotted
-        if not words:
-            return None
-        if typed.unnamed:
-            return self._single(words[0], dotted[0]) if len(words) == 1 or self._author(typed) else None
-        if len(words) == 1:
-            return self._single(words[0], dotted[0])
-        ranked = []
-        straight = self._pair(words[0], words[1], dotted[0], dotted[1])
-        if straight:
-            ranked.append((straight[0], 0, straight[1]))
-        turned = self._pair(words[1], words[0], dotted[1], dotted[0])
-        if turned:
-            ranked.append((turned[0] + 0.3, 1, turned[1]))
-        if ranked:
-            return min(ranked)[2]
-        return self._single(words[0], dotted[0]) if self._author(typed) else None
-
-    def _author(self, typed: Typed) -> bool:
-        """Whether the second word is an author's: it neither is nor ends like a listed species word, and
-        it has a capital or a year, or the name is written without capitals."""
-        word = typed.words[1]
-        marked = typed.capital[1] or typed.dated or not typed.capital[0]
-        return marked and word[-2:] not in self.endings and not self.rests.candidates(word)
+def near(typed: str, listed: str, plain_: bool, folded: bool) -> tuple[int, float] | None:
+    """(edits, weight) of a listed word that shares a spelling with letters left out with a typed one, plainly or as both fold; None beyond the bound."""
+    found = None
+    most = bound(typed)
+    if plain_ and (n := edits(typed, listed, most)) <= most:
+        found = (n, weight(typed, listed))
+    if folded and (n := edits(fold(typed), fold(listed), 1)) <= 1:
+        cost = 0.6 + n
+        if found is None or cost < found[1]:
+            found = (n + 1 if found is None else min(n + 1, found[0]), cost)
+    return found
+
+
+# --- tables of the list
+
+
+def entries(canonical: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(name, ott_id, context_name, listed) of both lists; a synonym has the context of its entry."""
+    own = canonical.where("name is not null and ott_id is not null").select("name", "ott_id", "context_name")
+    other = synonyms.where("name is not null").select("name", "ott_id").join(own.select("ott_id", "context_name").distinct(), "ott_id")
+    return (
+        own.withColumn("listed", F.lit(True)).unionByName(other.withColumn("listed", F.lit(False))).distinct()
+    )
+
+
+def _name_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(key=[" ".join(plain(n).lower().split()) for n in pdf["name"]])
+
+
+def name_ids(listed: DataFrame) -> DataFrame:
+    """(key, ott_id, context_name, n_names): an entry's own name goes before another's synonym; n_names counts an entry's names."""
+    named = listed.mapInPandas(_name_keys, "name string, ott_id long, context_name string, listed boolean, key string").where("key <> ''")
+    named = materialize(named.drop("name").distinct())
+    own = named.groupBy("key").agg(F.bool_or("listed").alias("own"))
+    names = named.select("ott_id", "key").distinct().groupBy("ott_id").agg(F.count("*").alias("n_names"))
+    kept = named.join(own, "key").where(F.col("listed") == F.col("own")).join(names, "ott_id")
+    return kept.select("key", "ott_id", "context_name", "n_names").distinct()
+
+
+def name_keys(ids: DataFrame) -> DataFrame:
+    """(key, first, rest, times): the listed names, ``rest`` being null but for two words; times counts the names with either word."""
+    words = F.split("key", " ")
+    keys = ids.select("key").distinct().select("key", words[0].alias("first"), F.when(F.size(words) == 2, words[1]).alias("rest"), (F.size(words) == 1).alias("alone"))
+    by = lambda c: keys.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"{c}_times"))
+    both = keys.join(by("first"), "first").join(by("rest"), "rest", "left")
+    return both.select("key", "first", "rest", "alone", (F.col("first_times") + F.coalesce("rest_times", F.lit(0))).alias("times"))
+
+
+def _folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(fold=[fold(w) for w in pdf["word"]])
+
+
+def _kinds(rows: DataFrame, pick: dict[str, Column]) -> DataFrame:
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("word")) for k, c in pick.items()])
+    return rows.select(F.inline(every)).where("word is not null").distinct()
+
+
+def listed_words(keys: DataFrame) -> DataFrame:
+    """(kind, word): first words, second words of two, names of one word, and the last letters of second words."""
+    return _kinds(keys, {"first": F.col("first"), "rest": F.col("rest"), "alone": F.when(F.col("alone"), F.col("first")), "ending": F.right("rest", F.lit(2))})
+
+
+def _left_out(word: Column) -> Column:
+    """The spellings of a word with one letter left out."""
+    size = F.length(word)
+    made = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, size)))
+    return F.when(size > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+
+def _spellings(word: Column, most: Column) -> Column:
+    """The word and what is left of it when up to ``most`` (0 to 2) letters are left out."""
+    one = _left_out(word)
+    two = F.flatten(F.transform(one, _left_out))
+    return F.array_distinct(F.concat(F.array(word), F.when(most > 0, one).otherwise(F.array().cast("array<string>")), F.when(most > 1, two).otherwise(F.array().cast("array<string>"))))
+
+
+def _bound(word: Column) -> Column:
+    return F.when(F.length(word) < 4, 0).when(F.length(word) < 7, 1).otherwise(2)
+
+
+def _dictionary(words: DataFrame, plainly: Column, folded: Column) -> DataFrame:
+    """(kind, spelling, is_fold, word) of (kind, word, fold), where a word goes in plainly and as it folds."""
+    none = F.array().cast("array<string>")
+    rows = F.array(
+        F.struct(F.lit(False).alias("is_fold"), F.when(plainly, _spellings(F.col("word"), _bound(F.col("word")))).otherwise(none).alias("spellings")),
+        F.struct(F.lit(True).alias("is_fold"), F.when(folded, _spellings(F.col("fold"), F.lit(1))).otherwise(none).alias("spellings")),
+    )
+    return words.select("kind", "word", F.inline(rows)).select("kind", "is_fold", "word", F.explode("spellings").alias("spelling"))
+
+
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [near(t, w, p, f) for t, w, p, f in zip(pdf["word"], pdf["listed"], pdf["plainly"], pdf["folded"], strict=True)]
+        hit = [x is not None for x in found]
+        yield pdf.loc[hit, ["kind", "word", "listed"]].assign(n=[x[0] for x in found if x], cost=[x[1] for x in found if x])
+
+
+def candidates(typed: DataFrame, listed: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(kind, word, listed, n, cost): for typed words (kind, word) the listed words of that kind within the bound.
+
+    Both sides are spelled with letters left out and meet on equal spellings. A typed word too
+    long to be within the bound of the longest listed one isn't spelled out: it has no candidate.
+    """
+    known = materialize(listed.where("kind <> 'ending'").mapInPandas(_folds, "kind string, word string, fold string"))
+    longest = known.agg(F.max(F.length("word")).alias("w"), F.max(F.length("fold")).alias("f")).first()
+    dictionary = materialize(_dictionary(known, F.lit(True), F.length("word") > 4).withColumnRenamed("word", "listed"))
+    asked = typed.where("kind <> 'ending'").mapInPandas(_folds, "kind string, word string, fold string")
+    fits = F.length("word") <= (longest["w"] or 0) + 2
+    asked = _dictionary(asked, fits, (F.length("fold") > 3) & (F.length("fold") <= (longest["f"] or 0) + 1))
+    if dictionary.count() <= broadcast_rows:
+        dictionary = F.broadcast(dictionary)
+    met = asked.join(dictionary, ["kind", "is_fold", "spelling"]).groupBy("kind", "word", "listed").agg(F.bool_or(~F.col("is_fold")).alias("plainly"), F.bool_or("is_fold").alias("folded"))
+    close = met.mapInPandas(_measured, "kind string, word string, listed string, n int, cost double")
+    endings = typed.where("kind = 'ending'").join(listed, ["kind", "word"], "left_semi")
+    return close.unionByName(endings.select("kind", "word", F.col("word").alias("listed"), F.lit(0).alias("n"), F.lit(0.0).alias("cost")))
+
+
+def name_index(keys: DataFrame) -> DataFrame:
+    """(kind, k1, k2, whole, key, times): listed names by themselves and by what abbreviations leave of them."""
+    none, pair = F.lit(""), F.col("rest").isNotNull()
+    row = lambda kind, k1, k2, whole: F.struct(F.lit(kind).alias("kind"), k1.alias("k1"), k2.alias("k2"), whole.alias("whole"))
+    rows = F.array(
+        row("name", F.col("key"), none, none),
+        F.when(pair & (F.length("rest") >= 3), row("rest", F.col("first"), F.left("rest", F.lit(3)), F.col("rest"))),
+        *[F.when(pair & (F.length("first") >= k), row("head", F.col("rest"), F.left("first", F.lit(k)), F.col("first"))) for k in (1, 2, 3)],
+        F.when(F.col("alone") & (F.length("first") >= 4), row("start", none, F.left("first", F.lit(4)), F.col("first"))),
+    )
+    return keys.select("key", "times", F.inline(F.array_compact(rows)))
+
+
+# --- what a typed name may stand for
+
+_PARSED = "typed string, key string, w0 string, w1 string, dot0 boolean, dot1 boolean, unnamed boolean, marked boolean"
+#: Readings of two words, turned round or not, go before those of one; what each costs besides.
+STRAIGHT, TURNED, SINGLE = 0, 1, 2
+TURN, SHORTENED = 0.3, 0.5
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for raw in pdf["typed"]:
+            t = parse(raw)
+            one, two = len(t.words) > 0, len(t.words) > 1
+            marked = two and (t.capital[1] or t.dated or not t.capital[0])
+            out.append((raw, " ".join(plain(raw).lower().split()), t.words[0] if one else None, t.words[1] if two else None, one and t.dotted[0], two and t.dotted[1], t.unnamed, marked))
+        yield pd.DataFrame(out, columns=["typed", "key", "w0", "w1", "dot0", "dot1", "unnamed", "marked"])
+
+
+def _readings(word0: str, word1: str, dot0: bool, dot1: bool, heads: dict, tails: dict) -> Iterator[tuple]:
+    """(tier, kind, k1, k2, probe, cost) of two words as a name; a lower tier that has a listed name goes before."""
+    firm0, firm1 = (0, 0.0) == heads.get(word0), (0, 0.0) == tails.get(word1)
+    own_heads = {word0: (0, 0.0)} if firm0 else heads
+    own_tails = {word1: (0, 0.0)} if firm1 else tails
+    for h, (n, cost) in own_heads.items():
+        for t, (m, more) in own_tails.items():
+            if n + m <= EDITS_BOTH:
+                yield 0, "name", f"{h} {t}", "", "", cost + more
+    if firm0 and firm1:  # both are listed: where not together, one of them may be another listed word misspelled
+        for h, (_, cost) in heads.items():
+            yield 1, "name", f"{h} {word1}", "", "", cost
+        for t, (_, cost) in tails.items():
+            yield 1, "name", f"{word0} {t}", "", "", cost
+    if dot1 and len(word1) >= 3:
+        for h, (_, cost) in own_heads.items():
+            yield 2, "rest", h, word1[:3], word1, cost
+    if len(word0) <= 3 and (dot0 or len(word0) == 1):
+        for t, (_, cost) in own_tails.items():
+            yield 3, "head", t, word0, word0, cost
+
+
+def _options(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            near_: dict[tuple[str, str], dict] = {}
+            for c in r.found if r.found is not None else ():
+                near_.setdefault((c["kind"], c["word"]), {})[c["listed"]] = (c["n"], c["cost"])
+            look = lambda kind, word: near_.get((kind, word), {})  # noqa: B023, E731
+            two = isinstance(r.w1, str)
+            if two and not r.unnamed:
+                out += [(r.typed, STRAIGHT, *o) for o in _readings(r.w0, r.w1, r.dot0, r.dot1, look("first", r.w0), look("rest", r.w1))]
+                out += [(r.typed, TURNED, *o) for o in _readings(r.w1, r.w0, r.dot1, r.dot0, look("first", r.w1), look("rest", r.w0))]
+            # An author neither is nor ends like a listed species word and has a capital or a year, or the name has no capitals.
+            author = two and r.marked and not look("ending", r.w1[-2:]) and not look("rest", r.w1)
+            if not two or author:
+                alone = look("alone", r.w0)
+                if (0, 0.0) == alone.get(r.w0):
+                    alone = {r.w0: (0, 0.0)}
+                if not alone and r.dot0 and len(r.w0) >= 4:
+                    out.append((r.typed, SINGLE, 1, "start", "", r.w0[:4], r.w0, 0.0))
+                elif (0, 0.0) != look("rest", r.w0).get(r.w0):
+                    out += [(r.typed, SINGLE, 0, "name", w, "", "", cost) for w, (_, cost) in alone.items()]
+        yield pd.DataFrame(out, columns=["typed", "way", "tier", "kind", "k1", "k2", "probe", "cost"])
+
+
+def meant(parsed: DataFrame, keys: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(typed, key) of the typed names (_PARSED) that stand for a listed one without being it."""
+    slots = {"first": ("w0", "w1"), "rest": ("w0", "w1"), "alone": ("w0",), "ending": ("w1",)}
+    pick = lambda kind, c: F.right(c, F.lit(2)) if kind == "ending" else F.col(c)
+    looked = F.array(*[F.struct(F.lit(k).alias("kind"), pick(k, c).alias("word")) for k, cs in slots.items() for c in cs])
+    looked = materialize(parsed.where("w0 is not null").select("typed", F.inline(looked)).where("word is not null").distinct())
+    close = materialize(candidates(looked.select("kind", "word").distinct(), listed_words(keys), broadcast_rows))
+    # A list holds the candidates of a name's own two words.
+    found = looked.join(close, ["kind", "word"]).groupBy("typed").agg(F.collect_list(F.struct("kind", "word", "listed", "n", "cost")).alias("found"))
+    asked = parsed.where("w0 is not null").join(found, "typed", "left")
+    options = asked.mapInPandas(_options, "typed string, way int, tier int, kind string, k1 string, k2 string, probe string, cost double")
+    hits = options.join(name_index(keys), ["kind", "k1", "k2"]).where(F.startswith("whole", "probe"))
+    # Abbreviations count where they leave one name only.
+    step = hits.groupBy("typed", "way", "tier", "cost").agg(F.min(F.struct((-F.col("times")).alias("t"), "key")).alias("best"), (F.min("key") == F.max("key")).alias("one"))
+    step = step.groupBy("typed", "way", "tier").agg(F.min(F.struct("cost", "best", "one")).alias("r")).select("typed", "way", "tier", "r.*")
+    short = F.col("tier") > F.when(F.col("way") == SINGLE, 0).otherwise(1)
+    step = step.where(~short | F.col("one")).withColumn("cost", F.col("cost") + F.when(short, SHORTENED).otherwise(0.0))
+    step = step.groupBy("typed", "way").agg(F.min(F.struct("tier", "cost", "best")).alias("r"))
+    order = F.struct((F.col("way") == SINGLE).alias("single"), (F.col("r.cost") + F.when(F.col("way") == TURNED, TURN).otherwise(0.0)).alias("cost"), "way", F.col("r.best.key").alias("key"))
+    return step.groupBy("typed").agg(F.min(order).alias("r")).select("typed", "r.key")
 
 
 def request_elements(requests: DataFrame) -> DataFrame:
@@ -319,42 +374,24 @@ def request_elements(requests: DataFrame) -> DataFrame:
     return out.withColumn("typed", F.regexp_replace("typed", blanks, "")).where("typed <> ''")
 
 
-def entries(canonical: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(name, ott_id, context_name, listed) of both lists; a synonym has the context of its entry."""
-    own = canonical.where("name is not null and ott_id is not null").select("name", "ott_id", "context_name")
-    other = synonyms.where("name is not null").select("name", "ott_id").join(own.select("ott_id", "context_name").distinct(), "ott_id")
-    return (
-        own.withColumn("listed", F.lit(True)).unionByName(other.withColumn("listed", F.lit(False))).distinct()
-    )
-
-
-def resolve_names(requests: DataFrame, canonical: DataFrame, synonyms: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
+def resolve_names(requests: DataFrame, canonical: DataFrame, synonyms: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(request_id, name_pos, ott_id) of every non-empty element; UNMATCHED where no list has it.
 
-    Each spelling is matched once per context, however often it is asked for. Null and empty
-    elements keep their position and have no row; a name in several contexts is decided by the
-    request's context, else by how often it is asked for, then by the smaller id. Without entries
-    all is unmatched. A list beyond ``most_entries`` is refused, as it would be broadcast.
+    Each spelling is looked up once, however often it is asked for. Null and empty elements keep
+    their position and have no row; a name in several contexts is decided by the request's
+    context, else by how many names the list has for the entry, then by the smaller id. Without
+    entries all is unmatched.
     """
-    spark = requests.sparkSession
-    listed = small_or_none(entries(canonical, synonyms), most_entries)
-    if listed is None:
-        raise ValueError(f"the reference list has more than {most_entries} names")
+    ids = materialize(name_ids(entries(canonical, synonyms)))
+    keys = materialize(name_keys(ids))
     elements = materialize(request_elements(requests))
-    spellings = elements.groupBy("typed", "context_name").agg(F.count("*").alias("times"))
-    spellings = materialize(spellings)
-    # How often each entry is asked for by its very name: as many rows as there are entries.
-    known = entries(canonical, synonyms).groupBy("name").agg(F.min("ott_id").alias("ott_id"))
-    asked = spellings.join(known, spellings["typed"] == known["name"]).groupBy("ott_id").agg(F.sum("times").alias("n"))
-    sent = spark.sparkContext.broadcast(([tuple(r) for r in listed], {r["ott_id"]: r["n"] for r in asked.collect()}))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(*sent.value)
-        for pdf in batches:
-            # The distance is worked out once per spelling; the context only decides between homonyms.
-            yield pdf.assign(ott_id=[matcher.match(t, c) for t, c in zip(pdf["typed"], pdf["context_name"], strict=True)])
-
-    kinds = "typed string, context_name string, ott_id long"
-    found = spellings.select("typed", "context_name").repartition("typed").mapInPandas(run, kinds)
-    same = elements["typed"].eqNullSafe(found["typed"]) & elements["context_name"].eqNullSafe(found["context_name"])
-    return elements.join(found, same).select("request_id", F.col("name_pos").cast("int").alias("name_pos"), "ott_id")
+    spellings = materialize(elements.select("typed", "context_name").distinct())
+    parsed = materialize(spellings.select("typed").distinct().repartition("typed").mapInPandas(_parsed, _PARSED))
+    same = parsed.join(keys.select("key"), "key").select("typed", "key")
+    other = meant(parsed.join(keys.select("key"), "key", "left_anti"), keys, broadcast_rows)
+    known = materialize(same.unionByName(other)).join(ids, "key").withColumnRenamed("context_name", "own_context")
+    order = F.struct((~F.col("own_context").eqNullSafe(F.col("context_name"))).alias("elsewhere"), (-F.col("n_names")).alias("few"), "ott_id")
+    answers = spellings.join(known, "typed").groupBy("typed", "context_name").agg(F.min_by("ott_id", order).alias("ott_id"))
+    fits = elements["typed"].eqNullSafe(answers["typed"]) & elements["context_name"].eqNullSafe(answers["context_name"])
+    out = elements.join(answers, fits, "left")
+    return out.select("request_id", F.col("name_pos").cast("int").alias("name_pos"), F.coalesce("ott_id", F.lit(UNMATCHED).cast("long")).alias("ott_id"))

@@ -24,19 +24,32 @@ TYPED = {
 }
 
 
-@pytest.fixture(scope="module")
-def matcher():
-    return names.Matcher(LIST)
+AT = datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("typed", TYPED)
-def test_typed_names(matcher, typed):
-    assert matcher.match(typed, None) == TYPED[typed], names.parse(typed)
+def resolved(spark, entries, typed, **more):
+    """The ids of (name, context) typed, by a request each."""
+    requests = spark.createDataFrame([(k, [t], None, c, AT) for k, (t, c) in enumerate(typed)], "request_id long, names array<string>, query_string string, context_name string, loaded_at timestamp")
+    canonical = spark.createDataFrame([(n, k, c) for n, k, c, own in entries if own], "name string, ott_id long, context_name string")
+    synonyms = spark.createDataFrame([(n, k) for n, k, c, own in entries if not own], "name string, ott_id long")
+    got = {r["request_id"]: r["ott_id"] for r in names.resolve_names(requests, canonical, synonyms, **more).collect()}
+    return [got.get(k) for k in range(len(typed))]
 
 
-def test_homonyms_by_context(matcher):
-    assert matcher.match("Twicenamed", "Bacteria") == 7 and matcher.match("Twicenamd", "Animals") == 6
-    assert matcher.match(None, "Animals") == -1
+@pytest.mark.parametrize("rows", [names.BROADCAST_ROWS, 0])
+def test_typed_names(spark, rows):
+    listed = [t for t in TYPED if t.strip()]
+    got = dict(zip(listed, resolved(spark, LIST, [(t, None) for t in listed], broadcast_rows=rows)))
+    assert got == {t: TYPED[t] for t in listed}
+
+
+def test_long_words_fold_like_short_ones(spark):
+    typed = ["Bisc" + "o" * n + "mium" for n in (1, 12, 30)] + ["B" + "x" * 5000 + " " + "y" * 5000]
+    assert resolved(spark, LIST, [(t, None) for t in typed]) == [1, 1, 1, -1]
+
+
+def test_homonyms_by_context(spark):
+    assert resolved(spark, LIST, [("Twicenamed", "Bacteria"), ("Twicenamd", "Animals"), ("Twicenamed", None)]) == [7, 6, 6]
 
 
 @settings(max_examples=100, deadline=None)
@@ -53,20 +66,23 @@ def test_edits_and_deletes(a, b, most):
 
     true = slow(a, b)
     assert names.edits(a, b, most) == min(true, most + 1)
-    if true <= most:
-        assert names.deletes(a, most) & names.deletes(b, most)
     assert names.weight(a, b) <= true + 1e-9
 
 
-def test_candidates_are_all_words_within_the_bound():
+def test_candidates_are_all_words_within_the_bound(spark):
     rng = random.Random(2)
-    listed = {"".join(rng.choice("abcd") for _ in range(rng.randrange(4, 10))) for _ in range(300)}
-    made = names.Words(listed)
-    for _ in range(100):
-        typed = "".join(rng.choice("abcd") for _ in range(rng.randrange(4, 10)))
-        want = {w for w in listed if names.edits(typed, w, names.bound(typed)) <= names.bound(typed) and (abs(len(w) - len(typed)) <= names.bound(w) and names.edits(typed, w, names.bound(w)) <= names.bound(w))}
-        if typed not in listed:
-            assert want <= set(made.candidates(typed))
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10)))
+    listed, typed = {word() for _ in range(300)}, {word() for _ in range(100)}
+    rows = lambda words: spark.createDataFrame([("first", w) for w in sorted(words)] + [("ending", w[:2]) for w in sorted(words)], "kind string, word string").distinct()
+    for most in (0, names.BROADCAST_ROWS):
+        got = {(r["word"], r["listed"]): (r["n"], r["cost"]) for r in names.candidates(rows(typed), rows(listed), most).where("kind = 'first'").collect()}
+        for t in typed:
+            for w in listed:
+                n, within = names.edits(t, w, 2), min(names.bound(t), names.bound(w))
+                if n <= within:
+                    assert got[t, w][0] <= n and got[t, w][1] <= names.weight(t, w)
+                if (t, w) in got:
+                    assert got[t, w] == names.near(t, w, True, len(w) > 4 and len(names.fold(t)) > 3) or got[t, w] == names.near(t, w, False, True)
 
 
 def test_requests(spark):
@@ -82,16 +98,12 @@ def test_requests(spark):
     assert got == [(1, 0, 1), (1, 4, 4), (2, 0, 2), (2, 2, 7), (2, 3, -1)]
     nothing = names.resolve_names(requests, canonical.limit(0), synonyms)
     assert {r["ott_id"] for r in nothing.collect()} == {-1}
-    with pytest.raises(ValueError):
-        names.resolve_names(requests, canonical, synonyms, most_entries=3)
 
 
-def test_a_misspelling_that_is_another_listed_word():
-    made = names.Matcher([("Tiarosa albicans", 1, None, True), ("Tiarusa nigripes", 2, None, True), ("Tiarosa", 3, None, True), ("Moxella nigrides", 4, None, True)])
-    assert made.match("Tiarosa nigripes", None) == 2  # the genus is misspelled
-    assert made.match("Tiarusa nigrides", None) == 2  # the species word is
-    assert made.match("Tiarosa albicans", None) == 1 and made.match("Moxella nigrides", None) == 4
-    assert made.match("Moxella albicans", None) == -1
+def test_a_misspelling_that_is_another_listed_word(spark):
+    made = [("Tiarosa albicans", 1, None, True), ("Tiarusa nigripes", 2, None, True), ("Tiarosa", 3, None, True), ("Moxella nigrides", 4, None, True)]
+    typed = {"Tiarosa nigripes": 2, "Tiarusa nigrides": 2, "Tiarosa albicans": 1, "Moxella nigrides": 4, "Moxella albicans": -1}  # the genus, then the species word is misspelled
+    assert resolved(spark, made, [(t, None) for t in typed]) == list(typed.values())
 
 
 def test_blank_texts_and_empty_lists_fill_nothing(spark):
