@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arbolith.runtime import free, materialize
@@ -23,6 +23,9 @@ SLOW_SHARE = 0.2
 # taken out; n_over nodes of weight w_over, smallest id low_over, topmost top_over stand in between
 # (``over``, from the top down, with paths only). ``size`` counts it and what was taken off below it.
 
+_PLACED = "id long, parent long, n_below long, root long, depth int, path array<long>, on_ring boolean, to_ring boolean"
+
+
 def _none() -> Column:
     return F.array().cast("array<long>")
 
@@ -37,7 +40,7 @@ def _start(nodes: DataFrame, paths: bool) -> DataFrame:
     # Pre-aggregated: a parent of a third of all rows is one row of this side.
     kids = plain.where("given is not null").groupBy(F.col("given").alias("id")).agg(F.count("*").alias("kids"))
     one = F.lit(1).cast("long")
-    return materialize(
+    return (
         plain.join(kids, "id", "left").select(
             "id", "given", F.col("given").alias("parent"), one.alias("size"), _sum_or("kids", 0).alias("kids"), F.lit(0).cast("long").alias("n_over"), F.lit(0).cast("long").alias("w_over"),
             F.lit(None).cast("long").alias("low_over"), F.lit(None).cast("long").alias("top_over"), *([_none().alias("over")] if paths else []),
@@ -45,6 +48,13 @@ def _start(nodes: DataFrame, paths: bool) -> DataFrame:
     )
 
 
+def _counted(state: DataFrame) -> tuple[DataFrame, int, int]:
+    """The state, written, with its number of nodes and of leaves; both are told by the writing."""
+    seen = Observation()
+    made = materialize(state.observe(seen, F.count("*").alias("total"), F.count_if(F.col("kids") == 0).alias("leaves")))
+    return made, seen.get["total"], seen.get["leaves"]
+
+
 def _peeled(state: DataFrame) -> DataFrame:
     """The nodes that aren't leaves, with what their leaves send."""
     sent = state.where("kids = 0 and parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("size") + F.col("w_over")).alias("sent"), F.count("*").alias("gone"))
@@ -52,8 +62,8 @@ def _peeled(state: DataFrame) -> DataFrame:
     return left.withColumn("size", F.col("size") + _sum_or("sent", 0)).withColumn("kids", F.col("kids") - _sum_or("gone", 0)).drop("sent", "gone")
 
 
-def _doubled(walk: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
-    """(walks up to the next node that isn't in ``walk``; walks that never end, as all stand on a ring).
+def _doubled(walk: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(walks up to the next node that isn't in ``walk``; walks that never end, as all stand on a ring, or None).
 
     A walk (id, given, size, far, head, n, w, low, top, seg) has passed n nodes of weight w between
     id and far, ``head`` being the last node passed or id itself. Each turn doubles its length.
@@ -64,27 +74,28 @@ def _doubled(walk: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
         there = last.select(F.col("id").alias("far"), *[F.col(c).alias(f"{c}2") for c in ("far", "head", "n", "w", "low", "top", "size", *(["seg"] if paths else []))])
         there = there.withColumnRenamed("far2", "beyond")
         met = F.col("size2").isNotNull()
+        seen = Observation()
         walk = materialize(
             last.join(there, "far", "left").select(
                 "id", "given", "size", F.when(met, F.col("beyond")).otherwise(F.col("far")).alias("far"), F.coalesce("head2", "head").alias("head"),
                 (F.col("n") + F.when(met, F.col("n2") + 1).otherwise(0)).alias("n"), (F.col("w") + F.when(met, F.col("w2") + F.col("size2")).otherwise(0)).alias("w"),
                 F.least("low", "low2", F.when(met, F.col("far"))).alias("low"), F.when(met, F.coalesce("top2", "far")).otherwise(F.col("top")).alias("top"),
                 *([F.when(met, F.concat("seg2", F.array("far"), "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []), met.alias("open"),
-            )
+            ).observe(seen, F.count_if("open").alias("open"))
         )
         free(last)
-        now = walk.where("open").count()
+        now = seen.get["open"]
         # Of a chain each turn ends some walks; where none ended all that are open go round.
         if not now or now == before:
-            return walk.where("not open"), walk.where("open")
+            return walk.where("not open"), walk.where("open") if now else None
         before = now
 
 
 _UNARY = "kids = 1 and parent is not null"
 
 
-def _without_chains(state: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(state without the nodes of one child, the walks of those taken out, the lower ends of their chains, rings of them)."""
+def _without_chains(state: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(state without the nodes of one child, the walks of those taken out, the lower ends of their chains, rings of them if any)."""
     walk = state.where(_UNARY).select(
         "id", "given", "size", F.col("parent").alias("far"), F.col("id").alias("head"), F.col("n_over").alias("n"), F.col("w_over").alias("w"),
         F.col("low_over").alias("low"), F.col("top_over").alias("top"), *([F.col("over").alias("seg")] if paths else []),
@@ -102,7 +113,7 @@ def _without_chains(state: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame
         )
     )
     ends = rest.where("head is not null").select("head", "id", F.col("parent").alias("far"), F.col("w_over").alias("whole"))
-    return rest.drop("head"), chains, ends, state.join(round_.select("id"), "id", "left_semi")
+    return rest.drop("head"), chains, ends, None if round_ is None else state.join(round_.select("id"), "id", "left_semi")
 
 
 def _on_rings(rest: DataFrame, paths: bool) -> DataFrame:
@@ -112,10 +123,12 @@ def _on_rings(rest: DataFrame, paths: bool) -> DataFrame:
     while True:
         there = walk.select(F.col("id").alias("far"), F.col("far").alias("far2"), F.col("root").alias("root2"))
         last = walk
-        walk = materialize(last.join(there, "far").select("id", "given", F.col("far2").alias("far"), F.least("root", "root2").alias("root"), "weight", (F.col("root2") < F.col("root")).alias("fell")))
-        if not walk.where("fell").limit(1).count():
-            break
+        seen = Observation()
+        step = last.join(there, "far").select("id", "given", F.col("far2").alias("far"), F.least("root", "root2").alias("root"), "weight", (F.col("root2") < F.col("root")).alias("fell"))
+        walk = materialize(step.observe(seen, F.count_if("fell").alias("fell")).drop("fell"))
         free(last)
+        if not seen.get["fell"]:
+            break
     totals = walk.groupBy("root").agg(F.sum("weight").alias("all"))
     return walk.join(totals, "root").select(
         "id", F.col("given").alias("parent"), (F.col("all") - 1).alias("n_below"), "root", F.lit(0).alias("depth"), (F.array("id") if paths else F.lit(None).cast("array<long>")).alias("path"),
@@ -165,25 +178,25 @@ def hierarchy(nodes: DataFrame, paths: bool = True, slow_share: float = SLOW_SHA
     the paths null, which are as long as the trees are deep. Nothing is gathered in one task: the
     number of rounds grows with the logarithm of the nodes, be the trees deep or wide.
     """
-    state = _start(nodes, paths)
     layers, rings, used = [], [], []
-    while True:
+    state, total, leaves = _counted(_start(nodes, paths))
+    while total:
         used.append(state)
-        total, leaves = state.agg(F.count("*"), F.count_if(F.col("kids") == 0)).first()
-        if not total:
-            break
         if not leaves:
             rings.append(state)
             break
         layers.append((state.where("kids = 0"), None))
         if leaves >= slow_share * total:
-            state = materialize(_peeled(state))
+            state, total, leaves = _counted(_peeled(state))
             continue
         whole = materialize(_peeled(state))
+        used.append(whole)
         state, chains, ends, round_ = _without_chains(whole, paths)
         layers.append((chains, ends))
-        rings.append(round_)
-    done = materialize(_on_rings(reduce(DataFrame.unionByName, rings) if rings else state.limit(0), paths))
+        if round_ is not None:
+            rings.append(round_)
+        total, leaves = state.agg(F.count("*"), F.count_if(F.col("kids") == 0)).first()
+    done = materialize(_on_rings(reduce(DataFrame.unionByName, rings), paths)) if rings else nodes.sparkSession.createDataFrame([], _PLACED)
     for rows, ends in reversed(layers):
         placed = _placed_leaves(rows, done, paths) if ends is None else _placed_chains(rows, ends, done, paths)
         done = done.unionByName(materialize(placed.select(done.columns)))
