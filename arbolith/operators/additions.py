@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbolith.operators import nested
+from arbolith.operators import tree as trees
+from arbolith.operators.hierarchy import hierarchy
 from arbolith.runtime import materialize
+from arbolith.store import Store, name_rows
 
 
 def known_ids(store) -> DataFrame:
@@ -70,11 +73,66 @@ def new_taxa(checked: DataFrame) -> DataFrame:
     )
 
 
-def apply(store, documents: DataFrame, order: str | None = None) -> tuple:
-    """(store with the new taxa, the judged rows). All derived tables are made anew over the larger taxonomy."""
-    from arbolith.store import Store
+def apply(store, documents: DataFrame, order: str | None = None, derive: bool = True) -> tuple:
+    """(store with the new taxa, the judged rows).
 
+    Tables that the store has derived already are carried on by the branches that grow
+    (``grown_tables``), the others are made when asked for. Without ``derive`` they stay as they
+    are: the new taxa then have no place in paths, contexts and indexes.
+    """
     checked = materialize(judged(document_taxa(documents, order), known_ids(store)))
     plain = store.taxa.select("ott_id", "parent_ott_id", "name", "rank", "input_sources", "uniqname", "flags")
-    grown = Store(plain.unionByName(new_taxa(checked)), store._synonyms, store._aliases, store._deprecated, store._metadata, store._roots)
+    new = materialize(new_taxa(checked))
+    grown = Store(plain.unionByName(new), store._synonyms, store._aliases, store._deprecated, store._metadata, store._roots, store.options)
+    tables = grown_tables(store, Store(new, store._synonyms, store._aliases, store._deprecated, None, store._roots)) if derive else {t: store.__dict__[t] for t in DERIVED if t in store.__dict__}
+    for name, table in tables.items():
+        setattr(grown, name, table)
     return grown, checked
+
+
+#: Tables of a store that are carried on when taxa are added.
+DERIVED = ("tree", "pref_tree", "name_index", "source_index")
+
+
+def _grown_paths(old: DataFrame, edges: DataFrame) -> DataFrame:
+    """The path table ``old`` with more taxa (id, parent), each below one of them or of the table or a root.
+
+    Only the new taxa are peeled; their paths go on from those of the taxa they hang on, and what
+    stands above them counts them.
+    """
+    made = hierarchy(edges)
+    first = made.withColumn("hung", F.element_at("path", 1))
+    tops = edges.select(F.col("id").alias("hung"), F.col("parent").alias("above"))
+    stem = old.select(F.col("ott_id").alias("above"), F.col("path").alias("stem"), F.col("root").alias("stem_root"), F.col("depth").alias("stem_depth"))
+    none = F.array().cast("array<long>")
+    new = materialize(
+        first.join(tops, "hung").join(stem, "above", "left").select(
+            F.col("id").alias("ott_id"), F.col("parent").alias("parent_ott_id"), F.coalesce("stem_root", "root").alias("root"), (F.col("depth") + F.coalesce(F.col("stem_depth") + 1, F.lit(0))).alias("depth"),
+            F.concat(F.coalesce("stem", none), "path").alias("path"), "n_below", "on_ring",
+        )
+    )
+    more = new.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("ott_id")).groupBy("ott_id").agg(F.count("*").alias("more"))
+    rest = old.join(more, "ott_id", "left").withColumn("n_below", F.col("n_below") + F.coalesce("more", F.lit(0))).select(new.columns)
+    return materialize(rest.unionByName(new))
+
+
+def grown_tables(store, new) -> dict[str, DataFrame]:
+    """The derived tables of ``store`` carried on by the taxa of ``new``, a store of these alone.
+
+    Where a taxon that was an orphan finds its parent among them, the paths are left to be made
+    anew, as whole branches move.
+    """
+    made = store.__dict__
+    out: dict[str, DataFrame] = {}
+    found = trees.orphans(store.taxa).join(new.taxa.select(F.col("ott_id").alias("parent_ott_id")), "parent_ott_id", "left_semi").limit(1).count()
+    if not found:
+        if "tree" in made:
+            out["tree"] = _grown_paths(store.tree, new.taxa.select(F.col("ott_id").alias("id"), F.col("parent_ott_id").alias("parent")))
+        if "pref_tree" in made:
+            edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))
+            out["pref_tree"] = _grown_paths(store.pref_tree, new.taxa.select(F.col("ott_id").alias("id"), edge.alias("parent")))
+    if "name_index" in made:
+        out["name_index"] = materialize(store.name_index.unionByName(name_rows(new.taxa, new.synonyms)).repartitionByRange("key_lc").sortWithinPartitions("key_lc"))
+    if "source_index" in made and store.options.source_index:
+        out["source_index"] = store.source_index.unionByName(new.source_index)
+    return out

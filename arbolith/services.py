@@ -13,6 +13,7 @@ from arbolith import schema
 from arbolith.functions import taxon
 from arbolith.operators import additions, resolve
 from arbolith.operators import tree as trees
+from arbolith.runtime import materialize
 
 
 class BadInput(ValueError):
@@ -140,63 +141,119 @@ def v3_autocomplete(store, name: str, context_name: str | None = None, include_s
 
 def _codes(store) -> DataFrame:
     """(ott_id, taxcode) by the barrier clades that are in the store."""
-    return trees.taxcodes(store.tree, trees.resolve_barriers(store).select("root_ott_id", "code"))
+    return trees.taxcodes(store.tree, store.barriers.select("root_ott_id", "code"))
 
 
-def match_results(store, names: DataFrame, matches: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """(name, matches): one row per name with the list of its matches and their taxa."""
+def _parent_names(store) -> DataFrame:
+    """(ott_id, parent_name) of taxa with a parent that is there (the first by name, if several)."""
+    up = store.taxa.select(F.col("ott_id").alias("parent_ott_id"), F.col("name").alias("parent_name"))
+    return store.taxa.select("ott_id", "parent_ott_id").join(up, "parent_ott_id").groupBy("ott_id").agg(F.min("parent_name").alias("parent_name"))
+
+
+def _retired_taxa(store, like: DataFrame) -> DataFrame:
+    """(ott_id, taxon) of retired ids in the form of ``taxon_blobs``: name, sources and the flag DEPRECATED, nothing else."""
+    first = store.deprecated.groupBy("ott_id").agg(F.min(F.struct("name", "source_info")).alias("d"))
+    given = {"ott_id": F.col("ott_id"), "name": F.col("d.name"), "tax_sources": taxon.tax_sources(F.col("d.source_info")), "flags": F.array(F.lit("DEPRECATED"))}
+    fields = like.schema["taxon"].dataType.fields
+    return first.select("ott_id", F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).alias("taxon"))
+
+
+def match_rows(store, matches: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """The matches (``resolve.MATCH``) with the taxon, nomenclature_code and parent_name of each, of retired ids too."""
     codes = _codes(store) if codes is None else codes
     blobs = taxon_blobs(store).select("ott_id", "taxon")
-    rows = matches.where("not is_deprecated").join(blobs, "ott_id").join(codes, "ott_id", "left")
-    one = F.struct(
-        F.col("is_approximate").alias("is_approximate_match"), "search_string", "matched_name", "score", "is_synonym",
-        F.coalesce("taxcode", F.lit(schema.NO_CODE)).alias("nomenclature_code"), "taxon",
+    live = matches.where("not is_deprecated").join(blobs, "ott_id").join(codes, "ott_id", "left").join(_parent_names(store), "ott_id", "left")
+    gone = matches.where("is_deprecated").join(_retired_taxa(store, blobs), "ott_id")
+    return live.unionByName(gone, allowMissingColumns=True).withColumn("nomenclature_code", F.coalesce("taxcode", F.lit(schema.NO_CODE))).drop("taxcode")
+
+
+def _match_v3() -> Column:
+    return F.struct(
+        F.col("is_approximate").alias("is_approximate_match"), "search_string", "matched_name", "score", "is_synonym", "nomenclature_code", "taxon",
+    )
+
+
+def _match_v2() -> Column:
+    t = F.col("taxon")
+    return F.struct(
+        F.col("is_approximate").alias("is_approximate_match"), F.col("ott_id").alias("matched_node_id"), "search_string", "matched_name", "score", "is_synonym", "nomenclature_code", "is_deprecated",
+        t["name"].alias("ot:ottTaxonName"), F.col("ott_id").alias("ot:ottId"), t["tax_sources"].alias("tax_sources"), t["unique_name"].alias("unique_name"), t["rank"].alias("rank"),
+        t["synonyms"].alias("synonyms"), t["is_suppressed"].alias("is_dubious"), t["flags"].alias("flags"),
+    )
+
+
+def _match_v1() -> Column:
+    t, live = F.col("taxon"), ~F.col("is_deprecated")
+    return F.struct(
+        F.col("is_approximate").alias("is_approximate_match"), F.col("ott_id").alias("matched_node_id"), t["name"].alias("ot:ottTaxonName"), F.col("ott_id").alias("ot:ottId"), "search_string",
+        "matched_name", "score", "is_deprecated", t["flags"].alias("flags"), t["unique_name"].alias("unique_name"), t["rank"].alias("rank"), F.when(live, F.col("nomenclature_code")).alias("nomenclature_code"),
+        "parent_name", t["is_suppressed"].alias("dubious_name"), F.when(live, F.col("is_synonym")).alias("is_synonym"),
     )
-    order = F.struct(-F.col("score"), "ott_id", "matched_name")
-    listed = rows.select("query_id", F.struct(order.alias("o"), one.alias("m")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("x"))
+
+
+_SHAPES = {3: _match_v3, 2: _match_v2, 1: _match_v1}
+
+
+def match_results(store, names: DataFrame, matches: DataFrame, codes: DataFrame | None = None, version: int = 3) -> DataFrame:
+    """(query_id, name, matches): one row per name with the list of its matches and their taxa, best first; retired ids have few fields."""
+    rows = match_rows(store, matches, codes)
+    order = F.struct((-F.col("score")).alias("s"), "ott_id", "matched_name", "is_approximate")
+    listed = rows.select("query_id", F.struct(order.alias("o"), _SHAPES[version]().alias("m")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("x"))
     listed = listed.select("query_id", F.transform("x", lambda x: x["m"]).alias("matches"))
     return names.join(listed, "query_id").select("query_id", F.col("qname").alias("name"), "matches")
 
 
-def v3_match_names(
-    store, names: DataFrame, context_name: str | None = None, do_approximate_matching: bool = False, include_suppressed: bool = False, most: int | None = None, include_deprecated: bool = False,
-) -> DataFrame:
-    """One row of the whole answer as JSON for a batch of names (query_id, qname).
-
-    ``most`` is the number of names above which the request is refused (the interface's own were
-    10,000 without and 250 with fuzzy matching); None takes any. For large batches take the rows of
-    ``match_results``, which aren't gathered into one answer.
-    """
+def _checked_names(names: DataFrame, most: int | None) -> None:
     if most is not None and names.limit(most + 1).count() > most:
         raise BadInput(f"more than {most} names")
     if names.groupBy("query_id").count().where("count > 1").limit(1).count():
         raise BadInput("an id stands for more than one name")
+
+
+def _answer(store, names: DataFrame, context_name: str | None, approximate: bool, suppressed: bool, retired: bool, version: int) -> DataFrame:
+    """One row (json): the whole answer to a batch of names in the form of that version."""
     try:
         context = resolve.find_context(store, context_name)
     except ValueError as error:
         raise BadInput(str(error)) from error
-    matches = resolve.match_names(store, names, context, do_approximate_matching, include_suppressed, include_deprecated)
+    matches = materialize(resolve.match_names(store, names, context, approximate, suppressed, retired))
     told = resolve.summary(names, matches)
-    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("qname"))))
-    head = told.agg(pick(F.col("unambiguous")).alias("unambiguous_names"), pick(~F.col("matched")).alias("unmatched_names"), pick(F.col("matched")).alias("matched_names"))
-    used = context or resolve.infer_context(store, names, include_suppressed).first()["context_name"]
+    name, kind = ("qname", "names") if version == 3 else ("query_id", "name_ids")
+    pick = lambda cond, to: F.array_sort(F.collect_list(F.when(cond, F.col(name)))).alias(f"{to}_{kind}")
+    head = told.agg(pick(F.col("unambiguous"), "unambiguous"), pick(~F.col("matched"), "unmatched"), pick(F.col("matched"), "matched"))
+    used = context or resolve.infer_context(store, names, suppressed).first()["context_name"]
     code = next(c[6] for c in schema.CONTEXTS if c[1] == used)
-    results = match_results(store, names, matches).agg(F.array_sort(F.collect_list(F.struct("name", "query_id", "matches")), lambda a, b: F.when(a["query_id"] < b["query_id"], -1).when(a["query_id"] > b["query_id"], 1).otherwise(0)).alias("r"))
-    results = results.select(F.transform("r", lambda r: F.struct(r["name"].alias("name"), r["matches"].alias("matches"))).alias("results"))
+    own = "name" if version == 3 else "query_id"
+    listed = match_results(store, names, matches, version=version).select("query_id", F.struct(F.col(own).alias("name" if version == 3 else "id"), "matches").alias("r"))
+    results = listed.agg(F.array_sort(F.collect_list(F.struct("query_id", "r")), lambda a, b: F.when(a["query_id"] < b["query_id"], -1).when(a["query_id"] > b["query_id"], 1).otherwise(0)).alias("r"))
+    results = results.select(F.transform("r", lambda r: r["r"]).alias("results"))
     source = about(store).first()
     taxonomy = F.struct(*[F.lit(source[c] if source else None).cast("string").alias(c) for c in ("source", "author", "weburl", "name", "version")])
-    whole = head.withColumn("k", F.lit(0)).join(results.withColumn("k", F.lit(0)), "k")
+    whole = head.withColumn("k", F.lit(0)).join(results.withColumn("k", F.lit(0)), "k")  # a row each
     return whole.select(
         F.to_json(
             F.struct(
-                F.lit(code).alias("governing_code"), "unambiguous_names", "unmatched_names", "matched_names", F.lit(used).alias("context"),
-                F.lit(include_deprecated).alias("includes_deprecated_taxa"), F.lit(include_suppressed).alias("includes_suppressed_names"),
-                F.lit(do_approximate_matching).alias("includes_approximate_matches"), taxonomy.alias("taxonomy"), "results",
+                F.lit(code).alias("governing_code"), *[f"{x}_{kind}" for x in ("unambiguous", "unmatched", "matched")], F.lit(used).alias("context"),
+                F.lit(retired).alias("includes_deprecated_ids" if version == 1 else "includes_deprecated_taxa"), F.lit(suppressed).alias("includes_suppressed_names" if version == 3 else "includes_dubious_names"),
+                F.lit(approximate).alias("includes_approximate_matches"), taxonomy.alias("taxonomy"), "results",
             )
         ).alias("json")
     )
 
 
+def v3_match_names(
+    store, names: DataFrame, context_name: str | None = None, do_approximate_matching: bool = False, include_suppressed: bool = False, most: int | None = None, include_deprecated: bool = False,
+) -> DataFrame:
+    """One row of the whole answer as JSON for a batch of names (query_id, qname).
+
+    ``most`` is the number of names above which the request is refused (the interface's own were
+    10,000 without and 250 with fuzzy matching); None takes any. For large batches take the rows of
+    ``match_results`` or ``match_rows``, which aren't gathered into one answer.
+    """
+    _checked_names(names, most)
+    return _answer(store, names, context_name, do_approximate_matching, include_suppressed, include_deprecated, 3)
+
+
 def v3_process_additions(store, document: str) -> tuple:
     """(store with the additions, judged rows); a taxon that can't be added is an error and adds nothing."""
     docs = store.spark.createDataFrame([(0, document)], "doc_key long, body string").withColumn("loaded_at", F.current_timestamp())
@@ -249,16 +306,9 @@ def v2_deprecated_taxa(store) -> DataFrame:
 
 
 def v2_match_names(store, names: DataFrame, context_name: str | None = None, do_approximate_matching: bool = True, include_dubious: bool = False, include_deprecated: bool = False, most: int | None = None) -> DataFrame:
-    """(id, matches): matches carry the taxon's fields themselves; fuzzy unless told otherwise."""
-    if most is not None and names.limit(most + 1).count() > most:
-        raise BadInput(f"more than {most} names")
-    matches = resolve.match_names(store, names, resolve.find_context(store, context_name), do_approximate_matching, include_dubious, include_deprecated)
-    flat = lambda m: F.struct(
-        m["is_approximate_match"].alias("is_approximate_match"), m["taxon"]["ott_id"].alias("matched_node_id"), m["search_string"].alias("search_string"), m["matched_name"].alias("matched_name"),
-        m["score"].alias("score"), m["is_synonym"].alias("is_synonym"), m["nomenclature_code"].alias("nomenclature_code"), F.lit(False).alias("is_deprecated"), m["taxon"]["is_suppressed"].alias("is_dubious"),
-        *[c for c in _v2_taxon(m["taxon"])],
-    )
-    return match_results(store, names, matches).select(F.col("query_id").alias("id"), F.transform("matches", flat).alias("matches"))
+    """One row of the whole answer as JSON; names go by their ids (query_id), matches carry the taxon's fields themselves; fuzzy unless told otherwise."""
+    _checked_names(names, most)
+    return _answer(store, names, context_name, do_approximate_matching, include_dubious, include_deprecated, 2)
 
 
 def v2_autocomplete(store, name: str, context_name: str | None = None, include_dubious: bool = False) -> DataFrame:
@@ -280,7 +330,7 @@ def _listed(store, query_string: str) -> DataFrame:
 
 
 def v1_context_query(store, query_string: str | None = None, names: list[str] | None = None, ids: list | None = None, context_name: str | None = None, include_dubious: bool = False, include_deprecated: bool = False) -> DataFrame:
-    """(id, matches) for names given as one string or a list, with ids of their own if given, each once."""
+    """One row of the whole answer as JSON for names given as one string or a list, with ids of their own if given, each once; else they are numbered from 0."""
     if (query_string is None) == (names is None):
         raise BadInput("give either a query string or names")
     if names is None:
@@ -288,17 +338,17 @@ def v1_context_query(store, query_string: str | None = None, names: list[str] |
     else:
         if ids is not None and (len(ids) != len(names) or len(set(map(str, ids))) != len(ids)):
             raise BadInput("ids must be as many as names and different")
-        asked = store.spark.createDataFrame([(k, n) for k, n in enumerate(names)], "query_id long, qname string")
-    out = v2_match_names(store, asked, context_name, True, include_dubious, include_deprecated)
-    if names is None or ids is None:
-        return out
-    keys = store.spark.createDataFrame([(k, str(i)) for k, i in enumerate(ids)], "id long, given string")
-    return out.join(F.broadcast(keys), "id").select(F.col("given").alias("id"), "matches")
+        kind = "long" if ids is None else "string"
+        given = range(len(names)) if ids is None else map(str, ids)
+        asked = store.spark.createDataFrame(list(zip(given, names, strict=True)), f"query_id {kind}, qname string")
+    return _answer(store, asked, context_name, True, include_dubious, include_deprecated, 1)
 
 
 def v1_autocomplete_box(store, name: str, context_name: str | None = None) -> DataFrame:
+    """nodeId and ottId stand beside node_id and ott_id for callers of old."""
     out = v3_autocomplete(store, name, context_name)
-    return out.select(F.col("ott_id").alias("nodeId"), F.col("ott_id").alias("ottId"), F.col("unique_name").alias("name"), F.lit(True).alias("exact"), F.col("is_higher").alias("higher"))
+    ids = [F.col("ott_id").alias(c) for c in ("nodeId", "ottId", "node_id", "ott_id")]
+    return out.select(*ids, F.col("unique_name").alias("name"), F.col("is_higher").alias("higher"), F.col("is_suppressed").alias("dubious"))
 
 
 def v1_taxonomy_version(store) -> DataFrame:

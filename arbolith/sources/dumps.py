@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from arbolith.runtime import small_or_none
+from arbolith import schema
+from arbolith.runtime import with_ordinals
+from arbolith.store import LoadOptions, Store
 
 BAR, TAB = r"\t\|\t?", r"\t"
 
@@ -93,10 +100,9 @@ def read_version(spark: SparkSession, path: str) -> str | None:
     return row["v"].strip() if row and row["v"] else None
 
 
-def load_dumps(spark: SparkSession, folder: str, forwards: bool = True, deprecated: bool = True):
-    """A store of a folder with taxonomy.tsv, synonyms.tsv and, if there, forwards.tsv, deprecated.tsv and version.txt."""
-    from arbolith import schema
-    from arbolith.store import Store
+def load_dumps(spark: SparkSession, folder: str, options: LoadOptions | None = None) -> Store:
+    """A store of a folder with taxonomy.tsv, synonyms.tsv (unless left out) and, if there and asked for, forwards.tsv, deprecated.tsv and version.txt."""
+    options = options or LoadOptions()
 
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
 
@@ -104,14 +110,15 @@ def load_dumps(spark: SparkSession, folder: str, forwards: bool = True, deprecat
         target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         return target.getFileSystem(conf).exists(target)
 
-    for name in ("taxonomy.tsv", "synonyms.tsv"):
+    for name in ("taxonomy.tsv", "synonyms.tsv")[: 1 + options.synonyms]:
         if not there(name):
             raise FileNotFoundError(f"{folder}/{name}")
-    aliases = read_forwards(spark, f"{folder}/forwards.tsv") if forwards and there("forwards.tsv") else spark.createDataFrame([], schema.ALIASES_RAW)
-    retired = read_deprecated(spark, f"{folder}/deprecated.tsv") if deprecated and there("deprecated.tsv") else spark.createDataFrame([], schema.DEPRECATED_RAW)
+    aliases = read_forwards(spark, f"{folder}/forwards.tsv") if options.aliases and there("forwards.tsv") else spark.createDataFrame([], schema.ALIASES_RAW)
+    retired = read_deprecated(spark, f"{folder}/deprecated.tsv") if options.deprecated and there("deprecated.tsv") else spark.createDataFrame([], schema.DEPRECATED_RAW)
     version = read_version(spark, f"{folder}/version.txt") if there("version.txt") else None
     metadata = spark.createDataFrame([(version, None, None)] if version else [], schema.METADATA)
-    return Store(read_taxonomy(spark, f"{folder}/taxonomy.tsv"), read_synonyms(spark, f"{folder}/synonyms.tsv"), aliases, retired, metadata)
+    synonyms = read_synonyms(spark, f"{folder}/synonyms.tsv") if options.synonyms else spark.createDataFrame([], schema.SYNONYMS_RAW)
+    return Store(read_taxonomy(spark, f"{folder}/taxonomy.tsv"), synonyms, aliases, retired, metadata, options=options)
 
 
 def store_path(spark: SparkSession, folder: str, name: str | None = None) -> str:
@@ -120,17 +127,84 @@ def store_path(spark: SparkSession, folder: str, name: str | None = None) -> str
 
 
 def read_addition_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(position, file_name, body) of JSON documents, by the length of their names, then the names.
+    """(position, file_name, body) of JSON documents, by the length of their names, then the names, then the bodies' hashes.
+
+    Positions are worked out over the names only, by a range partitioning; bodies are read where they are.
+    """
+    files = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = files.select("path", name.alias("file_name"), F.length(name).alias("size")).distinct()
+    order = with_ordinals(listed, ["size", "file_name", "path"], "position").select("position", "path", "file_name")
+    return files.join(order, "path").select("position", "file_name", "body")
+
+
+_TOKEN = r"'(?:[^']|'')*'|[(),;]|:[^(),;]*|[^\s(),:;']+"
+
+
+def newick_nodes(trees: DataFrame, key: str = "tree_id", text: str = "tree") -> DataFrame:
+    """(key, position, parent_position, label, length) of every node of Newick texts, one row each, from 0 in the order of their labels' places.
 
-    The order is a column, made over the short list of files only; bodies are read where they are.
+    Quotes are taken off and doubled ones made single, underscores of plain labels become blanks;
+    comments in brackets are left out; a missing label is empty and a missing length null. The top
+    has no parent. A text whose parentheses don't match, or a null one, has no nodes.
     """
-    files = spark.read.text(pattern, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), F.col("value").alias("body"))
-    listed = small_or_none(files.select("file_name"), 1_000_000)
-    if listed is None:
-        raise ValueError("more than a million addition files in one folder")
-    names = sorted((r["file_name"] for r in listed), key=lambda n: (len(n), n))
-    order = spark.createDataFrame(list(enumerate(names)), "position long, file_name string")
-    return files.join(F.broadcast(order), "file_name").select("position", "file_name", "body")
+    kinds = StructType([trees.schema[key], *StructType.fromDDL("position int, parent_position int, label string, length double").fields])
+
+    def nodes(tree: str | None) -> list[tuple]:
+        # A label closes its node; children stand before their parent and wait for it, level by level.
+        labels, lengths, up, waiting, at = [], [], {}, [[]], None
+
+        def close() -> None:
+            nonlocal at
+            if at is None:
+                labels.append("")
+                lengths.append(None)
+                at = len(labels) - 1
+            for child in kids:
+                up[child] = at
+            waiting[-1].append(at)
+            at = None
+            kids.clear()
+
+        kids: list[int] = []
+        for token in re.findall(_TOKEN, re.sub(r"\[[^\]]*\]", "", tree or "")):
+            if token == "(":
+                waiting.append([])
+            elif token in ",);":
+                close()
+                if token == ")":
+                    if len(waiting) < 2:
+                        return []
+                    kids[:] = waiting.pop()
+                elif token == ";":
+                    break
+            elif token[0] == ":":
+                if at is None:
+                    labels.append("")
+                    lengths.append(None)
+                    at = len(labels) - 1
+                try:
+                    lengths[at] = float(token[1:])
+                except ValueError:
+                    lengths[at] = None
+            elif at is not None:  # two labels side by side
+                return []
+            else:
+                labels.append(token[1:-1].replace("''", "'") if token[0] == "'" else token.replace("_", " "))
+                lengths.append(None)
+                at = len(labels) - 1
+        if len(waiting) != 1 or len(waiting[0]) != 1 or at is not None or kids:
+            return []
+        return [(k, up.get(k), labels[k], lengths[k]) for k in range(len(labels))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, tree in zip(pdf[key], pdf[text], strict=True):
+                made = pd.DataFrame(nodes(tree), columns=["position", "parent_position", "label", "length"]).astype({"parent_position": "Int32"})
+                made.insert(0, key, k)
+                yield made
+
+    return trees.select(key, text).mapInPandas(run, kinds)
 
 
 def newick_tips(trees: DataFrame, text: str = "tree") -> DataFrame:

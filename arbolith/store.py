@@ -7,6 +7,7 @@ aggregations on paths, without a recursive join at query time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,31 @@ from arbolith.runtime import materialize
 TABLES = ("taxa", "synonyms", "aliases", "deprecated", "metadata", "contexts", "tree", "pref_tree", "name_index", "source_index", "context_members", "least_contexts")
 
 
+@dataclass(frozen=True)
+class LoadOptions:
+    """What is loaded and made: names besides a taxon's own, old ids, barrier clades, edges without dubious taxa
+    and the index over them, the index of source ids. Ids need no index here, so ``id_index`` changes nothing."""
+
+    synonyms: bool = True
+    aliases: bool = True
+    deprecated: bool = True
+    barriers: bool = True
+    preferred_edges: bool = True
+    preferred_index: bool = True
+    id_index: bool = True
+    source_index: bool = True
+
+    def __post_init__(self) -> None:
+        if self.preferred_index and not self.preferred_edges:
+            raise ValueError("the preferred index needs the preferred edges")
+
+    @property
+    def tables(self) -> tuple[str, ...]:
+        """The tables of a store that are made under these options."""
+        without = () if self.preferred_edges else ("pref_tree", "context_members", "least_contexts")
+        return tuple(t for t in TABLES if t not in without and (t != "source_index" or self.source_index))
+
+
 class Store:
     """Tables of one taxonomy. Loaded tables are DataFrames of the schemas in ``arbolith.schema``.
 
@@ -29,8 +55,12 @@ class Store:
     Repeated rows count once; synonyms and aliases of unknown ids are kept apart, not joined.
     """
 
-    def __init__(self, taxa: DataFrame, synonyms: DataFrame, aliases: DataFrame, deprecated: DataFrame, metadata: DataFrame | None = None, context_roots: DataFrame | None = None) -> None:
+    def __init__(
+        self, taxa: DataFrame, synonyms: DataFrame, aliases: DataFrame, deprecated: DataFrame, metadata: DataFrame | None = None, context_roots: DataFrame | None = None,
+        options: LoadOptions | None = None,
+    ) -> None:
         self.spark: SparkSession = taxa.sparkSession
+        self.options = options or LoadOptions()
         self._taxa, self._synonyms, self._aliases, self._deprecated = taxa, synonyms, aliases, deprecated
         self._metadata, self._roots = metadata, context_roots
 
@@ -88,6 +118,8 @@ class Store:
     @cached_property
     def pref_tree(self) -> DataFrame:
         """The same over preferred edges: the edge above a dubious taxon is left out."""
+        if not self.options.preferred_edges:
+            raise ValueError("the store was loaded without preferred edges")
         edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))
         return self._paths(self.taxa.select(F.col("ott_id").alias("id"), edge.alias("parent")))
 
@@ -102,17 +134,22 @@ class Store:
 
         Written in the order of the key, so that lookups read few row groups.
         """
-        own = self.taxa.where("name is not null").select(
-            F.col("name_lc").alias("key_lc"), F.lit("taxon").alias("kind"), "name", "ott_id", "rank", "rank_class", "dubious"
-        )
-        about = self.taxa.select("ott_id", "rank", "rank_class", "dubious")
-        other = self.synonyms.join(about, "ott_id").select(F.col("name_lc").alias("key_lc"), F.lit("synonym").alias("kind"), "name", "ott_id", "rank", "rank_class", "dubious").distinct()
-        return materialize(own.unionByName(other).repartitionByRange("key_lc").sortWithinPartitions("key_lc"))
+        return materialize(name_rows(self.taxa, self.synonyms).repartitionByRange("key_lc").sortWithinPartitions("key_lc"))
 
     @cached_property
     def source_index(self) -> DataFrame:
+        if not self.options.source_index:
+            raise ValueError("the store was loaded without an index of source ids")
         return self.taxa.select(F.explode(taxon.source_ids(F.col("input_sources"))).alias("source_id"), "ott_id").distinct()
 
+    @cached_property
+    def barriers(self) -> DataFrame:
+        """(clade, code, root_ott_id) of the barrier clades that are in the store; none if they weren't asked for."""
+        from arbolith.operators.tree import resolve_barriers
+
+        found = resolve_barriers(self)
+        return found if self.options.barriers else found.limit(0)
+
     # --- contexts
 
     @cached_property
@@ -136,23 +173,31 @@ class Store:
     def with_metadata(self, **entries: str) -> Store:
         """The same store with entries of its description set (source, author, weburl)."""
         rows = self.metadata if self.metadata.limit(1).count() else self.spark.createDataFrame([(None, None, None)], schema.METADATA)
-        return Store(self._taxa, self._synonyms, self._aliases, self._deprecated, rows.withColumns({k: F.lit(v) for k, v in entries.items()}), self._roots)
+        return Store(self._taxa, self._synonyms, self._aliases, self._deprecated, rows.withColumns({k: F.lit(v) for k, v in entries.items()}), self._roots, self.options)
 
     def register(self, prefix: str = "") -> None:
         """The tables as temporary views, for questions in SQL."""
-        for name in TABLES:
+        for name in self.options.tables:
             getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
 
     def save(self, path: str) -> None:
         """All tables as parquet below ``path``; fails if something is there. Each table is written in one job commit."""
-        for name in TABLES:
+        for name in self.options.tables:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
-def open_store(spark: SparkSession, path: str) -> Store:
-    """A saved store, its derived tables read instead of made."""
+def name_rows(taxa: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Rows of the name index for these taxa: their own names and the synonyms they have."""
+    about = ("ott_id", "rank", "rank_class", "dubious")
+    own = taxa.where("name is not null").select(F.col("name_lc").alias("key_lc"), F.lit("taxon").alias("kind"), "name", *about)
+    other = synonyms.join(taxa.select(*about), "ott_id").select(F.col("name_lc").alias("key_lc"), F.lit("synonym").alias("kind"), "name", *about).distinct()
+    return own.unionByName(other)
+
+
+def open_store(spark: SparkSession, path: str, options: LoadOptions | None = None) -> Store:
+    """A saved store, its derived tables read instead of made; ``options`` are those it was saved with."""
     table = lambda name: spark.read.parquet(f"{path}/{name}")
-    store = Store(table("taxa"), table("synonyms"), table("aliases"), table("deprecated"), table("metadata"))
-    for name in TABLES:
+    store = Store(table("taxa"), table("synonyms"), table("aliases"), table("deprecated"), table("metadata"), table("contexts").select("name", "root_ott_id"), options)
+    for name in store.options.tables:
         setattr(store, name, table(name))
     return store

@@ -108,7 +108,7 @@ def test_hierarchy_with_and_without_taking_out_chains(spark, seed, share):
 
 
 def test_long_chains_end_in_few_rounds(spark):
-    n = 200_000
+    n = 60_000
     chain = spark.range(n).selectExpr("id", "case when id = 0 then null else id - 1 end as parent")
     leaves = spark.range(n, n + 3000).selectExpr("id", "id % 50 as parent")
     tree = hierarchy.hierarchy(chain.union(leaves), paths=False)

@@ -332,10 +332,13 @@ def test_match_names_answer(spark, store):
         services.v3_match_names(store, q, "Martians")
     with pytest.raises(services.BadInput):
         services.v3_match_names(store, q.unionByName(q))
-    flat = services.v2_match_names(store, q).where("id = 0").first()["matches"][0]
-    assert flat["ot:ottId"] == 20 and flat["is_dubious"] is False
-    given = services.v1_context_query(store, names=["Aster albus", "nope"], ids=["x", "y"]).collect()
-    assert [r["id"] for r in given] == ["x"]
+    second = json.loads(services.v2_match_names(store, q).first()["json"])
+    assert second["unmatched_name_ids"] == [3] and set(second["matched_name_ids"]) == {0, 1, 2} and second["includes_dubious_names"] is False and second["includes_approximate_matches"] is True
+    flat = second["results"][0]["matches"][0]
+    assert second["results"][0]["id"] == 0 and flat["ot:ottId"] == 20 and flat["is_dubious"] is False and flat["is_deprecated"] is False
+    given = json.loads(services.v1_context_query(store, names=["Aster albus", "nope"], ids=["x", "y"]).first()["json"])
+    assert [r["id"] for r in given["results"]] == ["x"] and given["unmatched_name_ids"] == ["y"] and given["includes_deprecated_ids"] is False
+    assert given["results"][0]["matches"][0]["parent_name"] == "Aster"
     with pytest.raises(services.BadInput):
         services.v1_context_query(store, names=["a", "b"], ids=["x", "x"])
     grown, checked = services.v3_process_additions(store, json.dumps({"taxa": [{"ott_id": 900, "name": "New", "parent": 10}]}))
@@ -398,3 +401,72 @@ def test_fuzzy_matches_of_retired_names(spark, monkeypatch):
     monkeypatch.setattr(taxonomy, "names", lambda spark, sf: spark.createDataFrame([(typed, typed)], "query_id string, qname string"))
     got = {(r["qname"], r["ott_id"], r["stage"], r["is_deprecated"]) for r in taxonomy.QUERIES["match_pipeline_retired"](spark, sf).collect()}
     assert (typed, retired["ott_id"], "fuzzy", True) in got
+
+
+def test_answers_have_retired_names(spark, store):
+    q = names(spark, "Old name", "Aster vetuss", "Aster albus")
+    for answer in (services.v3_match_names(store, q, None, True, include_deprecated=True), services.v2_match_names(store, q, include_deprecated=True)):
+        told = json.loads(answer.first()["json"])
+        found = {m["search_string"]: m for r in told["results"] for m in r["matches"]}
+        assert told["includes_deprecated_taxa"] is True and set(found) == {"old name", "aster vetuss", "aster albus"}
+        taxon_ = found["old name"].get("taxon", found["old name"])
+        assert taxon_["flags"] == ["DEPRECATED"] and "rank" not in taxon_ and "synonyms" not in taxon_ and taxon_["tax_sources"] == ["ncbi:5"]
+        assert found["aster vetuss"]["is_approximate_match"] is True and found["aster vetuss"]["matched_name"] == "Aster vetus"
+    old = json.loads(services.v1_context_query(store, query_string="Old name, Aster albus", include_deprecated=True).first()["json"])
+    match = old["results"][0]["matches"][0]
+    assert match["is_deprecated"] is True and match["ot:ottId"] == 500 and "is_synonym" not in match and old["includes_deprecated_ids"] is True
+    assert "taxon" not in match and len(services.match_rows(store, resolve.match_names(store, q, None, True, False, True)).collect()) == 3
+
+
+def test_first_completion_box(store):
+    box = services.v1_autocomplete_box(store, "Aster")
+    assert box.columns == ["nodeId", "ottId", "node_id", "ott_id", "name", "higher", "dubious"] and {r["ott_id"] for r in box.collect()} == {10, 11}
+
+
+def test_a_reopened_store_keeps_its_contexts(spark, store, tmp_path):
+    store.save(str(tmp_path / "s"))
+    again = open_store(spark, str(tmp_path / "s")).with_metadata(author="x")
+    assert rows(again.context_members) == rows(store.context_members) and again.metadata.first()["author"] == "x"
+
+
+def test_load_options(spark, folder, tmp_path):
+    with pytest.raises(ValueError):
+        dumps.LoadOptions(preferred_edges=False)
+    plain = dumps.load_dumps(spark, str(folder), dumps.LoadOptions(synonyms=False, aliases=False, deprecated=False, barriers=False, preferred_edges=False, preferred_index=False, source_index=False))
+    assert not plain.synonyms.count() and not plain.aliases.count() and not plain.deprecated.count() and not plain.barriers.count()
+    for name in ("pref_tree", "source_index"):
+        with pytest.raises(ValueError):
+            getattr(plain, name)
+    plain.save(str(tmp_path / "p"))
+    assert open_store(spark, str(tmp_path / "p"), plain.options).tree.count() == plain.tree.count()
+
+
+def test_barrier_clades(store):
+    found = {r["clade"]: r["root_ott_id"] for r in store.barriers.collect()}
+    assert found == {"Fungi": 2, "Metazoa": 3}
+
+
+def test_newick_texts_as_nodes(spark):
+    trees_ = [(1, "((a_b:1,'it''s (x)':2.5)ab,c[note])root:0.1;"), (2, "(,(,));"), (3, "((a,b);"), (4, None), (5, "alone;"), (6, "(a b);"), (7, "")]
+    got = {}
+    for r in dumps.newick_nodes(spark.createDataFrame(trees_, "tree_id long, tree string")).collect():
+        got.setdefault(r["tree_id"], {})[r["position"]] = (r["label"], r["parent_position"], r["length"])
+    assert got[1] == {0: ("a b", 2, 1.0), 1: ("it's (x)", 2, 2.5), 2: ("ab", 4, None), 3: ("c", 4, None), 4: ("root", None, 0.1)}
+    assert [got[2][k][1] for k in range(5)] == [4, 3, 3, 4, None] and got[5] == {0: ("alone", None, None)}
+    assert not {3, 4, 6, 7} & set(got)
+
+
+def test_additions_carry_the_derived_tables_on(spark, store):
+    new = [{"ott_id": 950, "name": "Novum", "parent": 10, "tag": "n", "flags": ["hidden"]}, {"ott_id": 951, "name": "Novum primum", "parent_tag": "n", "rank": "species", "sources": ["zz:1"]}, {"ott_id": 952, "name": "Top", "parent": 805080}]
+    for extra in ([], [{"ott_id": 999, "name": "Found", "parent": 952}]):  # the second is the lost parent of an orphan
+        docs = spark.createDataFrame([(0, json.dumps({"id": "d", "taxa": new + extra}))], "doc_key long, body string").withColumn("loaded_at", F.current_timestamp())
+        _ = store.tree, store.pref_tree, store.name_index, store.source_index
+        grown, _ = additions.apply(store, docs)
+        assert ("tree" in grown.__dict__) == (not extra)
+        whole = Store(grown._taxa, store._synonyms, store._aliases, store._deprecated, None, store._roots)
+        for name in additions.DERIVED:
+            a, b = getattr(grown, name), getattr(whole, name)
+            assert rows(a.select(b.columns)) == rows(b), name
+        assert rows(grown.context_members) == rows(whole.context_members)
+    kept, _ = additions.apply(store, docs, derive=False)
+    assert rows(kept.tree) == rows(store.tree) and kept.taxa.count() == store.taxa.count() + 4
