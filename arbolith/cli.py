@@ -6,7 +6,8 @@ adddeprecated STORE FILE TARGET the store with the retired ids of a file
 makecontexts STORE              number of taxa of each context
 makegenusindexes STORE          number of species of each genus
 getsubtree STORE ID...          the tree that the taxa span, as Newick
-recalculatemrcas STORE TARGET   the sets of tips and inner taxa below each taxon, made anew
+recalculatemrcas STORE TARGET   the tips and inner taxa below each taxon, made anew, a row each
+writenewick STORE ID TARGET     a taxon's preferred subtree as Newick in text files
 tnrsbasic STORE NAME,NAME,...   the matches of names, in words
 """
 
@@ -57,7 +58,11 @@ def getsubtree(spark: SparkSession, path: str, *ids: str) -> DataFrame:
 
 
 def recalculatemrcas(spark: SparkSession, path: str, target: str) -> None:
-    trees.below_sets(open_store(spark, path).tree).write.mode("overwrite").parquet(target)
+    trees.below_members(open_store(spark, path).tree).write.mode("overwrite").parquet(target)
+
+
+def writenewick(spark: SparkSession, path: str, top: str, target: str) -> None:
+    exports.write_newick(open_store(spark, path), int(top), target)
 
 
 def tnrsbasic(spark: SparkSession, path: str, names: str) -> DataFrame:
@@ -67,7 +72,7 @@ def tnrsbasic(spark: SparkSession, path: str, names: str) -> DataFrame:
     return exports.result_lines(listed, resolve.describe(matches, store.taxa)).orderBy("query_id").select("qname", "lines")
 
 
-COMMANDS = {f.__name__: f for f in (buildott, loadtaxsyn, adddeprecated, makecontexts, makegenusindexes, getsubtree, recalculatemrcas, tnrsbasic)}
+COMMANDS = {f.__name__: f for f in (buildott, loadtaxsyn, adddeprecated, makecontexts, makegenusindexes, getsubtree, recalculatemrcas, writenewick, tnrsbasic)}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:

@@ -72,6 +72,11 @@ def result_lines(names: DataFrame, descriptions: DataFrame) -> DataFrame:
     return names.join(listed, "query_id", "left").select("query_id", "qname", F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n").alias("lines"))
 
 
+def write_newick(store, root_id: int, path: str, label_format: str = "name_and_id") -> None:
+    """The preferred subtree of a taxon as Newick in text files: line after line, part by part, they are one text of any size."""
+    write_lines(trees.newick_pieces(trees.subtree_labels(store, root_id, label_format)), ["key"], path, "piece")
+
+
 def write_lines(lines: DataFrame, order: list[str], path: str, column: str = "line") -> None:
     """Text files in the given order, part by part; the folder must not exist."""
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(column).write.mode("errorifexists").text(path)

@@ -89,23 +89,23 @@ def deprecated(queries: DataFrame, retired: DataFrame) -> DataFrame:
 
 
 def _key_segments(keys: DataFrame) -> DataFrame:
-    """(key_lc, m, size, part, piece): for each number of edits m the m + 1 even segments of every key."""
+    """(key_lc, key_signs, m, size, part, piece): for each number of edits m the m + 1 even segments of every key."""
     size = F.length("key_lc")
 
     def piece(m: int, k: int) -> Column:
         start, end = F.floor(size * k / (m + 1)).cast("int"), F.floor(size * (k + 1) / (m + 1)).cast("int")
         return F.struct(F.lit(m).alias("m"), size.alias("size"), F.lit(k).alias("part"), F.substring("key_lc", start + 1, end - start).alias("piece"))
 
-    return keys.select("key_lc", F.inline(F.array(*[piece(m, k) for m in (1, 2, 3, 4) for k in range(m + 1)])))
+    return keys.select("key_lc", "key_signs", F.inline(F.array(*[piece(m, k) for m in (1, 2, 3, 4) for k in range(m + 1)])))
 
 
 def _query_segments(queries: DataFrame) -> DataFrame:
-    """(q, m, size, part, piece): where the segments of a key of each possible size can stand in the query.
+    """(q, q_signs, m, size, part, piece): where the segments of a key of each possible size can stand in the query.
 
     With k edits before a segment and m - k behind it at most, it stands at most k places off its
     own from the left and m - k from the right; that leaves few places for each.
     """
-    sized = queries.select("q", F.length("q").alias("n"), taxon.max_edits(F.length("q")).alias("m"))
+    sized = queries.select("q", "q_signs", F.length("q").alias("n"), taxon.max_edits(F.length("q")).alias("m"))
     sized = sized.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("m")), F.col("n") + F.col("m"))))
     parts = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m"))))
     start = F.floor(F.col("size") * F.col("part") / (F.col("m") + 1)).cast("int")
@@ -114,7 +114,7 @@ def _query_segments(queries: DataFrame) -> DataFrame:
     lo = F.greatest(F.lit(0), F.col("p") - F.col("part"), F.col("right") - F.col("after"))
     hi = F.least(F.col("n") - F.col("l"), F.col("p") + F.col("part"), F.col("right") + F.col("after"))
     ranged = parts.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
-    return ranged.withColumn("at", F.explode(F.sequence("lo", "hi"))).select("q", "m", "size", "part", F.substring("q", F.col("at") + 1, F.col("l")).alias("piece"))
+    return ranged.withColumn("at", F.explode(F.sequence("lo", "hi"))).select("q", "q_signs", "m", "size", "part", F.substring("q", F.col("at") + 1, F.col("l")).alias("piece"))
 
 
 def similar(queries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -127,14 +127,23 @@ def similar(queries: DataFrame, keys: DataFrame) -> DataFrame:
     q = queries.select("q").distinct().where(F.length("q") > 1)
     k = keys.select("key_lc").distinct().where("key_lc <> ''")
     # Segments outgrow the planner's estimate of either side, so neither may be broadcast by it; and the
-    # shuffle spreads the pairs over tasks where few queries would sit in one.
-    near = _query_segments(q).join(_key_segments(k).hint("merge"), ["m", "size", "part", "piece"])
+    # shuffle spreads the pairs over tasks where few queries would sit in one. A hot piece's rows of both
+    # sides are split by the sort-merge join's handling of skew.
+    near = _query_segments(q.withColumn("q_signs", _signs(F.col("q")))).join(_key_segments(k.withColumn("key_signs", _signs(F.col("key_lc")))).hint("merge"), ["m", "size", "part", "piece"])
+    # An edit changes two signs at most, and most pairs that share a piece differ in more.
+    near = near.where(F.bit_count(F.col("q_signs").bitwiseXOR(F.col("key_signs"))) <= 2 * F.col("m"))
     # Measured where they meet: a pair that meets twice is cheaper measured twice than moved once.
     # The generator keeps the distance from being worked out once for each use.
     measured = near.select("q", "key_lc", F.explode(F.array(F.levenshtein("q", "key_lc", 4))).alias("distance")).where("distance >= 0")
     return measured.where(taxon.fuzzy_accepts(F.col("distance"), F.col("q"), F.col("key_lc"))).select("q", "key_lc", "distance").distinct()
 
 
+def _signs(text: Column) -> Column:
+    """The signs that stand in a text, as bits by their code modulo 63."""
+    signs = F.array_distinct(F.transform(F.split(text, ""), lambda c: F.ascii(c) % 63))
+    return F.aggregate(signs, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+
+
 def fuzzy(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Taxa and synonyms whose name is similar to the query, with the base score."""
     close = similar(queries, index)
@@ -261,19 +270,17 @@ def find_taxa(store, names: DataFrame, context: str | None = None, include_suppr
 # --- completion
 
 
-def _next_key(text: Column) -> Column:
-    """The end of the range of keys that start with ``text``."""
-    return F.concat(text, F.lit("\U0010ffff"))
-
-
 def prefix(queries: DataFrame, index: DataFrame, least: int = 3) -> DataFrame:
     """Index rows whose key starts with the query; queries shorter than ``least`` have none.
 
-    Queries and keys meet on their first letters (an equi-join), not in a product.
+    Every key gives its beginnings, and those that are a query are kept: what meets is a hit. Of
+    queries asked for by many ids, and of keys of many rows, one each is joined.
     """
-    asked = queries.where(F.length("q") >= least).withColumn("head", F.substring("q", 1, least))
-    keyed = index.withColumn("head", F.substring("key_lc", 1, least))
-    return asked.join(keyed, "head").where(F.col("key_lc").startswith(F.col("q"))).drop("head")
+    asked = queries.where(F.length("q") >= least)
+    keys = index.select("key_lc").distinct().where(F.length("key_lc") >= least)
+    begun = keys.withColumn("q", F.explode(F.transform(F.sequence(F.lit(least), F.length("key_lc")), lambda n: F.left("key_lc", n))))
+    hits = begun.join(asked.select("q").distinct(), "q")
+    return asked.join(hits, "q").join(index, "key_lc")
 
 
 def autocomplete(store, names: DataFrame, context: str | None = None, include_suppressed: bool = False, higher_first: bool = False) -> DataFrame:
@@ -305,17 +312,18 @@ def autocomplete(store, names: DataFrame, context: str | None = None, include_su
     tail = F.substring(F.col("name"), F.length("genus") + 2, F.length("name"))
     found.append(stage(species.where((F.length("name") > F.length("genus")) & F.startswith(tail, F.col("rest"))), 2))
     found.append(stage(same(spaced, index.where("kind = 'taxon' and rank_class <> 'specific'")), 3))
-    found.append(stage(prefix(spaced, index), 4))
-    found.append(stage(prefix(plain, higher.where("kind = 'taxon'")), 4))
-    found.append(stage(prefix(plain, index.where("kind = 'synonym'")), 5))
+    # Each further step is taken for the queries that are still open.
     early = materialize(reduce(DataFrame.unionByName, found).distinct())
-    # A genus that is there but has no such species still ends the way before the next stages only if it found one.
-    open_ = materialize(asked.join(early.select("query_id").distinct(), "query_id", "left_anti"))
+    left = materialize(asked.join(early.select("query_id").distinct(), "query_id", "left_anti"))
+    spaced, plain = left.where("spaced"), left.where("not spaced")
+    begun = [stage(prefix(spaced, index), 4), stage(prefix(plain, higher.where("kind = 'taxon'")), 4), stage(prefix(plain, index.where("kind = 'synonym'")), 5)]
+    middle = materialize(reduce(DataFrame.unionByName, begun).distinct())
+    open_ = materialize(left.join(middle.select("query_id").distinct(), "query_id", "left_anti"))
     late = []
     for part, rows in ((open_.where("spaced"), index), (open_.where("not spaced"), higher)):
         close = similar(part, rows)
         late.append(stage(part.join(close, "q").join(rows, "key_lc"), 6))
-    every = reduce(DataFrame.unionByName, [early, *late])
+    every = reduce(DataFrame.unionByName, [early, middle, *late])
     best = every.groupBy("query_id").agg(F.min("stage").alias("stage"))
     hits = every.join(best, ["query_id", "stage"]).distinct().join(store.taxa, "ott_id")
     hits = hits.select("query_id", "stage", "ott_id", taxon.unique_name(F.col("uniqname"), F.col("name")).alias("unique_name"), taxon.is_higher(F.col("rank")).alias("is_higher"), F.col("dubious").alias("is_suppressed"))

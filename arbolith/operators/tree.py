@@ -59,15 +59,20 @@ def tip_counts(tree: DataFrame) -> DataFrame:
     return counts.groupBy("anc_id").agg(F.count_if("tip").alias("n_tips"), F.count_if(~F.col("tip")).alias("n_inner"))
 
 
-def below_sets(tree: DataFrame) -> DataFrame:
-    """(ott_id, mrca, nested_mrca): sorted ids of the tips and of the inner taxa at or below each taxon.
+def below_members(tree: DataFrame) -> DataFrame:
+    """(anc_id, ott_id, is_tip): what stands at or below each taxon, a row each; a tip's only one is itself."""
+    return tree.select(F.explode("path").alias("anc_id"), "ott_id", (F.col("n_below") == 0).alias("is_tip"))
 
-    A tip's lists are itself and none. The lists of a taxon are as long as its subtree; to count
-    or join, ``tip_counts`` and ``closure`` do the same without gathering.
+
+def below_sets(tree: DataFrame, most: int = 50_000) -> DataFrame:
+    """(ott_id, mrca, nested_mrca): sorted ids of the tips and of the inner taxa at or below each taxon, as two lists.
+
+    A tip's lists are itself and none. As a list stands in one row, a taxon with more than ``most``
+    below it is an error when the rows are read; ``below_members`` has the same as rows, for any size.
     """
-    rows = tree.select(F.explode("path").alias("anc_id"), "ott_id", (F.col("n_below") == 0).alias("tip"))
-    pick = lambda tip: F.array_sort(F.collect_list(F.when(F.col("tip") == tip, F.col("ott_id"))))
-    return rows.groupBy(F.col("anc_id").alias("ott_id")).agg(pick(True).alias("mrca"), pick(False).alias("nested_mrca"))
+    kept = tree.select("path", "ott_id", "n_below").withColumn("ott_id", F.when(F.col("n_below") <= most, F.col("ott_id")).otherwise(F.raise_error(F.concat(F.lit("too many below taxon "), F.col("ott_id")))))
+    pick = lambda tip: F.array_sort(F.collect_list(F.when(F.col("is_tip") == tip, F.col("ott_id"))))
+    return below_members(kept).groupBy(F.col("anc_id").alias("ott_id")).agg(pick(True).alias("mrca"), pick(False).alias("nested_mrca"))
 
 
 def is_descendant(tree: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -208,46 +213,65 @@ def induced_subtree(tree: DataFrame, sets: DataFrame) -> DataFrame:
     return upper.select("set_id", F.inline(pairs)).distinct()
 
 
-def _written(nodes: DataFrame, root_id: int) -> DataFrame:
-    """One row (ott_id, newick) of nodes (path, label); paths start at the tree's top.
+def newick_pieces(nodes: DataFrame) -> DataFrame:
+    """(key, ott_id, piece) of nodes (ott_id, path, label), paths starting at the tree's top: read in the order of key they are its Newick text.
 
-    In the order of paths that end above every id, each node stands after its children; the marks
-    before a label follow from the depths of its neighbours. One sort, no loop over levels.
+    In the order of paths that end above every id each node stands after its children. An inner
+    node's piece closes its children; a leaf's opens the taxa whose first leaf it is, and has a
+    comma before those that aren't first children. Nothing is gathered or sorted.
     """
-    rows = F.struct(F.concat("path", F.array(F.lit(_LAST))).alias("key"), F.size("path").alias("depth"), "label")
-    sorted_ = nodes.agg(F.array_sort(F.collect_list(rows)).alias("s")).where("size(s) > 0")
+    above = F.element_at("path", -2)
+    first = nodes.where("size(path) > 1").groupBy(above.alias("up")).agg(F.min("ott_id").alias("node")).select("node", F.lit(True).alias("first"))
+    inner = nodes.where("size(path) > 1").select(above.alias("ott_id")).distinct().withColumn("inner", F.lit(True))
+    marked = nodes.join(inner, "ott_id", "left")
+    # How many of the lowest taxa on a leaf's way up are first children, without a break: what it opens.
+    ways = marked.where("inner is null").select("ott_id", F.posexplode("path").alias("place", "node")).where("place > 0")
+    breaks = ways.join(first, "node", "left").where("first is null").groupBy("ott_id").agg(F.max("place").alias("last"))
+    opened = F.size("path") - 1 - F.coalesce("last", F.lit(0))
+    start = F.concat(F.when(F.col("last").isNotNull(), F.lit(",")).otherwise(""), F.repeat(F.lit("("), opened))
+    piece = F.concat(F.when(F.col("inner"), F.lit(")")).otherwise(start), F.col("label"), F.when(F.size("path") == 1, F.lit(";")).otherwise(""))
+    key = F.concat("path", F.array(F.lit(_LAST)))
+    return marked.join(breaks, "ott_id", "left").select(key.alias("key"), "ott_id", piece.alias("piece"))
+
+
+def subtree_labels(store, root_id: int, label_format: str = "name_and_id") -> DataFrame:
+    """(ott_id, path, label) of the preferred subtree of a taxon, paths starting there."""
+    labels = store.taxa.select("ott_id", taxon.label(label_format, F.col("name"), F.col("ott_id")).alias("label"))
+    below = F.slice("path", F.array_position("path", F.lit(root_id).cast("long")).cast("int"), F.size("path"))
+    return descendants(store.pref_tree, root_id).select("ott_id", below.alias("path")).join(labels, "ott_id")
 
-    def piece(x, i):
-        before = F.coalesce(F.get("s", i - 1)["depth"], F.lit(1))
-        opened = F.concat(F.when(i > 0, F.lit(",")).otherwise(""), F.repeat(F.lit("("), x["depth"] - before))
-        return F.concat(F.when(x["depth"] < before, F.lit(")")).otherwise(opened), x["label"])
 
-    text = F.concat(F.array_join(F.transform("s", piece), ""), F.lit(";"))
-    return sorted_.select(F.lit(root_id).cast("long").alias("ott_id"), text.alias("newick"))
+def _written(nodes: DataFrame, root_id: int, limit: int) -> DataFrame:
+    """One row (ott_id, newick) of nodes (ott_id, path, label); more than ``limit`` are an error."""
+    nodes = materialize(nodes)
+    if nodes.count() > limit:
+        raise ValueError(f"the tree has more than {limit} taxa")
+    rows = newick_pieces(nodes).agg(F.array_sort(F.collect_list(F.struct("key", "piece"))).alias("s")).where("size(s) > 0")
+    return rows.select(F.lit(root_id).cast("long").alias("ott_id"), F.array_join(F.col("s.piece"), "").alias("newick"))
 
 
-def newick(store, root_id: int, label_format: str = "name_and_id", limit: int | None = 50_000) -> DataFrame:
+#: Taxa that one text may have.
+MOST_TAXA = 50_000
+
+
+def newick(store, root_id: int, label_format: str = "name_and_id", limit: int = MOST_TAXA) -> DataFrame:
     """(ott_id, newick) of the preferred subtree of a taxon, children in the order of their ids.
 
-    More taxa than ``limit`` are an error, as the answer is one string; None takes any number.
+    More taxa than ``limit`` are an error, as the answer is one string; ``newick_pieces`` of
+    ``subtree_labels`` has the same in pieces, for any number.
     """
-    inside = descendants(store.pref_tree, root_id)
-    if limit is not None and inside.limit(limit + 1).count() > limit:
-        raise ValueError(f"the subtree has more than {limit} taxa")
-    labels = store.taxa.select("ott_id", taxon.label(label_format, F.col("name"), F.col("ott_id")).alias("label"))
-    below = F.slice("path", F.array_position("path", F.lit(root_id).cast("long")).cast("int"), F.size("path"))
-    return _written(inside.select("ott_id", below.alias("path")).join(labels, "ott_id"), root_id)
+    return _written(subtree_labels(store, root_id, label_format), root_id, limit)
 
 
-def induced_newick(store, ids: DataFrame, label_format: str = "name_and_id") -> DataFrame:
-    """(ott_id, newick) of the tree that a set of taxa (ott_id) spans in the preferred tree."""
+def induced_newick(store, ids: DataFrame, label_format: str = "name_and_id", limit: int = MOST_TAXA) -> DataFrame:
+    """(ott_id, newick) of the tree that a set of taxa (ott_id) spans in the preferred tree, of at most ``limit`` taxa."""
     edges = materialize(induced_subtree(store.pref_tree, ids.select(F.lit(0).alias("set_id"), "ott_id")))
     top = edges.where("parent_ott_id is null").select("ott_id").first()
     labels = store.taxa.select("ott_id", taxon.label(label_format, F.col("name"), F.col("ott_id")).alias("label"))
     if top is None:
         return store.spark.createDataFrame([], "ott_id long, newick string")
     kept = hierarchy(edges.select(F.col("ott_id").alias("id"), F.col("parent_ott_id").alias("parent")))
-    return _written(kept.select(F.col("id").alias("ott_id"), "path").join(labels, "ott_id"), top["ott_id"])
+    return _written(kept.select(F.col("id").alias("ott_id"), "path").join(labels, "ott_id"), top["ott_id"], limit)
 
 
 def first_neighbour(edges: DataFrame, ids: DataFrame, outgoing: bool = True, source: str | None = None) -> DataFrame:

@@ -12,11 +12,12 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolith import schema
+from arbolith import runtime, schema
 from arbolith.functions import taxon
 from arbolith.operators import additions, exports, resolve
 from arbolith.operators import tree as trees
 from arbolith.plans.records import _P6
+from arbolith.sources import dumps
 from arbolith.store import Store
 
 _stores: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -51,10 +52,10 @@ def store(spark: SparkSession, sf: str) -> Store:
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, qname): every distinct name typed, signs beyond ASCII as question marks."""
+    """(query_id, qname): every distinct name typed, as it was typed but for blanks around it."""
     r = _table(spark, sf, "tnrs_requests")
     typed = r.select(F.explode("names").alias("n")).union(r.select(F.explode(F.split("query_string", ",")).alias("n")))
-    clean = F.trim(F.regexp_replace("n", r"[^\x20-\x7e]", "?"))
+    clean = F.trim("n")
     return typed.where("n is not null").select(clean.alias("query_id"), clean.alias("qname")).where("qname <> ''").distinct()
 
 
@@ -91,6 +92,8 @@ def _query(sql: str | None = None):
     return keep
 
 
+# DuckDB measures levenshtein in bytes; no listed name has a sign beyond ASCII or a question mark, so one
+# question mark for each such sign of a typed name (qb) leaves every distance as it is.
 _SUPPRESS = "[" + ", ".join(f"'{f}'" for f in schema.SUPPRESSING) + "]"
 _SPECIFIC = ", ".join(f"'{r}'" for r in schema.SPECIFIC_RANKS)
 _WITH = f"""
@@ -117,8 +120,8 @@ dep as (select distinct ott_id, name, source_info, reason, lower(name) as name_l
 ali as (select distinct alias_id, ott_id from forwards),
 fw as (select distinct ott_id from forwards),
 typed as (select unnest(names) as n from tnrs_requests union all select unnest(string_split(query_string, ',')) from tnrs_requests),
-qn as (select distinct trim(regexp_replace(n, '[^\\x20-\\x7e]', '?', 'g')) as qname from typed where n is not null),
-qs as (select qname, lower(qname) as q from qn where qname <> ''),
+qn as (select distinct trim(n) as qname from typed where n is not null),
+qs as (select qname, lower(qname) as q, regexp_replace(lower(qname), '[^\\x20-\\x7e]', '?', 'g') as qb from qn where qname <> ''),
 ctx as (
   select context_name as context, ott_id as root_id from canonical_names where parent is null union all select 'All life', {schema.ROOT_ID}),
 st as (select distinct addition_id as set_id, parent as ott_id from additions where parent is not null),
@@ -138,12 +141,12 @@ depm as (
   select q.qname, d.ott_id, d.name from qs q join dep d on d.name_lc = q.q where q.qname not in (select qname from exactm) and q.qname not in (select qname from genericm)),
 synm as (select distinct q.qname, i.ott_id, i.name, i.rank from qs q join ix i on i.key_lc = q.q where i.kind = 'synonym' and not i.dubious),
 openq as (
-  select qname, q, case when length(q) < 9 then 1 when length(q) < 14 then 2 when length(q) < 19 then 3 else 4 end as m from qs
+  select qname, q, qb, case when length(q) < 9 then 1 when length(q) < 14 then 2 when length(q) < 19 then 3 else 4 end as m from qs
   where qname not in (select qname from exactm union select qname from genericm union select qname from synm)),
 near as (
-  select o.qname, o.q, i.kind, i.name, i.ott_id, i.rank, levenshtein(o.q, i.key_lc) as d, (least(length(o.q), length(i.name)) - levenshtein(o.q, i.name)) / cast(least(length(o.q), length(i.name)) as double) as score
+  select o.qname, o.q, i.kind, i.name, i.ott_id, i.rank, levenshtein(o.qb, i.key_lc) as d, (least(length(o.q), length(i.name)) - levenshtein(o.qb, i.name)) / cast(least(length(o.q), length(i.name)) as double) as score
   from openq o join ix i on abs(length(o.q) - length(i.key_lc)) <= o.m
-  where length(o.q) > 1 and not i.dubious and levenshtein(o.q, i.key_lc) * length(o.q) < (o.m + 1) * least(length(o.q), length(i.key_lc)))
+  where length(o.q) > 1 and not i.dubious and levenshtein(o.qb, i.key_lc) * length(o.q) < (o.m + 1) * least(length(o.q), length(i.key_lc)))
 """
 
 
@@ -266,11 +269,10 @@ def tips(spark, sf):
 
 
 @_query(
-    "select w.node as ott_id, coalesce(string_agg(cast(w.ott_id as varchar), ',' order by w.ott_id) filter (t.tip), '') as mrca, coalesce(string_agg(cast(w.ott_id as varchar), ',' order by w.ott_id) filter (not t.tip), '') as nested_mrca "
-    "from walk w join (select ott_id, ott_id not in (select node from walk where dist > 0) as tip from tdepth) t on t.ott_id = w.ott_id group by w.node"
+    "select w.node as anc_id, w.ott_id, t.tip as is_tip from walk w join (select ott_id, ott_id not in (select node from walk where dist > 0) as tip from tdepth) t on t.ott_id = w.ott_id"
 )
-def below_sets(spark, sf):
-    return trees.below_sets(store(spark, sf).tree).select("ott_id", _listed("mrca").alias("mrca"), _listed("nested_mrca").alias("nested_mrca"))
+def below_members(spark, sf):
+    return trees.below_members(store(spark, sf).tree)
 
 
 @_query("select s.set_id, l.mrca, count(*) as n_ids, coalesce(max(l.n_used), 0) as n_used from st s left join lica l on l.set_id = s.set_id group by s.set_id, l.mrca")
@@ -335,7 +337,7 @@ select (select min(ott_id) from canonical_names where parent is null) as ott_id,
 
 def _newick(spark, sf, fmt):
     top = _table(spark, sf, "canonical_names").where("parent is null").agg(F.min("ott_id").alias("x")).first()["x"]
-    return trees.newick(store(spark, sf), top, fmt, limit=None)
+    return trees.newick(store(spark, sf), top, fmt)
 
 
 @_query(_newick_sql("name_and_id"))
@@ -343,6 +345,19 @@ def newick_subtree(spark, sf):
     return _newick(spark, sf, "name_and_id")
 
 
+_PIECES = _newick_sql("name_and_id")
+_PIECES = (
+    _PIECES[: _PIECES.index("select (select min(ott_id)")].replace("w.node = (select min(ott_id) from canonical_names where parent is null)", f"w.node = {schema.ROOT_ID}")
+    + "select ott_id, case when before is null then repeat('(', depth - top) when depth < before then ')' else concat(',', repeat('(', depth - before)) end || label || case when depth = top then ';' else '' end as piece from placed"
+)
+
+
+@_query(_PIECES)
+def newick_pieces(spark, sf):
+    """The whole tree, in pieces."""
+    return trees.newick_pieces(trees.subtree_labels(store(spark, sf), schema.ROOT_ID)).select("ott_id", "piece")
+
+
 @_query(_newick_sql("name"))
 def newick_names(spark, sf):
     return _newick(spark, sf, "name")
@@ -477,14 +492,37 @@ def match_pipeline(spark, sf):
     return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), "stage").distinct()
 
 
-@_query()
+_RETIRED = """, lastd as (select * from openq where qname not in (select qname from depm)),
+neardep as (
+  select o.qname, d.ott_id, d.name, (least(length(o.q), length(d.name)) - levenshtein(o.qb, d.name)) / cast(least(length(o.q), length(d.name)) as double) as score
+  from lastd o join dep d on abs(length(o.q) - length(d.name_lc)) <= o.m where length(o.q) > 1 and levenshtein(o.qb, d.name_lc) * length(o.q) < (o.m + 1) * least(length(o.q), length(d.name_lc)))
+"""
+
+
+@_query(
+    _RETIRED + "select distinct qname, ott_id, name, 'exact' as stage, false as is_deprecated from exactm union select qname, ott_id, name, 'generic', false from genericm union select qname, ott_id, name, 'deprecated', true from depm "
+    "union select qname, ott_id, name, 'synonym', false from synm union select qname, ott_id, name, 'fuzzy', false from near where qname not in (select qname from depm) and score >= 0 "
+    "union select qname, ott_id, name, 'fuzzy', true from neardep where score >= 0"
+)
 def match_pipeline_retired(spark, sf):
-    """The pipeline with the fuzzy matches of retired names, which the SQL of match_pipeline doesn't work out."""
+    """The pipeline with the fuzzy matches of retired names."""
     s = store(spark, sf)
     found = resolve.match_names(s, names(spark, sf), "All life", approximate=True, include_deprecated=True)
     return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), "stage", "is_deprecated").distinct()
 
 
+@_query(
+    "select q.qname, i.ott_id, i.name, 'exact' as stage from qs q join ix i on i.key_lc = q.q where i.kind = 'taxon' "
+    "union select s.qname, i.ott_id, i.name, 'generic' from (select qname, trim(regexp_replace(q, '\\s*sp\\.?\\s*$', '')) as head from qs where regexp_matches(q, '(^|\\s)sp\\.?$') "
+    "and q not in (select key_lc from ix where kind = 'taxon')) s join ix i on i.key_lc = s.head where s.head <> '' and i.kind = 'taxon' "
+    "union select q.qname, i.ott_id, i.name, 'synonym' from qs q join ix i on i.key_lc = q.q where i.kind = 'synonym'"
+)
+def match_suppressed(spark, sf):
+    """Matches with suppressed taxa."""
+    found = resolve.match_names(store(spark, sf), names(spark, sf), "All life", include_suppressed=True)
+    return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), "stage")
+
+
 @_query(
     "select q.qname, i.ott_id, i.name from qs q join ix i on i.key_lc = q.q join pwalk w on w.ott_id = i.ott_id join ctx c on c.root_id = w.node where c.context = 'Fungi' and i.kind = 'taxon' and not i.dubious"
 )
@@ -494,23 +532,51 @@ def match_in_context(spark, sf):
     return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"))
 
 
-_HITS = "(select q.qname, count(distinct t.ott_id) as n, min(t.ott_id) as ott_id from qs q left join tx t on t.name_lc = q.q and not t.dubious group by q.qname)"
-
-
-@_query(
-    f""", uniq as (select * from {_HITS} where n = 1),
+_HITS = "(select q.qname, count(distinct t.ott_id) as n, min(t.ott_id) as ott_id from {0} q left join tx t on t.name_lc = q.q and not t.dubious group by q.qname)"
+_INFER = f""", uniq as (select * from {_HITS} where n = 1),
 comp2 as (select d.root, count(distinct u.ott_id) as n from uniq u join pdepth d on d.ott_id = u.ott_id group by d.root),
 best2 as (select root, n from comp2 order by n desc, root limit 1),
 cnt2 as (select w.node, count(distinct u.ott_id) as n from uniq u join pdepth d on d.ott_id = u.ott_id join best2 b on b.root = d.root join pwalk w on w.ott_id = u.ott_id group by w.node),
-top2 as (select arg_max(c.node, d.depth) as clade from cnt2 c join best2 b on b.n = c.n join pdepth d on d.ott_id = c.node)
-select coalesce((select arg_min(c.context, w.dist) from top2 t join pwalk w on w.ott_id = t.clade join ctx c on c.root_id = w.node), 'All life') as context_name,
-  (select clade from top2) as clade_ott_id, (select count(*) from uniq) as n_unique, (select count(*) from {_HITS} where n <> 1) as n_ambiguous"""
-)
+top2 as (select arg_max(c.node, d.depth) as clade from cnt2 c join best2 b on b.n = c.n join pdepth d on d.ott_id = c.node),
+used2 as (select coalesce((select arg_min(c.context, w.dist) from top2 t join pwalk w on w.ott_id = t.clade join ctx c on c.root_id = w.node), 'All life') as context)
+"""
+
+
+@_query(_INFER.format("qs") + f"select context as context_name, (select root_id from ctx where ctx.context = used2.context) as context_ott_id, (select clade from top2) as clade_ott_id, (select count(*) from uniq) as n_unique, (select count(*) from {_HITS.format('qs')} where n <> 1) as n_ambiguous from used2")
 def infer_context(spark, sf):
-    return resolve.infer_context(store(spark, sf), names(spark, sf)).drop("context_ott_id")
+    return resolve.infer_context(store(spark, sf), names(spark, sf))
+
+
+@_query(
+    _INFER.format("qs") + """, met as (
+  select a.ott_id, min(a.dist) as up from pwalk a join pwalk b on b.node = a.node join top2 t on t.clade = b.ott_id where a.ott_id in (select ott_id from near) group by a.ott_id),
+far as (
+  select d.ott_id, case when m.up is null then d.depth + 1 else m.up + c.depth + 1 end as d, not exists (select 1 from pwalk w join top2 t on t.clade = w.node where w.ott_id = d.ott_id) as outside
+  from pdepth d join pdepth c on c.ott_id = (select clade from top2) left join met m on m.ott_id = d.ott_id where d.ott_id in (select ott_id from near))
+select distinct n.qname, n.ott_id, n.name, round(n.score * case when f.outside then 1 / ln(greatest(f.d, 3)) else 1 end, 9) as score from near n join far f on f.ott_id = n.ott_id where n.score >= 0"""
+)
+def match_weighted(spark, sf):
+    """Fuzzy matches without a context given: their scores are weighted by the clade that the unique names span."""
+    found = resolve.match_names(store(spark, sf), names(spark, sf), approximate=True).where("is_approximate")
+    return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), F.round("score", 9).alias("score")).distinct()
+
+
+_LISTED = "(select distinct name as qname, lower(name) as q from canonical_names where name is not null and context_name = 'Fungi')"
+
+
+@_query(
+    _INFER.format(_LISTED) + f"select q.qname, i.ott_id, i.name, u.context from {_LISTED} q join ix i on i.key_lc = q.q and not i.dubious join used2 u on true join ctx c on c.context = u.context join pwalk w on w.ott_id = i.ott_id and w.node = c.root_id"
+)
+def match_applied(spark, sf):
+    """The names listed for one context, matched within the context inferred from them."""
+    s = store(spark, sf)
+    asked = _table(spark, sf, "canonical_names").where("name is not null and context_name = 'Fungi'").select(F.col("name").alias("query_id"), F.col("name").alias("qname")).distinct()
+    guess = resolve.infer_context(s, asked).first()["context_name"]
+    found = resolve.match_names(s, asked, apply_inferred=True)
+    return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"), F.lit(guess).alias("context"))
 
 
-@_query(f"select qname from {_HITS} where n <> 1")
+@_query(f"select qname from {_HITS.format('qs')} where n <> 1")
 def ambiguous_names(spark, sf):
     return resolve.ambiguous_names(store(spark, sf), names(spark, sf)).select("qname")
 
@@ -523,7 +589,7 @@ def prefix_match(spark, sf):
 
 
 _AUTO = """, pix as (select * from ix where not dubious),
-sp as (select qname, q, trim(regexp_extract(qname, '^\\S+\\s+(.*)$', 1)) as rest, regexp_extract(q, '^(\\S*)\\s', 1) as word from qs where contains(qname, ' ')),
+sp as (select qname, q, qb, trim(regexp_extract(qname, '^\\S+\\s+(.*)$', 1)) as rest, regexp_extract(q, '^(\\S*)\\s', 1) as word from qs where contains(qname, ' ')),
 ns as (select qname, q from qs where not contains(qname, ' ')),
 gm as (select w.node as genus_ott_id, w.ott_id from pwalk w join tx g on g.ott_id = w.node and g.rank_class = 'genus' join tx s on s.ott_id = w.ott_id and s.rank_class = 'specific' where not s.dubious),
 every as (
@@ -535,10 +601,10 @@ every as (
   union select sp.qname, 4, i.ott_id from sp join pix i on starts_with(i.key_lc, sp.q) where length(sp.q) >= 3
   union select ns.qname, 4, i.ott_id from ns join pix i on starts_with(i.key_lc, ns.q) where length(ns.q) >= 3 and i.kind = 'taxon' and i.rank_class <> 'specific'
   union select ns.qname, 5, i.ott_id from ns join pix i on starts_with(i.key_lc, ns.q) where length(ns.q) >= 3 and i.kind = 'synonym'),
-lastq as (select qname, q, case when length(q) < 9 then 1 when length(q) < 14 then 2 when length(q) < 19 then 3 else 4 end as m from qs where qname not in (select qname from every)),
+lastq as (select qname, q, qb, case when length(q) < 9 then 1 when length(q) < 14 then 2 when length(q) < 19 then 3 else 4 end as m from qs where qname not in (select qname from every)),
 late as (
   select o.qname, 6 as stage, i.ott_id from lastq o join pix i on abs(length(o.q) - length(i.key_lc)) <= o.m and (contains(o.qname, ' ') or i.rank_class <> 'specific')
-  where length(o.q) > 1 and levenshtein(o.q, i.key_lc) * length(o.q) < (o.m + 1) * least(length(o.q), length(i.key_lc))),
+  where length(o.q) > 1 and levenshtein(o.qb, i.key_lc) * length(o.q) < (o.m + 1) * least(length(o.q), length(i.key_lc))),
 allm as (select * from every union select * from late),
 bestm as (select qname, min(stage) as stage from allm group by qname),
 shown as (select a.qname, a.stage, a.ott_id, coalesce(nullif(t.uniqname, ''), t.name) as unique_name, t.rank not in ('species', 'subspecies', 'variety', 'forma') as is_higher, t.dubious as is_suppressed
@@ -616,21 +682,103 @@ def additions_apply(spark, sf):
     return checked.select("doc_key", "taxon_pos", "ott_id", "parent_ott_id", "name", "status")
 
 
-@_query()
-def taxon_info_json(spark, sf):
+_CONSTANTS = "[" + ", ".join(f"{{'l': '{k}', 'c': '{v}'}}" for k, v in schema.FLAG_CONSTANTS.items()) + "]"
+_BLOBS = (
+    f"(select t.ott_id, t.name, case when t.rank = '' then 'no rank' else t.rank end as rank, t.input_sources as tax_sources, coalesce(nullif(t.uniqname, ''), t.name) as unique_name, t.dubious as is_suppressed, "
+    f"array_to_string(list_transform(list_filter({_CONSTANTS}, lambda f: list_contains(string_split(t.flags, ','), f.l)), lambda f: f.c), ',') as flags, coalesce(y.synonyms, '') as synonyms "
+    "from tx t left join (select ott_id, string_agg(name, ',' order by name) as synonyms from (select distinct ott_id, name from syn) group by ott_id) y on y.ott_id = t.ott_id)"
+)
+
+
+def _flat_taxon() -> list[F.Column]:
+    lists = ("tax_sources", "flags", "synonyms")
+    return [F.col(f"taxon.{c}").alias(c) for c in ("name", "rank", "unique_name", "is_suppressed")] + [F.array_join(f"taxon.{c}", ",").alias(c) for c in lists]
+
+
+@_query(f"select * from {_BLOBS}")
+def taxon_info(spark, sf):
+    """The answer on each taxon."""
     from arbolith import services
 
-    return services.taxon_blobs(store(spark, sf)).select("ott_id", F.to_json("taxon").alias("json"))
+    return services.taxon_blobs(store(spark, sf)).select("ott_id", *_flat_taxon())
 
 
-@_query()
-def match_names_json(spark, sf):
+@_query(
+    "select f.ott_id, coalesce((select string_agg(cast(w.node as varchar), ',' order by w.dist) from walk w where w.ott_id = f.ott_id and w.dist > 0), '') as lineage, "
+    "coalesce((select string_agg(cast(t.ott_id as varchar), ',' order by t.ott_id) from tx t where t.parent_ott_id = f.ott_id), '') as children, "
+    f"coalesce((select string_agg(cast(w.ott_id as varchar), ',' order by w.ott_id) from pwalk w join {_TIPS} t on t.ott_id = w.ott_id where t.tip and w.node = f.ott_id), '') as tips from fw f where f.ott_id in (select ott_id from tx)"
+)
+def taxon_lists(spark, sf):
+    """Lineage, children and tips as in the answers on taxa."""
+    from arbolith import services
+
+    rows = services._described(store(spark, sf), forwarded(spark, sf), True, True, True)
+    ids = lambda c: F.array_join(F.transform(c, lambda t: t["ott_id"].cast("string")), ",").alias(c)
+    return rows.select("ott_id", ids("lineage"), ids("children"), F.array_join(F.col("terminal_descendants").cast("array<string>"), ",").alias("tips"))
+
+
+@_query("select ott_id, d.name as name, d.reason as reason, d.source_info as source_info from (select ott_id, min({'name': name, 'reason': reason, 'source_info': source_info}) as d from dep group by ott_id)")
+def retired_taxa(spark, sf):
+    from arbolith import services
+
+    return services.v2_deprecated_taxa(store(spark, sf)).select(F.col("`ot:ottId`").alias("ott_id"), F.col("`ot:ottTaxonName`").alias("name"), "reason", "source_info")
+
+
+_ROWS = f"""(select w.ott_id, arg_min(v.code, w.dist) as code from walk w join ctx c on c.root_id = w.node join {_CODES} v on v.context = c.context group by w.ott_id)"""
+
+
+@_query(
+    f"""{_RETIRED}, found as (
+  select qname, ott_id, name, false as is_synonym, false as is_approximate, false as is_deprecated, 1.0 as score from exactm union select qname, ott_id, name, false, false, false, 0.99 from genericm
+  union select qname, ott_id, name, false, false, true, 1.0 from depm union select qname, ott_id, name, true, false, false, 1.0 from synm
+  union select qname, ott_id, name, kind = 'synonym', true, false, score from near where qname not in (select qname from depm) and score >= 0 union select qname, ott_id, name, false, true, true, score from neardep where score >= 0)
+select f.qname, f.ott_id, f.name as matched_name, f.is_synonym, f.is_approximate, f.is_deprecated, round(f.score, 9) as score,
+  case when f.is_deprecated then 'undetermined' else coalesce(c.code, 'undetermined') end as nomenclature_code, case when not f.is_deprecated then p.name end as parent_name,
+  case when f.is_deprecated then d.name else b.name end as name, case when not f.is_deprecated then b.rank end as rank, case when not f.is_deprecated then b.unique_name end as unique_name,
+  case when not f.is_deprecated then b.is_suppressed end as is_suppressed, case when f.is_deprecated then 'DEPRECATED' else b.flags end as flags, case when not f.is_deprecated then b.synonyms end as synonyms,
+  case when f.is_deprecated then coalesce(d.source_info, '') else b.tax_sources end as tax_sources
+from found f left join {_ROWS} c on c.ott_id = f.ott_id left join {_BLOBS} b on b.ott_id = f.ott_id left join tx t on t.ott_id = f.ott_id left join tx p on p.ott_id = t.parent_ott_id
+left join (select ott_id, min({{'name': name, 's': source_info}}) as m, (min({{'name': name, 's': source_info}})).name as name, (min({{'name': name, 's': source_info}})).s as source_info from dep group by ott_id) d on d.ott_id = f.ott_id"""
+)
+def match_answers(spark, sf):
+    """Every match as it stands in the answers of the service, retired names included."""
     from arbolith import services
 
     s = store(spark, sf)
-    matches = resolve.match_names(s, names(spark, sf))
+    matches = resolve.match_names(s, names(spark, sf), "All life", approximate=True, include_deprecated=True)
     codes = trees.taxcodes(s.tree, s.contexts.where("name in ('Bacteria', 'Animals', 'Fungi', 'Land plants')").select("root_ott_id", "code"))
-    return services.match_results(s, names(spark, sf), matches, codes).select("name", F.to_json("matches").alias("json"))
+    rows = services.match_rows(s, matches, codes)
+    return rows.select(F.col("query_id").alias("qname"), "ott_id", "matched_name", "is_synonym", "is_approximate", "is_deprecated", F.round("score", 9).alias("score"), "nomenclature_code", "parent_name", *_flat_taxon())
+
+
+@_query(
+    f"""{_RETIRED}, hit as (select qname from exactm union select qname from genericm union select qname from depm union select qname from synm union select qname from near where score >= 0 union select qname from neardep where score >= 0)
+select (select string_agg(qname, '|' order by qname) from qs where qname in (select qname from exactm union select qname from depm)) as unambiguous,
+  (select string_agg(qname, '|' order by qname) from qs where qname not in (select qname from hit)) as unmatched, (select count(*) from qs where qname in (select qname from hit)) as n_matched,
+  'All life' as context, 'undefined' as governing_code, (select count(*) from hit) as n_results"""
+)
+def match_names_answer(spark, sf):
+    """The whole answer of version 2 to all names, its lists told from the JSON."""
+    from arbolith import services
+
+    lists = "unambiguous_name_ids array<string>, unmatched_name_ids array<string>, matched_name_ids array<string>, context string, governing_code string, results array<struct<id: string>>"
+    whole = services.v2_match_names(store(spark, sf), names(spark, sf), "All life", include_deprecated=True).select(F.from_json("json", lists).alias("j"))
+    joined = lambda c: F.array_join(F.array_sort(f"j.{c}"), "|")
+    return whole.select(joined("unambiguous_name_ids").alias("unambiguous"), joined("unmatched_name_ids").alias("unmatched"), F.size("j.matched_name_ids").alias("n_matched"), "j.context", "j.governing_code", F.size("j.results").alias("n_results"))
+
+
+_CLADES = "(select c.name as clade, v.code from canonical_names c join (values " + ", ".join(f"('{c[1]}', '{c[6]}')" for c in schema.CONTEXTS) + ") v(context, code) on v.context = c.context_name where c.parent is null)"
+
+
+@_query(
+    f", hits as (select v.clade, v.code, i.ott_id, case i.kind when 'taxon' then 1 else 3 end as stage, d.depth from {_CLADES} v join ix i on i.key_lc = lower(v.clade) join tdepth d on d.ott_id = i.ott_id) "
+    "select clade, code, arg_min(ott_id, (stage, depth, ott_id)) as root_ott_id from hits group by clade, code"
+)
+def barrier_clades(spark, sf):
+    """Clades by their names: here the tops of the contexts."""
+    tops = _table(spark, sf, "canonical_names").where("parent is null").select("name", "context_name").distinct().collect()  # one for each context
+    codes = {c[1]: c[6] for c in schema.CONTEXTS}
+    return trees.resolve_barriers(store(spark, sf), [(r["name"], codes[r["context_name"]]) for r in tops if r["context_name"] in codes], ())
 
 
 @_query(
@@ -663,12 +811,20 @@ def subset_taxonomy(spark, sf):
     return exports.subset_lines(store(spark, sf), name)
 
 
-@_query()
+@_query(
+    ", inner_ as (select w.node as ott_id, count(*) - 1 as n_below from walk w group by w.node having count(*) > 1), "
+    f"num as (select i.ott_id, t.parent_ott_id, t.name, row_number() over (order by d.depth, i.ott_id) - 1 as k from inner_ i join tdepth d on d.ott_id = i.ott_id join tx t on t.ott_id = i.ott_id where i.ott_id in (select ott_id from walk where node = {schema.ROOT_ID})) "
+    "select 'node' as kind, k as position, cast(case when name is null then to_json({'group': k}) else to_json({'name': name, 'group': k}) end as varchar) as json from num "
+    "union all select 'link', a.k, cast(to_json({'source': a.k, 'target': b.k, 'value': 1}) as varchar) from num a join num b on b.ott_id = a.parent_ott_id"
+)
 def graph_json(spark, sf):
     return exports.graph_json(store(spark, sf), schema.ROOT_ID)
 
 
-@_query()
+@_query(
+    "select ott_id, cast(case when name is null then to_json({'treestoreId': i, 'sourceIds': s}) else to_json({'name': name, 'treestoreId': i, 'sourceIds': s}) end as varchar) as json from ("
+    "select ott_id, name, cast(ott_id as varchar) as i, list_filter(string_split(input_sources, ','), lambda x: contains(x, ':') and not ends_with(x, ':') and not starts_with(x, 'http')) as s from tx)"
+)
 def name_dump(spark, sf):
     return exports.name_dump(store(spark, sf))
 
@@ -701,3 +857,37 @@ def wide_nodes_pruned(spark, sf):
 )
 def inner_and_direct(spark, sf):
     return trees.inner_and_direct(store(spark, sf).tree, schema.ROOT_ID).select("ott_id")
+
+
+# --- files: what was written in the dumps' forms and read again
+
+
+def _written(lines: DataFrame) -> str:
+    path = runtime.shared_path(lines.sparkSession)
+    lines.write.text(path)
+    return path
+
+
+@_query("select ott_id, parent_ott_id, coalesce(name, '') as name, rank, input_sources, uniqname, flags from tx")
+def dump_taxonomy(spark, sf):
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = [*[text(c) for c in ("ott_id", "parent_ott_id", "name", "rank", "input_sources", "uniqname")], F.array_join("flags", ","), F.lit("")]
+    path = _written(store(spark, sf).taxa.select(F.concat_ws("\t|\t", *parts)))
+    return dumps.read_taxonomy(spark, path).withColumn("flags", F.array_join("flags", ","))
+
+
+@_query("select distinct ott_id, name from syn where ott_id is not null and name is not null")
+def dump_synonyms(spark, sf):
+    path = _written(store(spark, sf).synonyms.where("ott_id is not null").select(F.concat_ws("\t|\t", "name", F.col("ott_id").cast("string"), F.lit(""))))
+    return dumps.read_synonyms(spark, path).select("ott_id", "name").distinct()
+
+
+@_query("select alias_id, ott_id from ali where alias_id is not null and ott_id is not null")
+def dump_forwards(spark, sf):
+    return dumps.read_forwards(spark, _written(store(spark, sf).aliases.select(F.concat_ws("\t", F.col("alias_id").cast("string"), F.col("ott_id").cast("string")))))
+
+
+@_query("select distinct ott_id, coalesce(name, '') as name, coalesce(source_info, '') as source_info, coalesce(reason, '') as reason from dep where ott_id is not null")
+def dump_deprecated(spark, sf):
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return dumps.read_deprecated(spark, _written(store(spark, sf).deprecated.where("ott_id is not null").select(F.concat_ws("\t", *[text(c) for c in ("ott_id", "name", "source_info", "reason")])))).distinct()

@@ -52,6 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at a path of any file system that the session knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors once, so that their Python finds it anywhere."""
     context = spark.sparkContext
@@ -71,6 +77,13 @@ def ship(spark: SparkSession) -> None:
 _written: dict[str, SparkSession] = {}
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, to be deleted with what ``materialize`` writes."""
+    path = f"{shared_dir(spark)}/arbolith-{os.getpid()}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -78,9 +91,8 @@ def materialize(df: DataFrame) -> DataFrame:
     once is computed once. The files go by ``free``, by ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbolith-{os.getpid()}-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
-    _written[path] = spark
     made = spark.read.schema(df.schema).parquet(path)
     made._arbolith_path = path
     return made

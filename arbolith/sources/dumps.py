@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from arbolith import schema
-from arbolith.runtime import with_ordinals
+from arbolith.runtime import exists, with_ordinals
 from arbolith.store import LoadOptions, Store
 
 BAR, TAB = r"\t\|\t?", r"\t"
@@ -104,12 +104,7 @@ def load_dumps(spark: SparkSession, folder: str, options: LoadOptions | None = N
     """A store of a folder with taxonomy.tsv, synonyms.tsv (unless left out) and, if there and asked for, forwards.tsv, deprecated.tsv and version.txt."""
     options = options or LoadOptions()
 
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-
-    def there(name: str) -> bool:
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        return target.getFileSystem(conf).exists(target)
-
+    there = lambda name: exists(spark, f"{folder}/{name}")
     for name in ("taxonomy.tsv", "synonyms.tsv")[: 1 + options.synonyms]:
         if not there(name):
             raise FileNotFoundError(f"{folder}/{name}")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from arbolith import runtime
 from arbolith.operators import additions, resolve
+from arbolith.runtime import materialize
 
 
 def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -16,22 +18,24 @@ def document_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1
 
 
 def apply_stream(stream: DataFrame, known: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the new taxa of each batch to the parquet folder ``target``.
+    """Write the new taxa of each batch to the parquet folder ``target``, partitioned by batch_no.
 
-    ``known`` (ott_id) is what was there before; what the target holds is known too, so a batch
-    that is run again after a failure adds nothing twice.
+    ``known`` (ott_id) is what was there before; what other batches wrote is known too. A batch
+    that is run again after a failure replaces its own partition, so it adds nothing twice. Of the
+    ids known only those that a batch names are looked at, by a column scan without a shuffle of
+    the target where the batch is small.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            there = known.unionByName(spark.read.parquet(target).select("ott_id")).distinct()
-        except Exception as error:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            there = known
-        checked = additions.judged(additions.document_taxa(batch), there)
-        additions.new_taxa(checked).write.mode("append").parquet(target)
+        rows = materialize(additions.document_taxa(batch))
+        named = rows.select("ott_id").unionByName(rows.select(F.col("parent").alias("ott_id"))).where("ott_id is not null").distinct()
+        there = known.select("ott_id").join(named, "ott_id", "left_semi")
+        if runtime.exists(spark, target):
+            before = spark.read.parquet(target).where(F.col("batch_no") != number).select("ott_id")
+            there = there.unionByName(before.join(named, "ott_id", "left_semi"))
+        checked = additions.judged(rows, materialize(there.distinct()))
+        additions.new_taxa(checked).write.mode("overwrite").parquet(f"{target}/batch_no={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

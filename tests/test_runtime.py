@@ -34,7 +34,7 @@ def test_hot_keys_in_trees_and_references(spark):
     from arbolith.operators import hierarchy, references
 
     nodes = spark.range(1, 4000).selectExpr("id", "case when id = 1 then null when id % 2 = 0 then 1 else id div 2 end as parent")
-    tree = hierarchy.hierarchy(nodes, finish_rows=500)
+    tree = hierarchy.hierarchy(nodes)
     assert tree.count() == 3999 and tree.where("root = 1").count() == 3999 and tree.where("id = 1").first()["n_below"] == 3998
     refs = nodes.selectExpr("id as row", "coalesce(parent, 1) as key", "0L as check", "5L as at")
     keys = spark.createDataFrame([(1, 0, 9, None)], "key long, check long, since long, gone long")

@@ -374,7 +374,7 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert run("tnrsbasic", tmp_path / "db", "Aster albus, zzzz")[1] == ["Aster albus\tExact match from search string 'aster albus' to unique taxon name 'Aster albus'", "zzzz\t"]
     run("adddeprecated", tmp_path / "db", folder / "deprecated.tsv", tmp_path / "db2")
     run("recalculatemrcas", tmp_path / "db2", tmp_path / "sets")
-    assert spark.read.parquet(str(tmp_path / "sets")).count() == 13 and spark.read.parquet(str(tmp_path / "db2/deprecated")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "sets")).count() == 41 and spark.read.parquet(str(tmp_path / "db2/deprecated")).count() == 2
     run("loadtaxsyn", "abc1.0", folder / "taxonomy.tsv", folder / "synonyms.tsv", folder / "forwards.tsv", tmp_path / "db3")
     assert spark.read.parquet(str(tmp_path / "db3/metadata")).first()["source"] == "abc1.0"
 
@@ -470,3 +470,25 @@ def test_additions_carry_the_derived_tables_on(spark, store):
         assert rows(grown.context_members) == rows(whole.context_members)
     kept, _ = additions.apply(store, docs, derive=False)
     assert rows(kept.tree) == rows(store.tree) and kept.taxa.count() == store.taxa.count() + 4
+
+
+def test_newick_in_pieces_and_its_bound(spark, store, tmp_path):
+    exports.write_newick(store, 805080, str(tmp_path / "n"))
+    text = "".join(p.read_text().replace("\n", "") for p in sorted((tmp_path / "n").glob("part-*")))
+    assert text == trees.newick(store, 805080).first()["newick"]
+    made = dumps.newick_nodes(spark.createDataFrame([(1, text)], "tree_id int, tree string"))
+    assert made.count() == trees.descendants(store.pref_tree, 805080).count()
+    with pytest.raises(ValueError):
+        trees.newick(store, 805080, limit=3)
+    with pytest.raises(ValueError):
+        trees.induced_newick(store, spark.createDataFrame([(20,), (21,), (11,)], "ott_id long"), limit=2)
+    with pytest.raises(Exception, match="too many"):
+        trees.below_sets(store.tree, most=3).collect()
+
+
+def test_beginnings_of_names(spark, store):
+    index = resolve.index_of(store)
+    asked = resolve.prepared(names(spark, "Ast", "aster a", "as", "Aster albus x" * 500, "aster a"))
+    got = {(r["query_id"], r["name"]) for r in resolve.prefix(asked, index).collect()}
+    want = {(k, r["name"]) for k, q in ((0, "ast"), (1, "aster a"), (4, "aster a")) for r in index.collect() if r["key_lc"].startswith(q)}
+    assert got == want
