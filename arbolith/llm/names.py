@@ -244,7 +244,9 @@ def candidates(typed: DataFrame, listed: DataFrame, broadcast_rows: int = BROADC
     known = materialize(listed.where("kind <> 'ending'").mapInPandas(_folds, "kind string, word string, fold string"))
     longest = known.agg(F.max(F.length("word")).alias("w"), F.max(F.length("fold")).alias("f")).first()
     dictionary = materialize(_dictionary(known, F.lit(True), F.length("word") > 4).withColumnRenamed("word", "listed"))
-    asked = typed.where("kind <> 'ending'").mapInPandas(_folds, "kind string, word string, fold string")
+    # Each word gives dozens of spellings: a few words a task are worth a task.
+    spread = max(typed.sparkSession.sparkContext.defaultParallelism, int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = typed.where("kind <> 'ending'").repartition(spread, "word").mapInPandas(_folds, "kind string, word string, fold string")
     fits = F.length("word") <= (longest["w"] or 0) + 2
     asked = _dictionary(asked, fits, (F.length("fold") > 3) & (F.length("fold") <= (longest["f"] or 0) + 1))
     if dictionary.count() <= broadcast_rows:
