@@ -389,8 +389,11 @@ def resolve_names(requests: DataFrame, canonical: DataFrame, synonyms: DataFrame
     elements = materialize(request_elements(requests))
     spellings = materialize(elements.select("typed", "context_name").distinct())
     parsed = materialize(spellings.select("typed").distinct().repartition("typed").mapInPandas(_parsed, _PARSED))
-    same = parsed.join(keys.select("key"), "key").select("typed", "key")
-    other = meant(parsed.join(keys.select("key"), "key", "left_anti"), keys, broadcast_rows)
+    # At distance 0: the name as it stands, or its two words once they are parsed out.
+    words = F.when(~F.col("unnamed"), F.concat_ws(" ", "w0", F.col("w1")))
+    tried = parsed.select("typed", F.inline(F.array(*[F.struct(F.lit(k).alias("way"), c.alias("key")) for k, c in enumerate((F.col("key"), F.when(F.col("w1").isNotNull(), words)))])))
+    same = materialize(tried.join(keys.select("key"), "key").groupBy("typed").agg(F.min_by("key", "way").alias("key")))
+    other = meant(parsed.join(same.select("typed"), "typed", "left_anti"), keys, broadcast_rows)
     known = materialize(same.unionByName(other)).join(ids, "key").withColumnRenamed("context_name", "own_context")
     order = F.struct((~F.col("own_context").eqNullSafe(F.col("context_name"))).alias("elsewhere"), (-F.col("n_names")).alias("few"), "ott_id")
     answers = spellings.join(known, "typed").groupBy("typed", "context_name").agg(F.min_by("ott_id", order).alias("ott_id"))
