@@ -32,14 +32,14 @@ def _entries(value: Column) -> Column:
     return F.when(value.isNull() | F.is_variant_null(value), F.array().cast("array<variant>")).otherwise(listed)
 
 
-def _text(value: Column) -> Column:
-    """A scalar as text, a string as it is; null for null, objects and lists."""
-    kind = F.schema_of_variant(value)
-    return F.when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), value.try_cast("string"))
+def _object(value: Column, *members: str) -> Column:
+    """A variant as a struct of these members (variants themselves) if it is an object, else null."""
+    return value.try_cast(f"struct<{','.join(f'{m}: variant' for m in members)}>")
 
 
-def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+def _text(value: Column) -> Column:
+    """A scalar as text, a string as it is; null for null, objects and lists."""
+    return F.when(_object(value).isNull() & value.try_cast("array<variant>").isNull(), value.try_cast("string"))
 
 
 def parse_documents(df: DataFrame, key: str = "doc_key", body: str = "body", loaded: str = "loaded_at") -> DataFrame:
@@ -63,7 +63,7 @@ def parse_documents(df: DataFrame, key: str = "doc_key", body: str = "body", loa
 def _projected(df: DataFrame, key: str, body: str, loaded: str) -> DataFrame:
     last = df.groupBy(F.col(key).alias("doc_key")).agg(F.max(F.struct(F.col(loaded).alias("at"), F.col(body).alias("body"))).alias("row"))
     outer = last.select("doc_key", _strict(F.col("row.body")).alias("outer"))
-    sent = F.when(_is_object(F.col("outer")), F.try_variant_get("outer", "$.addition_document", "variant"))
+    sent = _object(F.col("outer"), "addition_document")["addition_document"]
     opened = outer.withColumn("sent", sent).select(
         "doc_key",
         F.when(F.col("sent").isNull() | F.is_variant_null("sent"), F.col("outer"))
@@ -71,20 +71,15 @@ def _projected(df: DataFrame, key: str, body: str, loaded: str) -> DataFrame:
         .otherwise(F.col("sent"))
         .alias("doc"),
     )
-    part = lambda name: F.when(_is_object(F.col("doc")), F.try_variant_get("doc", f"$.{name}", "variant"))
-    listed = F.transform(_entries(part("taxa")), lambda x, i: F.struct(i.cast("long").alias("taxon_pos"), x.alias("entry")))
-    kept = opened.select(
-        "doc_key",
-        F.col("doc").isNotNull().alias("readable"),
-        _text(part("id")).alias("id"),
-        _text(part("study_id")).alias("study_id"),
-        F.filter(listed, lambda x: _is_object(x["entry"])).alias("entries"),
-    )
+    parts = opened.select("doc_key", F.col("doc").isNotNull().alias("readable"), _object(F.col("doc"), "id", "study_id", "taxa").alias("d"))
+    listed = F.transform(_entries(F.col("d.taxa")), lambda x, i: F.struct(i.cast("long").alias("taxon_pos"), _object(x, *_MEMBERS).alias("entry")))
+    kept = parts.select("doc_key", "readable", _text(F.col("d.id")).alias("id"), _text(F.col("d.study_id")).alias("study_id"), F.filter(listed, lambda x: x["entry"].isNotNull()).alias("entries"))
     return kept.select("doc_key", "readable", "id", "study_id", _taxa().alias("taxa"), _sources().alias("sources"), _flags().alias("flags"))
 
 
-def _member(entry: Column, name: str) -> Column:
-    return F.try_variant_get(entry, f"$.{name}", "variant")
+#: Members of a taxon: those of one value, and its two lists.
+_FIELDS = ("name", "rank", "parent", "parent_tag", "tag")
+_MEMBERS = ("ott_id", *_FIELDS, "sources", "flags")
 
 
 def _digits(value: Column) -> Column:
@@ -94,13 +89,12 @@ def _digits(value: Column) -> Column:
 
 def _taxa() -> Column:
     """One entry per taxon with its scalar fields as text."""
-    fields = ("name", "rank", "parent", "parent_tag", "tag")
     return F.transform(
         "entries",
         lambda t: F.struct(
             t["taxon_pos"].alias("taxon_pos"),
-            _digits(_member(t["entry"], "ott_id")).alias("ott_id"),
-            *[_text(_member(t["entry"], f)).alias(f) for f in fields],
+            _digits(t["entry"]["ott_id"]).alias("ott_id"),
+            *[_text(t["entry"][f]).alias(f) for f in _FIELDS],
         ),
     )
 
@@ -108,12 +102,11 @@ def _taxa() -> Column:
 def _sources() -> Column:
     """One entry per source with a text: the ``source`` of an object or an entry that is a string."""
 
-    def one(t: Column, s: Column, j: Column) -> Column:
-        text = lambda name: F.when(_is_object(s), _text(_member(s, name)))
-        own = F.when(_is_object(s), text("source")).otherwise(_text(s))
-        return F.struct(t["taxon_pos"].alias("taxon_pos"), j.cast("long").alias("child_pos"), own.alias("source"), text("source_type").alias("source_type"))
+    def one(t: Column, s: Column, o: Column, j: Column) -> Column:
+        own = F.when(o.isNotNull(), _text(o["source"])).otherwise(_text(s))
+        return F.struct(t["taxon_pos"].alias("taxon_pos"), j.cast("long").alias("child_pos"), own.alias("source"), _text(o["source_type"]).alias("source_type"))
 
-    nested = F.transform("entries", lambda t: F.transform(_entries(_member(t["entry"], "sources")), lambda s, j: one(t, s, j)))
+    nested = F.transform("entries", lambda t: F.transform(_entries(t["entry"]["sources"]), lambda s, j: one(t, s, _object(s, "source", "source_type"), j)))
     return F.filter(F.flatten(nested), lambda x: x["source"].isNotNull() & (x["source"] != ""))
 
 
@@ -122,7 +115,7 @@ def _flags() -> Column:
     nested = F.transform(
         "entries",
         lambda t: F.transform(
-            _entries(_member(t["entry"], "flags")),
+            _entries(t["entry"]["flags"]),
             lambda f, j: F.struct(t["taxon_pos"].alias("taxon_pos"), j.cast("long").alias("child_pos"), _text(f).alias("flag")),
         ),
     )
