@@ -18,7 +18,7 @@ from arbolith.operators import additions, exports, resolve
 from arbolith.operators import tree as trees
 from arbolith.plans.records import _P6
 from arbolith.sources import dumps
-from arbolith.store import Store
+from arbolith.store import Store, open_store
 
 _stores: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -532,6 +532,40 @@ def match_in_context(spark, sf):
     return found.select(F.col("query_id").alias("qname"), "ott_id", F.col("matched_name").alias("name"))
 
 
+_TOLD = (
+    "(select distinct m.qname, m.ott_id, 'Exact match from search string ''' || lower(m.qname) || ''' to ' || case when m.syn then 'synonym name' when t.name = coalesce(nullif(t.uniqname, ''), t.name) then 'unique taxon name' "
+    "else 'non-unique taxon name' end || ' ''' || m.name || '''' as description from (select qname, ott_id, name, false as syn from exactm union select qname, ott_id, name, false from genericm union select qname, ott_id, name, true from synm) m "
+    "left join tx t on t.ott_id = m.ott_id)"
+)
+
+
+def _told(spark, sf):
+    s = store(spark, sf)
+    return resolve.describe(resolve.match_names(s, names(spark, sf), "All life"), s.taxa).distinct()
+
+
+@_query(f"select qname, ott_id, description from {_TOLD}")
+def match_descriptions(spark, sf):
+    return _told(spark, sf).select(F.col("query_id").alias("qname"), "ott_id", "description")
+
+
+@_query(f"select q.qname, coalesce(t.lines, '') as lines from qs q left join (select qname, string_agg(description, chr(10) order by description) as lines from {_TOLD} group by qname) t on t.qname = q.qname")
+def match_listing(spark, sf):
+    """The matches of every name in words, as the listing for a list of names."""
+    return exports.result_lines(names(spark, sf), _told(spark, sf)).select("qname", "lines")
+
+
+@_query("select distinct q.qname, i.ott_id, i.name from qs q join ix i on i.key_lc = q.q")
+def taxa_by_name(spark, sf):
+    return resolve.find_taxa(store(spark, sf), names(spark, sf), synonyms=True).select(F.col("query_id").alias("qname"), "ott_id", "name")
+
+
+@_query("select distinct query_string as q, array_to_string(regexp_split_to_array(query_string, '\\s*,\\s*'), '|') as parts from tnrs_requests where query_string is not null")
+def comma_lists(spark, sf):
+    asked = _table(spark, sf, "tnrs_requests").where("query_string is not null").select(F.col("query_string").alias("q")).distinct()
+    return asked.select("q", F.array_join(taxon.comma_list(F.col("q")), "|").alias("parts"))
+
+
 _HITS = "(select q.qname, count(distinct t.ott_id) as n, min(t.ott_id) as ott_id from {0} q left join tx t on t.name_lc = q.q and not t.dubious group by q.qname)"
 _INFER = f""", uniq as (select * from {_HITS} where n = 1),
 comp2 as (select d.root, count(distinct u.ott_id) as n from uniq u join pdepth d on d.ott_id = u.ott_id group by d.root),
@@ -657,7 +691,7 @@ def contexts_by_group(spark, sf):
     return services.v3_contexts(store(spark, sf)).select("grp", _listed("contexts").alias("contexts"))
 
 
-@_query(
+_ADDED = (
     "," + _P6.strip().removeprefix("with")
     + """, known as (select ott_id from tx union select alias_id from ali union select ott_id from dep),
 ordered as (select doc_key, min(submitted_at) as doc_order from addition_docs group by doc_key),
@@ -670,12 +704,16 @@ firsts as (select ott_id, min(place) as place from given where ott_id is not nul
 tagged as (select doc_key, tag, min(taxon_pos) as pos, arg_min(ott_id, taxon_pos) as by_tag from given where tag is not null and ott_id is not null and ott_id not in (select ott_id from known) group by doc_key, tag),
 linked as (
   select g.*, coalesce(g.parent, case when t.pos < g.taxon_pos then t.by_tag end) as parent_ott_id, g.ott_id in (select ott_id from known) as there, f.place as first_place
-  from given g left join tagged t on t.doc_key = g.doc_key and t.tag = g.parent_tag left join firsts f on f.ott_id = g.ott_id)
-select l.doc_key, l.taxon_pos, l.ott_id, l.parent_ott_id, l.name, case
+  from given g left join tagged t on t.doc_key = g.doc_key and t.tag = g.parent_tag left join firsts f on f.ott_id = g.ott_id),
+judged as (select l.doc_key, l.taxon_pos, l.ott_id, l.parent_ott_id, l.name, case
   when l.ott_id is null then 'no_id' when l.there then 'known' when l.place <> l.first_place then 'repeated' when coalesce(l.name, '') = '' then 'no_name' when l.parent_ott_id is null then 'no_parent'
   when l.parent_ott_id not in (select ott_id from known) and not coalesce(a.place < l.place, false) then 'bad_parent' else 'new' end as status
-from linked l left join firsts a on a.ott_id = l.parent_ott_id and a.ott_id not in (select ott_id from known)"""
+from linked l left join firsts a on a.ott_id = l.parent_ott_id and a.ott_id not in (select ott_id from known))
+"""
 )
+
+
+@_query(_ADDED + "select * from judged")
 def additions_apply(spark, sf):
     docs = _table(spark, sf, "addition_docs")
     _, checked = additions.apply(store(spark, sf), docs, "submitted_at")
@@ -695,6 +733,20 @@ def _flat_taxon() -> list[F.Column]:
     return [F.col(f"taxon.{c}").alias(c) for c in ("name", "rank", "unique_name", "is_suppressed")] + [F.array_join(f"taxon.{c}", ",").alias(c) for c in lists]
 
 
+@_query(
+    _ADDED + ", gx as (select ott_id, parent_ott_id from tx union all select ott_id, parent_ott_id from judged where status = 'new'), "
+    "gw(ott_id, node, dist) as (select ott_id, ott_id, 0 from gx union all select w.ott_id, p.parent_ott_id, w.dist + 1 from gw w join gx p on p.ott_id = w.node join gx q on q.ott_id = p.parent_ott_id where w.dist < 60), "
+    "gb as (select node as ott_id, count(*) - 1 as n_below from gw group by node) "
+    "select w.ott_id, arg_max(w.node, w.dist) as root, max(w.dist) as depth, max(b.n_below) as n_below from gw w join gb b on b.ott_id = w.ott_id group by w.ott_id"
+)
+def additions_grown(spark, sf):
+    """The paths of the tree with the additions, carried on from those without."""
+    s = store(spark, sf)
+    _ = s.tree
+    grown, _ = additions.apply(s, _table(spark, sf, "addition_docs"), "submitted_at")
+    return grown.tree.select("ott_id", "root", "depth", "n_below")
+
+
 @_query(f"select * from {_BLOBS}")
 def taxon_info(spark, sf):
     """The answer on each taxon."""
@@ -770,10 +822,19 @@ def match_names_answer(spark, sf):
 _CLADES = "(select c.name as clade, v.code from canonical_names c join (values " + ", ".join(f"('{c[1]}', '{c[6]}')" for c in schema.CONTEXTS) + ") v(context, code) on v.context = c.context_name where c.parent is null)"
 
 
-@_query(
-    f", hits as (select v.clade, v.code, i.ott_id, case i.kind when 'taxon' then 1 else 3 end as stage, d.depth from {_CLADES} v join ix i on i.key_lc = lower(v.clade) join tdepth d on d.ott_id = i.ott_id) "
-    "select clade, code, arg_min(ott_id, (stage, depth, ott_id)) as root_ott_id from hits group by clade, code"
+_BARRIERS = (
+    f", hits as (select v.clade, v.code, i.ott_id, case i.kind when 'taxon' then 1 else 3 end as stage, d.depth from {_CLADES} v join ix i on i.key_lc = lower(v.clade) join tdepth d on d.ott_id = i.ott_id), "
+    "barriers as (select clade, code, arg_min(ott_id, (stage, depth, ott_id)) as root_ott_id from hits group by clade, code) "
 )
+
+
+@_query(_BARRIERS + "select w.ott_id, arg_min(b.code, w.dist) as taxcode from walk w join barriers b on b.root_ott_id = w.node group by w.ott_id")
+def taxcode_barriers(spark, sf):
+    """Codes by the clades that barrier_clades finds."""
+    return trees.taxcodes(store(spark, sf).tree, barrier_clades(spark, sf).select("root_ott_id", "code"))
+
+
+@_query(_BARRIERS + "select * from barriers")
 def barrier_clades(spark, sf):
     """Clades by their names: here the tops of the contexts."""
     tops = _table(spark, sf, "canonical_names").where("parent is null").select("name", "context_name").distinct().collect()  # one for each context
@@ -891,3 +952,18 @@ def dump_forwards(spark, sf):
 def dump_deprecated(spark, sf):
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return dumps.read_deprecated(spark, _written(store(spark, sf).deprecated.where("ott_id is not null").select(F.concat_ws("\t", *[text(c) for c in ("ott_id", "name", "source_info", "reason")])))).distinct()
+
+
+@_query("select ott_id, parent_ott_id, coalesce(name, '') as name, rank, '' as flags from tx")
+def dump_of_four_columns(spark, sf):
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    path = _written(store(spark, sf).taxa.select(F.concat(F.concat_ws("\t|\t", *[text(c) for c in ("ott_id", "parent_ott_id", "name", "rank")]), F.lit("\t|"))))
+    return dumps.read_taxonomy(spark, path).select("ott_id", "parent_ott_id", "name", "rank", F.array_join("flags", ",").alias("flags"))
+
+
+@_query("select c.context, w.ott_id from pwalk w join ctx c on c.root_id = w.node")
+def store_reopened(spark, sf):
+    """The contexts of the store, saved and opened again."""
+    path = runtime.shared_path(spark)
+    store(spark, sf).save(path)
+    return open_store(spark, path).with_metadata(source="again").context_members
