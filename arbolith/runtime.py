@@ -24,6 +24,7 @@ def session(name: str = "arbolith", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no stack is taken for every expression
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

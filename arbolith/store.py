@@ -70,7 +70,7 @@ class Store:
     def taxa(self) -> DataFrame:
         flags = F.filter(F.coalesce("flags", F.array().cast("array<string>")), lambda f: f.isNotNull() & (f != ""))
         rows = self._taxa.where("ott_id is not null").distinct()
-        return rows.withColumn("flags", flags).select(
+        made = rows.withColumn("flags", flags).select(
             "ott_id",
             "parent_ott_id",
             "name",
@@ -83,18 +83,19 @@ class Store:
             taxon.rank_class(F.col("rank")).alias("rank_class"),
             F.col("parent_ott_id").isNull().alias("is_root"),
         )
+        return materialize(made)  # nearly every question reads it: repeated rows are dropped once
 
     @cached_property
     def synonyms(self) -> DataFrame:
-        return self._synonyms.where("name is not null").distinct().withColumn("name_lc", F.lower("name"))
+        return materialize(self._synonyms.where("name is not null").distinct().withColumn("name_lc", F.lower("name")))
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return self._aliases.where("alias_id is not null and ott_id is not null").distinct()
+        return materialize(self._aliases.where("alias_id is not null and ott_id is not null").distinct())
 
     @cached_property
     def deprecated(self) -> DataFrame:
-        return self._deprecated.distinct().withColumn("name_lc", F.lower("name"))
+        return materialize(self._deprecated.distinct().withColumn("name_lc", F.lower("name")))
 
     @cached_property
     def metadata(self) -> DataFrame:
@@ -140,7 +141,7 @@ class Store:
     def source_index(self) -> DataFrame:
         if not self.options.source_index:
             raise ValueError("the store was loaded without an index of source ids")
-        return self.taxa.select(F.explode(taxon.source_ids(F.col("input_sources"))).alias("source_id"), "ott_id").distinct()
+        return materialize(self.taxa.select(F.explode(taxon.source_ids(F.col("input_sources"))).alias("source_id"), "ott_id").distinct())
 
     @cached_property
     def barriers(self) -> DataFrame:
@@ -157,7 +158,7 @@ class Store:
         """(ott_id, context, root_depth) of each taxon and each context root on its preferred path."""
         roots = self.contexts.select(F.col("root_ott_id").alias("node"), F.col("name").alias("context"))  # a few dozen rows
         on_path = self.pref_tree.select("ott_id", F.posexplode("path").alias("root_depth", "node"))
-        return on_path.join(F.broadcast(roots), "node").select("ott_id", "context", "root_depth")
+        return materialize(on_path.join(F.broadcast(roots), "node").select("ott_id", "context", "root_depth"))
 
     @cached_property
     def context_members(self) -> DataFrame:
@@ -168,7 +169,7 @@ class Store:
     def least_contexts(self) -> DataFrame:
         """(ott_id, least_context): the context with the nearest root, on a tie the first by name."""
         nearest = self.context_paths.groupBy("ott_id").agg(F.min_by("context", F.struct(-F.col("root_depth"), "context")).alias("least_context"))
-        return nearest
+        return materialize(nearest)
 
     def with_metadata(self, **entries: str) -> Store:
         """The same store with entries of its description set (source, author, weburl)."""
