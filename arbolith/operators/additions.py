@@ -6,6 +6,8 @@ document harmless. Parents are ids or tags of taxa that stand earlier in the sam
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +79,19 @@ def apply(store, documents: DataFrame, order: str | None = None, derive: bool =
     """(store with the new taxa, the judged rows).
 
     Tables that the store has derived already are carried on by the branches that grow
-    (``grown_tables``), the others are made when asked for. Without ``derive`` they stay as they
+    (``GrownStore``), the others are made; both when asked for. Without ``derive`` they stay as they
     are: the new taxa then have no place in paths, contexts and indexes.
     """
     checked = materialize(judged(document_taxa(documents, order), known_ids(store)))
     plain = store.taxa.select("ott_id", "parent_ott_id", "name", "rank", "input_sources", "uniqname", "flags")
     new = materialize(new_taxa(checked))
-    grown = Store(plain.unionByName(new), store._synonyms, store._aliases, store._deprecated, store._metadata, store._roots, store.options)
-    tables = grown_tables(store, Store(new, store._synonyms, store._aliases, store._deprecated, None, store._roots)) if derive else {t: store.__dict__[t] for t in DERIVED if t in store.__dict__}
-    for name, table in tables.items():
-        setattr(grown, name, table)
+    parts = (plain.unionByName(new), store._synonyms, store._aliases, store._deprecated, store._metadata, store._roots, store.options)
+    if derive:
+        return GrownStore(store, new, *parts), checked
+    grown = Store(*parts)
+    for name in DERIVED:
+        if name in store.__dict__:
+            setattr(grown, name, store.__dict__[name])
     return grown, checked
 
 
@@ -116,23 +121,45 @@ def _grown_paths(old: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(rest.unionByName(new))
 
 
-def grown_tables(store, new) -> dict[str, DataFrame]:
-    """The derived tables of ``store`` carried on by the taxa of ``new``, a store of these alone.
+class GrownStore(Store):
+    """A store whose derived tables go on from those that ``base`` has made, by the taxa ``new`` (in the loaded form).
 
-    Where a taxon that was an orphan finds its parent among them, the paths are left to be made
-    anew, as whole branches move.
+    Where a taxon that was an orphan finds its parent among the new ones, the paths are made anew,
+    as whole branches move.
     """
-    made = store.__dict__
-    out: dict[str, DataFrame] = {}
-    found = trees.orphans(store.taxa).join(new.taxa.select(F.col("ott_id").alias("parent_ott_id")), "parent_ott_id", "left_semi").limit(1).count()
-    if not found:
-        if "tree" in made:
-            out["tree"] = _grown_paths(store.tree, new.taxa.select(F.col("ott_id").alias("id"), F.col("parent_ott_id").alias("parent")))
-        if "pref_tree" in made:
-            edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))
-            out["pref_tree"] = _grown_paths(store.pref_tree, new.taxa.select(F.col("ott_id").alias("id"), edge.alias("parent")))
-    if "name_index" in made:
-        out["name_index"] = materialize(store.name_index.unionByName(name_rows(new.taxa, new.synonyms)).repartitionByRange("key_lc").sortWithinPartitions("key_lc"))
-    if "source_index" in made and store.options.source_index:
-        out["source_index"] = store.source_index.unionByName(new.source_index)
-    return out
+
+    def __init__(self, base: Store, new: DataFrame, *parts) -> None:
+        super().__init__(*parts)
+        self._base, self._new = base, Store(new, base._synonyms, base._aliases, base._deprecated, None, base._roots)
+
+    @cached_property
+    def _moved(self) -> bool:
+        added = self._new.taxa.select(F.col("ott_id").alias("parent_ott_id"))
+        return trees.orphans(self._base.taxa).join(added, "parent_ott_id", "left_semi").limit(1).count() > 0
+
+    def _carried(self, name: str) -> bool:
+        return name in self._base.__dict__ and not (name in ("tree", "pref_tree") and self._moved)
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        if not self._carried("tree"):
+            return Store.tree.func(self)
+        return _grown_paths(self._base.tree, self._new.taxa.select(F.col("ott_id").alias("id"), F.col("parent_ott_id").alias("parent")))
+
+    @cached_property
+    def pref_tree(self) -> DataFrame:
+        if not self._carried("pref_tree"):
+            return Store.pref_tree.func(self)
+        edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))
+        return _grown_paths(self._base.pref_tree, self._new.taxa.select(F.col("ott_id").alias("id"), edge.alias("parent")))
+
+    @cached_property
+    def name_index(self) -> DataFrame:
+        if not self._carried("name_index"):
+            return Store.name_index.func(self)
+        more = name_rows(self._new.taxa, self._new.synonyms)
+        return materialize(self._base.name_index.unionByName(more).repartitionByRange("key_lc").sortWithinPartitions("key_lc"))
+
+    @cached_property
+    def source_index(self) -> DataFrame:
+        return self._base.source_index.unionByName(self._new.source_index) if self._carried("source_index") else Store.source_index.func(self)

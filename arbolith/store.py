@@ -121,9 +121,16 @@ class Store:
         """The same over preferred edges: the edge above a dubious taxon is left out."""
         if not self.options.preferred_edges:
             raise ValueError("the store was loaded without preferred edges")
-        edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))
+        hidden = self.taxa.where("dubious").select("ott_id").distinct()
+        if not self.tree.where("on_ring").limit(1).count() and not self._several_parents():
+            return materialize(cut_paths(self.tree, hidden))
+        edge = F.when(~F.col("dubious"), F.col("parent_ott_id"))  # cutting an edge may open a ring, or leave another parent
         return self._paths(self.taxa.select(F.col("ott_id").alias("id"), edge.alias("parent")))
 
+    def _several_parents(self) -> bool:
+        twice = self.taxa.groupBy("ott_id").agg(F.count("*").alias("n")).where("n > 1")
+        return twice.limit(1).count() > 0
+
     def _paths(self, edges: DataFrame) -> DataFrame:
         return materialize(
             hierarchy(edges).select(F.col("id").alias("ott_id"), F.col("parent").alias("parent_ott_id"), "root", "depth", "path", "n_below", "on_ring")
@@ -187,6 +194,25 @@ class Store:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
+def cut_paths(tree: DataFrame, tops: DataFrame) -> DataFrame:
+    """The path table ``tree``, free of rings, without the edges above the taxa of ``tops`` (ott_id).
+
+    Each path is cut before the last of these taxa on it, which no peeling is needed for; what
+    stands below each taxon is counted anew where there was a cut.
+    """
+    places = tree.select("ott_id", F.posexplode("path").alias("place", "node"))
+    cuts = places.join(tops.select(F.col("ott_id").alias("node")), "node", "left_semi").groupBy("ott_id").agg(F.max("place").alias("cut"))
+    itself = F.coalesce(F.col("cut") == F.size("path") - 1, F.lit(False))
+    cut = materialize(tree.join(cuts, "ott_id", "left").withColumn("itself", itself).withColumn("cut", F.coalesce("cut", F.lit(0))))
+    # A taxon loses what was cut off below it: from each of those above the cut, once for each taxon below.
+    lost = cut.where("cut > 0").select(F.explode(F.slice("path", F.lit(1), F.col("cut"))).alias("ott_id")).groupBy("ott_id").agg(F.count("*").alias("lost"))
+    path = F.slice("path", F.col("cut") + 1, F.size("path"))
+    return cut.join(lost, "ott_id", "left").select(
+        "ott_id", F.when(~F.col("itself"), F.col("parent_ott_id")).alias("parent_ott_id"), F.when(F.col("cut") > 0, F.get("path", F.col("cut"))).otherwise(F.col("root")).alias("root"),
+        (F.col("depth") - F.col("cut")).alias("depth"), path.alias("path"), (F.col("n_below") - F.coalesce("lost", F.lit(0))).alias("n_below"), "on_ring",
+    )
+
+
 def name_rows(taxa: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Rows of the name index for these taxa: their own names and the synonyms they have."""
     about = ("ott_id", "rank", "rank_class", "dubious")

@@ -181,13 +181,19 @@ def test_segments_find_what_a_full_comparison_finds(spark):
 
 
 def test_autocomplete(spark, store):
-    def ask(text, **kw):
-        return [(r["ott_id"], r["stage"]) for r in resolve.autocomplete(store, names(spark, text), **kw).orderBy("position").collect()]
+    def ask(*texts, **kw):
+        got = {t: [] for t in texts}
+        for r in resolve.autocomplete(store, names(spark, *texts), **kw).orderBy("query_id", "position").collect():
+            got[texts[r["query_id"]]].append((r["ott_id"], r["stage"]))
+        return got
 
-    assert ask("Aster albus") == [(20, 1)] and ask("Aster al") == [(20, 2), (21, 2)] and ask("Aster Al") == [(20, 4), (21, 4)]
-    assert ask("Aster") == [(11, 1), (10, 1)] and ask("Fun") == [(2, 4)] and ask("Fu") == [] and ask("Alpen") == [(21, 5)]
-    assert ask("Fungo") == [(2, 6)] and ask("Weisse Aster") == [(20, 1), (21, 1)] and ask("Aster vir") == [(24, 4)] and ask("Aster vir", include_suppressed=True) == [(24, 4), (23, 4)][::-1]
-    assert ask("Aster", context="Animals") == [(11, 1)] and ask("qqqqqq") == []
+    want = {
+        "Aster albus": [(20, 1)], "Aster al": [(20, 2), (21, 2)], "Aster Al": [(20, 4), (21, 4)], "Aster": [(11, 1), (10, 1)], "Fun": [(2, 4)], "Fu": [], "Alpen": [(21, 5)],
+        "Fungo": [(2, 6)], "Weisse Aster": [(20, 1), (21, 1)], "Aster vir": [(24, 4)], "qqqqqq": [],
+    }
+    assert ask(*want) == want
+    assert ask("Aster vir", include_suppressed=True) == {"Aster vir": [(23, 4), (24, 4)]}
+    assert ask("Aster", context="Animals") == {"Aster": [(11, 1)]}
 
 
 def test_lookups(spark, store):
@@ -462,7 +468,7 @@ def test_additions_carry_the_derived_tables_on(spark, store):
         docs = spark.createDataFrame([(0, json.dumps({"id": "d", "taxa": new + extra}))], "doc_key long, body string").withColumn("loaded_at", F.current_timestamp())
         _ = store.tree, store.pref_tree, store.name_index, store.source_index
         grown, _ = additions.apply(store, docs)
-        assert ("tree" in grown.__dict__) == (not extra)
+        assert grown._carried("tree") == (not extra) and grown._carried("name_index")
         whole = Store(grown._taxa, store._synonyms, store._aliases, store._deprecated, None, store._roots)
         for name in additions.DERIVED:
             a, b = getattr(grown, name), getattr(whole, name)
@@ -492,3 +498,12 @@ def test_beginnings_of_names(spark, store):
     got = {(r["query_id"], r["name"]) for r in resolve.prefix(asked, index).collect()}
     want = {(k, r["name"]) for k, q in ((0, "ast"), (1, "aster a"), (4, "aster a")) for r in index.collect() if r["key_lc"].startswith(q)}
     assert got == want
+
+
+def test_cut_paths_are_those_of_the_edges_left(spark):
+    edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 2), (6, 1), (7, 99), (8, 7), (9, 8)]
+    taxa = spark.createDataFrame([(i, p, f"n{i}", "", "", "", ["hidden"] if i in (1, 3, 4, 5, 7, 8) else []) for i, p in edges], schema.TAXA_RAW)
+    empty = (spark.createDataFrame([], t) for t in (schema.SYNONYMS_RAW, schema.ALIASES_RAW, schema.DEPRECATED_RAW))
+    made = Store(taxa, *empty)
+    whole = made._paths(made.taxa.selectExpr("ott_id as id", "if(dubious, null, parent_ott_id) as parent"))
+    assert rows(made.pref_tree.select(whole.columns)) == rows(whole)
