@@ -270,17 +270,26 @@ def find_taxa(store, names: DataFrame, context: str | None = None, include_suppr
 # --- completion
 
 
-def prefix(queries: DataFrame, index: DataFrame, least: int = 3) -> DataFrame:
+#: Queries that are sent to every task; more are shuffled.
+FEW_QUERIES = 1000
+
+
+def prefix(queries: DataFrame, index: DataFrame, least: int = 3, few: bool = False) -> DataFrame:
     """Index rows whose key starts with the query; queries shorter than ``least`` have none.
 
     Every key gives its beginnings, and those that are a query are kept: what meets is a hit. Of
     queries asked for by many ids, and of keys of many rows, one each is joined.
+
+    The planner takes a table of beginnings to be as large as that of the keys, and a written table
+    as large as its packed files; the merge hints keep it from sending either through the driver.
+    ``few`` tells that the queries are ``FEW_QUERIES`` at most, which are sent instead.
     """
+    way = "broadcast" if few else "merge"
     asked = queries.where(F.length("q") >= least)
     keys = index.select("key_lc").distinct().where(F.length("key_lc") >= least)
     begun = keys.withColumn("q", F.explode(F.transform(F.sequence(F.lit(least), F.length("key_lc")), lambda n: F.left("key_lc", n))))
-    hits = begun.join(asked.select("q").distinct(), "q")
-    return asked.join(hits, "q").join(index, "key_lc")
+    hits = begun.join(asked.select("q").distinct().hint(way), "q")
+    return asked.hint(way).join(hits, "q").join(index.hint("merge"), "key_lc")
 
 
 def autocomplete(store, names: DataFrame, context: str | None = None, include_suppressed: bool = False, higher_first: bool = False) -> DataFrame:

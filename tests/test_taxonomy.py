@@ -500,6 +500,17 @@ def test_beginnings_of_names(spark, store):
     assert got == want
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_beginnings_are_not_sent_through_the_driver(spark, store):
+    index, asked = resolve.index_of(store), resolve.prepared(names(spark, "Ast", "aster a"))
+    assert "BroadcastExchange" not in plan(resolve.prefix(asked, index))
+    sent = resolve.prefix(asked, index, few=True)
+    assert plan(sent).count("BroadcastExchange") == 2 and rows(sent) == rows(resolve.prefix(asked, index))
+
+
 def test_cut_paths_are_those_of_the_edges_left(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 2), (6, 1), (7, 99), (8, 7), (9, 8)]
     taxa = spark.createDataFrame([(i, p, f"n{i}", "", "", "", ["hidden"] if i in (1, 3, 4, 5, 7, 8) else []) for i, p in edges], schema.TAXA_RAW)
