@@ -241,30 +241,38 @@ def subtree_labels(store, root_id: int, label_format: str = "name_and_id") -> Da
     return descendants(store.pref_tree, root_id).select("ott_id", below.alias("path")).join(labels, "ott_id")
 
 
-def _written(nodes: DataFrame, root_id: int, limit: int) -> DataFrame:
-    """One row (ott_id, newick) of nodes (ott_id, path, label); more than ``limit`` are an error."""
-    nodes = materialize(nodes)
-    if nodes.count() > limit:
-        raise ValueError(f"the tree has more than {limit} taxa")
-    rows = newick_pieces(nodes).agg(F.array_sort(F.collect_list(F.struct("key", "piece"))).alias("s")).where("size(s) > 0")
-    return rows.select(F.lit(root_id).cast("long").alias("ott_id"), F.array_join(F.col("s.piece"), "").alias("newick"))
+#: Pieces that one task sorts and puts together.
+PIECES_AT_ONCE = 20_000
+
 
+def _written(nodes: DataFrame, root_id: int, limit: int | None) -> DataFrame:
+    """One row (ott_id, newick) of nodes (ott_id, path, label); more than ``limit``, if given, are an error.
 
-#: Taxa that one text may have.
-MOST_TAXA = 50_000
+    The pieces are parted by ranges of their keys and put together range by range; only the few
+    texts that this gives meet in one task.
+    """
+    nodes = materialize(nodes)
+    total = nodes.count()
+    if limit is not None and total > limit:
+        raise ValueError(f"the tree has more than {limit} taxa")
+    joined = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text))), lambda x: x[text]), "")
+    ranges = newick_pieces(nodes).repartitionByRange(max(1, -(-total // PIECES_AT_ONCE)), "key").withColumn("part", F.spark_partition_id())
+    texts = ranges.groupBy("part").agg(joined("key", "piece").alias("text"))
+    rows = texts.agg(joined("part", "text").alias("newick")).where("newick <> ''")
+    return rows.select(F.lit(root_id).cast("long").alias("ott_id"), "newick")
 
 
-def newick(store, root_id: int, label_format: str = "name_and_id", limit: int = MOST_TAXA) -> DataFrame:
+def newick(store, root_id: int, label_format: str = "name_and_id", limit: int | None = None) -> DataFrame:
     """(ott_id, newick) of the preferred subtree of a taxon, children in the order of their ids.
 
-    More taxa than ``limit`` are an error, as the answer is one string; ``newick_pieces`` of
-    ``subtree_labels`` has the same in pieces, for any number.
+    The whole text of any number of taxa, as long as one string can be (2 GB); more taxa than
+    ``limit``, if given, are an error. ``newick_pieces`` of ``subtree_labels`` has the same in pieces.
     """
     return _written(subtree_labels(store, root_id, label_format), root_id, limit)
 
 
-def induced_newick(store, ids: DataFrame, label_format: str = "name_and_id", limit: int = MOST_TAXA) -> DataFrame:
-    """(ott_id, newick) of the tree that a set of taxa (ott_id) spans in the preferred tree, of at most ``limit`` taxa."""
+def induced_newick(store, ids: DataFrame, label_format: str = "name_and_id", limit: int | None = None) -> DataFrame:
+    """(ott_id, newick) of the tree that a set of taxa (ott_id) spans in the preferred tree; more taxa than ``limit``, if given, are an error."""
     edges = materialize(induced_subtree(store.pref_tree, ids.select(F.lit(0).alias("set_id"), "ott_id")))
     top = edges.where("parent_ott_id is null").select("ott_id").first()
     labels = store.taxa.select("ott_id", taxon.label(label_format, F.col("name"), F.col("ott_id")).alias("label"))

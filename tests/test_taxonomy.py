@@ -1,6 +1,7 @@
 """Dumps, store, tree, resolution, exports, additions, streaming and services on a small taxonomy."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -500,6 +501,24 @@ def test_beginnings_of_names(spark, store):
     assert got == want
 
 
+#: Formats of labels, and taxon 7 in them.
+WIDE = {"original_name": "T 7"}
+
+
+@pytest.mark.parametrize("label_format", WIDE)
+def test_newick_of_more_taxa_than_one_task_joins(spark, label_format):
+    n, width = 50_001, 250  # taxon 1 has 250 children, all others stand below these
+    above = F.when(F.col("ott_id") == 1, F.array().cast("array<long>")).when(F.col("ott_id") <= width + 1, F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long"), F.col("ott_id") % width + 2))
+    taxa = spark.range(1, n + 1).select(F.col("id").alias("ott_id"), F.concat(F.lit("T "), F.col("id").cast("string")).alias("name"))
+    wide = SimpleNamespace(taxa=taxa, pref_tree=taxa.select("ott_id", F.concat(above, F.array("ott_id")).alias("path")), spark=spark)
+    label = lambda i: WIDE[label_format].replace("7", str(i))
+    below = {k: [] for k in range(2, width + 2)}
+    for i in range(width + 2, n + 1):
+        below[i % width + 2].append(label(i))
+    want = "(" + ",".join(f"({','.join(leaves)}){label(k)}" for k, leaves in below.items()) + f"){label(1)};"
+    assert [tuple(r) for r in trees.newick(wide, 1, label_format).collect()] == [(1, want)]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
