@@ -502,7 +502,7 @@ def test_beginnings_of_names(spark, store):
 
 
 #: Formats of labels, and taxon 7 in them.
-WIDE = {"original_name": "T 7", "id": "7", "name_and_id": "T_7_ott7"}
+WIDE = {"original_name": "T 7", "id": "7", "name_and_id": "T_7_ott7", "name": "T_7"}
 
 
 @pytest.mark.parametrize("label_format", WIDE)
