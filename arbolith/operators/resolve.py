@@ -304,7 +304,10 @@ def autocomplete(store, names: DataFrame, context: str | None = None, include_su
     asked = materialize(names.where("qname is not null").select("query_id", "qname", F.lower("qname").alias("q"), F.col("qname").contains(" ").alias("spaced")).distinct())
     index = materialize(index_of(store, find_context(store, context), include_suppressed))
     spaced, plain = asked.where("spaced"), asked.where("not spaced")
-    same = lambda q, rows: q.join(rows, q["q"] == rows["key_lc"])
+    # Neither the taxa nor many queries may go through the driver, small as their packed files are.
+    few = asked.count() <= FEW_QUERIES
+    way = "broadcast" if few else "merge"
+    same = lambda q, rows: q.hint(way).join(rows, q["q"] == rows["key_lc"])
     stage = lambda rows, n: rows.select("query_id", F.lit(n).alias("stage"), "ott_id")
     higher = index.where("rank_class <> 'specific'")
     found = [
@@ -316,25 +319,25 @@ def autocomplete(store, names: DataFrame, context: str | None = None, include_su
     genera = index.where("kind = 'taxon' and rank_class = 'genus'").select(F.col("key_lc").alias("word"), F.col("ott_id").alias("genus_ott_id"), F.col("name").alias("genus"))
     members = trees.genus_members(store.pref_tree, store.taxa)
     if not include_suppressed:
-        members = members.join(store.taxa.where("not dubious").select("ott_id"), "ott_id", "left_semi")
-    species = word.join(genera, "word").join(members, "genus_ott_id").join(store.taxa.select("ott_id", "name"), "ott_id")
+        members = members.join(store.taxa.where("not dubious").select("ott_id").hint("merge"), "ott_id", "left_semi")
+    species = word.hint(way).join(genera, "word").hint("merge").join(members, "genus_ott_id").join(store.taxa.select("ott_id", "name").hint("merge"), "ott_id")
     tail = F.substring(F.col("name"), F.length("genus") + 2, F.length("name"))
     found.append(stage(species.where((F.length("name") > F.length("genus")) & F.startswith(tail, F.col("rest"))), 2))
     found.append(stage(same(spaced, index.where("kind = 'taxon' and rank_class <> 'specific'")), 3))
     # Each further step is taken for the queries that are still open.
     early = materialize(reduce(DataFrame.unionByName, found).distinct())
-    left = materialize(asked.join(early.select("query_id").distinct(), "query_id", "left_anti"))
+    left = materialize(asked.join(early.select("query_id").distinct().hint(way), "query_id", "left_anti"))
     spaced, plain = left.where("spaced"), left.where("not spaced")
-    begun = [stage(prefix(spaced, index), 4), stage(prefix(plain, higher.where("kind = 'taxon'")), 4), stage(prefix(plain, index.where("kind = 'synonym'")), 5)]
+    begun = [stage(prefix(spaced, index, few=few), 4), stage(prefix(plain, higher.where("kind = 'taxon'"), few=few), 4), stage(prefix(plain, index.where("kind = 'synonym'"), few=few), 5)]
     middle = materialize(reduce(DataFrame.unionByName, begun).distinct())
-    open_ = materialize(left.join(middle.select("query_id").distinct(), "query_id", "left_anti"))
+    open_ = materialize(left.join(middle.select("query_id").distinct().hint(way), "query_id", "left_anti"))
     late = []
     for part, rows in ((open_.where("spaced"), index), (open_.where("not spaced"), higher)):
         close = similar(part, rows)
-        late.append(stage(part.join(close, "q").join(rows, "key_lc"), 6))
+        late.append(stage(part.hint(way).join(close, "q").join(rows.hint("merge"), "key_lc"), 6))
     every = reduce(DataFrame.unionByName, [early, middle, *late])
     best = every.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    hits = every.join(best, ["query_id", "stage"]).distinct().join(store.taxa, "ott_id")
+    hits = every.join(best.hint(way), ["query_id", "stage"]).distinct().join(store.taxa.hint("merge"), "ott_id")
     hits = hits.select("query_id", "stage", "ott_id", taxon.unique_name(F.col("uniqname"), F.col("name")).alias("unique_name"), taxon.is_higher(F.col("rank")).alias("is_higher"), F.col("dubious").alias("is_suppressed"))
     order = [F.desc("is_higher")] if higher_first else []
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "unique_name", "ott_id")) - 1

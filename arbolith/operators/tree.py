@@ -155,7 +155,8 @@ def genus_members(tree: DataFrame, taxa: DataFrame) -> DataFrame:
     """(genus_ott_id, ott_id): taxa at species rank or below under each genus (over the edges of ``tree``)."""
     specific = taxa.where("rank_class = 'specific'").select("ott_id")
     genera = taxa.where("rank_class = 'genus'").select(F.col("ott_id").alias("genus_ott_id"))
-    return tree.join(specific, "ott_id", "left_semi").select("ott_id", F.explode("path").alias("genus_ott_id")).join(genera, "genus_ott_id", "left_semi")
+    # Both grow with the taxonomy; packed on disk they look small enough to the planner to be sent through the driver.
+    return tree.join(specific.hint("merge"), "ott_id", "left_semi").select("ott_id", F.explode("path").alias("genus_ott_id")).join(genera.hint("merge"), "genus_ott_id", "left_semi")
 
 
 def taxcodes(tree: DataFrame, roots: DataFrame) -> DataFrame:

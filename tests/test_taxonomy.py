@@ -530,6 +530,15 @@ def test_beginnings_are_not_sent_through_the_driver(spark, store):
     assert plan(sent).count("BroadcastExchange") == 2 and rows(sent) == rows(resolve.prefix(asked, index))
 
 
+def test_completion_sends_neither_taxa_nor_many_queries_through_the_driver(spark, store, monkeypatch):
+    asked = names(spark, "Aster al", "Aster", "Ast", "Fungi", "Weisse Aster", "Aster albsu")
+    want, plans, write = rows(resolve.autocomplete(store, asked)), [], resolve.materialize
+    monkeypatch.setattr(resolve, "FEW_QUERIES", 0)
+    monkeypatch.setattr(resolve, "materialize", lambda df: (plans.append(plan(df)), write(df))[1])
+    many = resolve.autocomplete(store, asked)
+    assert rows(many) == want and len(plans) == 6 and not any("BroadcastExchange" in p for p in [*plans, plan(many)])
+
+
 def test_cut_paths_are_those_of_the_edges_left(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 2), (6, 1), (7, 99), (8, 7), (9, 8)]
     taxa = spark.createDataFrame([(i, p, f"n{i}", "", "", "", ["hidden"] if i in (1, 3, 4, 5, 7, 8) else []) for i, p in edges], schema.TAXA_RAW)
