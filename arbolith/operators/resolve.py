@@ -314,15 +314,19 @@ def autocomplete(store, names: DataFrame, context: str | None = None, include_su
         stage(same(spaced, index.where("(kind = 'taxon' and rank_class = 'specific') or kind = 'synonym'")), 1),
         stage(same(plain, higher), 1),
     ]
-    # Species by genus and the start of the rest of their name, case as it is stored.
-    word = spaced.withColumn("word", F.split("q", r"\s+", 2)[0]).withColumn("rest", F.trim(F.split("qname", r"\s+", 2)[1]))
+    # Species by genus and the start of the rest of their name, case as it is stored. Every species under a genus asked for
+    # gives the beginnings of its rest, as in ``prefix``: no query meets species that aren't its hits, be the genus ever so wide.
+    word = spaced.select("query_id", F.split("q", r"\s+", 2)[0].alias("word"), F.trim(F.split("qname", r"\s+", 2)[1]).alias("rest"))
     genera = index.where("kind = 'taxon' and rank_class = 'genus'").select(F.col("key_lc").alias("word"), F.col("ott_id").alias("genus_ott_id"), F.col("name").alias("genus"))
+    genera = genera.join(word.select("word").distinct().hint(way), "word", "left_semi")
     members = trees.genus_members(store.pref_tree, store.taxa)
     if not include_suppressed:
         members = members.join(store.taxa.where("not dubious").select("ott_id").hint("merge"), "ott_id", "left_semi")
-    species = word.hint(way).join(genera, "word").hint("merge").join(members, "genus_ott_id").join(store.taxa.select("ott_id", "name").hint("merge"), "ott_id")
+    species = members.join(genera.hint("merge"), "genus_ott_id").join(store.taxa.select("ott_id", "name").hint("merge"), "ott_id")
     tail = F.substring(F.col("name"), F.length("genus") + 2, F.length("name"))
-    found.append(stage(species.where((F.length("name") > F.length("genus")) & F.startswith(tail, F.col("rest"))), 2))
+    species = species.where(F.length("name") > F.length("genus")).select("word", "ott_id", tail.alias("tail"))
+    begun = species.select("word", "ott_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("tail")), lambda n: F.left("tail", n))).alias("rest"))
+    found.append(stage(word.hint(way).join(begun, ["word", "rest"]), 2))
     found.append(stage(same(spaced, index.where("kind = 'taxon' and rank_class <> 'specific'")), 3))
     # Each further step is taken for the queries that are still open.
     early = materialize(reduce(DataFrame.unionByName, found).distinct())

@@ -539,6 +539,19 @@ def test_completion_sends_neither_taxa_nor_many_queries_through_the_driver(spark
     assert rows(many) == want and len(plans) == 6 and not any("BroadcastExchange" in p for p in [*plans, plan(many)])
 
 
+def test_completion_by_genus_joins_on_beginnings(spark, monkeypatch):
+    taxa = [(1, None, "life", "no rank"), (2, 1, "Genus", "genus"), (3, 1, "Other", "genus"), (4, 2, "Genus", "species"), (5, 2, "Genusx", "species"), (6, 3, "Other ab", "species")]
+    taxa += [(10 + i, 2, f"Genus {s}", "species") for i, s in enumerate(["ab", "abc", "Abc", "b", "éa", "ab"])]
+    made = Store(*[spark.createDataFrame(r, c) for r, c in (([(*t, "", "", []) for t in taxa], schema.TAXA_RAW), ([], schema.SYNONYMS_RAW), ([], schema.ALIASES_RAW), ([], schema.DEPRECATED_RAW))])
+    asked = names(spark, "genus a", "Genus A", "genus ", "Genus é", "Genus abcd", "Other a", "None a")
+    plans, write = [], resolve.materialize
+    monkeypatch.setattr(resolve, "materialize", lambda df: (plans.append(plan(df)), write(df))[1])
+    found = rows(resolve.autocomplete(made, asked).where("stage = 2"), "query_id", "ott_id")
+    assert found == [(0, 10), (0, 11), (0, 15), (1, 12), *[(2, i) for i in (5, *range(10, 16))], (3, 14), (5, 6)]
+    # A query meets its hits, not every species of its genus.
+    assert not any("StartsWith" in p for p in plans)
+
+
 def test_cut_paths_are_those_of_the_edges_left(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 2), (6, 1), (7, 99), (8, 7), (9, 8)]
     taxa = spark.createDataFrame([(i, p, f"n{i}", "", "", "", ["hidden"] if i in (1, 3, 4, 5, 7, 8) else []) for i, p in edges], schema.TAXA_RAW)
