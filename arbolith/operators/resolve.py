@@ -292,6 +292,23 @@ def prefix(queries: DataFrame, index: DataFrame, least: int = 3, few: bool = Fal
     return asked.hint(way).join(hits, "q").join(index.hint("merge"), "key_lc")
 
 
+def _species_of_genus(store, spaced: DataFrame, index: DataFrame, include_suppressed: bool, way: str) -> DataFrame:
+    """The queries with a species of the genus that is their first word, whose rest starts with theirs."""
+    # Species by genus and the start of the rest of their name, case as it is stored. Every species under a genus asked for
+    # gives the beginnings of its rest, as in ``prefix``: no query meets species that aren't its hits, be the genus ever so wide.
+    word = spaced.select("query_id", F.split("q", r"\s+", 2)[0].alias("word"), F.trim(F.split("qname", r"\s+", 2)[1]).alias("rest"))
+    genera = index.where("kind = 'taxon' and rank_class = 'genus'").select(F.col("key_lc").alias("word"), F.col("ott_id").alias("genus_ott_id"), F.col("name").alias("genus"))
+    genera = genera.join(word.select("word").distinct().hint(way), "word", "left_semi")
+    members = trees.genus_members(store.pref_tree, store.taxa)
+    if not include_suppressed:
+        members = members.join(store.taxa.where("not dubious").select("ott_id").hint("merge"), "ott_id", "left_semi")
+    species = members.join(genera.hint("merge"), "genus_ott_id").join(store.taxa.select("ott_id", "name").hint("merge"), "ott_id")
+    tail = F.substring(F.col("name"), F.length("genus") + 2, F.length("name"))
+    species = species.where(F.length("name") > F.length("genus")).select("word", "ott_id", tail.alias("tail"))
+    begun = species.select("word", "ott_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("tail")), lambda n: F.left("tail", n))).alias("rest"))
+    return word.hint(way).join(begun, ["word", "rest"])
+
+
 def autocomplete(store, names: DataFrame, context: str | None = None, include_suppressed: bool = False, higher_first: bool = False) -> DataFrame:
     """(query_id, position, ott_id, unique_name, is_higher, is_suppressed, stage): the first stage that finds something.
 
@@ -305,46 +322,41 @@ def autocomplete(store, names: DataFrame, context: str | None = None, include_su
     index = materialize(index_of(store, find_context(store, context), include_suppressed))
     spaced, plain = asked.where("spaced"), asked.where("not spaced")
     # Neither the taxa nor many queries may go through the driver, small as their packed files are.
-    few = asked.count() <= FEW_QUERIES
+    count = {r["spaced"]: r["count"] for r in asked.groupBy("spaced").count().collect()}
+    few = sum(count.values()) <= FEW_QUERIES
     way = "broadcast" if few else "merge"
     same = lambda q, rows: q.hint(way).join(rows, q["q"] == rows["key_lc"])
     stage = lambda rows, n: rows.select("query_id", F.lit(n).alias("stage"), "ott_id")
     higher = index.where("rank_class <> 'specific'")
-    found = [
-        stage(same(spaced, index.where("(kind = 'taxon' and rank_class = 'specific') or kind = 'synonym'")), 1),
-        stage(same(plain, higher), 1),
-    ]
-    # Species by genus and the start of the rest of their name, case as it is stored. Every species under a genus asked for
-    # gives the beginnings of its rest, as in ``prefix``: no query meets species that aren't its hits, be the genus ever so wide.
-    word = spaced.select("query_id", F.split("q", r"\s+", 2)[0].alias("word"), F.trim(F.split("qname", r"\s+", 2)[1]).alias("rest"))
-    genera = index.where("kind = 'taxon' and rank_class = 'genus'").select(F.col("key_lc").alias("word"), F.col("ott_id").alias("genus_ott_id"), F.col("name").alias("genus"))
-    genera = genera.join(word.select("word").distinct().hint(way), "word", "left_semi")
-    members = trees.genus_members(store.pref_tree, store.taxa)
-    if not include_suppressed:
-        members = members.join(store.taxa.where("not dubious").select("ott_id").hint("merge"), "ott_id", "left_semi")
-    species = members.join(genera.hint("merge"), "genus_ott_id").join(store.taxa.select("ott_id", "name").hint("merge"), "ott_id")
-    tail = F.substring(F.col("name"), F.length("genus") + 2, F.length("name"))
-    species = species.where(F.length("name") > F.length("genus")).select("word", "ott_id", tail.alias("tail"))
-    begun = species.select("word", "ott_id", F.explode(F.transform(F.sequence(F.lit(0), F.length("tail")), lambda n: F.left("tail", n))).alias("rest"))
-    found.append(stage(word.hint(way).join(begun, ["word", "rest"]), 2))
-    found.append(stage(same(spaced, index.where("kind = 'taxon' and rank_class <> 'specific'")), 3))
+    # What only the other sort of queries needs is neither planned nor run.
+    any_spaced, any_plain = True in count, True not in count or False in count
+    first = lambda rows: rows.join(rows.groupBy("query_id").agg(F.min("stage").alias("stage")).hint(way), ["query_id", "stage"])
+    found = [stage(same(plain, higher), 1)] if any_plain else []
+    if any_spaced:
+        found.append(stage(same(spaced, index.where("(kind = 'taxon' and rank_class = 'specific') or kind = 'synonym'")), 1))
+        found.append(stage(_species_of_genus(store, spaced, index, include_suppressed, way), 2))
+        found.append(stage(same(spaced, index.where("kind = 'taxon' and rank_class <> 'specific'")), 3))
     # Each further step is taken for the queries that are still open.
     early = materialize(reduce(DataFrame.unionByName, found).distinct())
     left = materialize(asked.join(early.select("query_id").distinct().hint(way), "query_id", "left_anti"))
     spaced, plain = left.where("spaced"), left.where("not spaced")
-    begun = [stage(prefix(spaced, index, few=few), 4), stage(prefix(plain, higher.where("kind = 'taxon'"), few=few), 4), stage(prefix(plain, index.where("kind = 'synonym'"), few=few), 5)]
+    begun = [stage(prefix(spaced, index, few=few), 4)] if any_spaced else []
+    if any_plain:
+        begun.append(stage(prefix(plain, higher.where("kind = 'taxon'"), few=few), 4))
+        begun.append(stage(prefix(plain, index.where("kind = 'synonym'"), few=few), 5))
     middle = materialize(reduce(DataFrame.unionByName, begun).distinct())
     open_ = materialize(left.join(middle.select("query_id").distinct().hint(way), "query_id", "left_anti"))
     late = []
-    for part, rows in ((open_.where("spaced"), index), (open_.where("not spaced"), higher)):
+    for part, rows in ([(open_.where("spaced"), index)] if any_spaced else []) + ([(open_.where("not spaced"), higher)] if any_plain else []):
         close = similar(part, rows)
         late.append(stage(part.hint(way).join(close, "q").join(rows.hint("merge"), "key_lc"), 6))
-    every = reduce(DataFrame.unionByName, [early, middle, *late])
-    best = every.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    hits = every.join(best.hint(way), ["query_id", "stage"]).distinct().join(store.taxa.hint("merge"), "ott_id")
+    # A query has rows of one of the three steps only, so the first stage is sought within each; that of similar names is one.
+    every = reduce(DataFrame.unionByName, [first(early), first(middle), *late])
+    hits = every.distinct().join(store.taxa.hint("merge"), "ott_id")
     hits = hits.select("query_id", "stage", "ott_id", taxon.unique_name(F.col("uniqname"), F.col("name")).alias("unique_name"), taxon.is_higher(F.col("rank")).alias("is_higher"), F.col("dubious").alias("is_suppressed"))
     order = [F.desc("is_higher")] if higher_first else []
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "unique_name", "ott_id")) - 1
+    # A query's rows are of one stage; with it in the window a question for some stages leaves the others undone.
+    place = F.row_number().over(Window.partitionBy("query_id", "stage").orderBy(*order, "unique_name", "ott_id")) - 1
     return hits.withColumn("position", place)
 
 

@@ -646,24 +646,25 @@ shown as (select a.qname, a.stage, a.ott_id, coalesce(nullif(t.uniqname, ''), t.
 select qname, stage, ott_id, unique_name, is_higher, is_suppressed, row_number() over (partition by qname order by unique_name, ott_id) - 1 as position from shown where %s"""
 
 
-def _auto(spark, sf, condition):
-    hits = resolve.autocomplete(store(spark, sf), names(spark, sf)).where(condition)
+def _auto(spark, sf, asked, condition="true"):
+    # Queries don't bear on each other: those with a blank and those without are asked by themselves.
+    hits = resolve.autocomplete(store(spark, sf), names(spark, sf).where(asked)).where(condition)
     return hits.select(F.col("query_id").alias("qname"), "stage", "ott_id", "unique_name", "is_higher", "is_suppressed", F.col("position").cast("long").alias("position"))
 
 
 @_query(_AUTO % "contains(qname, ' ') and stage <> 2")
 def autocomplete_space(spark, sf):
-    return _auto(spark, sf, "contains(query_id, ' ') and stage <> 2")
+    return _auto(spark, sf, "contains(qname, ' ')", "stage <> 2")
 
 
 @_query(_AUTO % "not contains(qname, ' ')")
 def autocomplete_nospace(spark, sf):
-    return _auto(spark, sf, "not contains(query_id, ' ')")
+    return _auto(spark, sf, "not contains(qname, ' ')")
 
 
 @_query(_AUTO % "stage = 2")
 def autocomplete_genus(spark, sf):
-    return _auto(spark, sf, "stage = 2")
+    return _auto(spark, sf, "contains(qname, ' ')", "stage = 2")
 
 
 @_query("select s.ott_id, string_agg(s.name, ',' order by s.name) as synonyms from (select distinct ott_id, name from syn) s where s.ott_id in (select ott_id from tx) group by s.ott_id")

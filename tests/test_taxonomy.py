@@ -552,6 +552,20 @@ def test_completion_by_genus_joins_on_beginnings(spark, monkeypatch):
     assert not any("StartsWith" in p for p in plans)
 
 
+def test_completion_seeks_similar_names_once(spark, store):
+    texts = ("Aster al", "Aster albsu", "Aster", "Fungo", "Alpen", "Weisse Aster", "Aster vir", "qq qq")
+    whole = resolve.autocomplete(store, names(spark, *texts))
+    sought = lambda df: plan(df).split("== Physical Plan ==")[-1].lower().count("levenshtein(")
+    own = {}
+    for blank in (True, False):
+        # Queries of one sort are answered as among others, and the other sort's work isn't planned.
+        part = resolve.autocomplete(store, names(spark, *texts).where(F.col("qname").contains(" ") == blank))
+        own[blank] = sought(part)
+        assert rows(part) == rows(whole.where(F.col("query_id").isin([i for i, t in enumerate(texts) if (" " in t) == blank])))
+    assert own[True] == own[False] > 0 and sought(whole) == 2 * own[True]
+    assert sought(whole.where("stage = 2")) == 0
+
+
 def test_cut_paths_are_those_of_the_edges_left(spark):
     edges = [(1, None), (2, 1), (3, 2), (4, 3), (5, 2), (6, 1), (7, 99), (8, 7), (9, 8)]
     taxa = spark.createDataFrame([(i, p, f"n{i}", "", "", "", ["hidden"] if i in (1, 3, 4, 5, 7, 8) else []) for i, p in edges], schema.TAXA_RAW)
